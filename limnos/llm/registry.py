@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality
+from . import quality, sharding
 from .common import table
 
 
@@ -14,7 +15,15 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shuffle_records(table(spark, sf_dir, "documents"), shards=8)
+    return out.select(
+        "record.doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_external_shuffle": op6_external_shuffle,
     "op9_quality_rules": op9_quality_rules,
 }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding
+from . import jaccard, quality, sharding
 from .common import table
 
 
@@ -22,9 +22,14 @@ def op6_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_external_shuffle": op6_external_shuffle,
     "op9_quality_rules": op9_quality_rules,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 SQL: dict[str, Callable[[], str]] = {

@@ -16,9 +16,9 @@ def slot(column: str | Column, bits: int = BITS) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(bits))
 
 
-def bit_filter(ids: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
+def bit_filter(ids: DataFrame, column: str, bits: int = BITS, at: Column | None = None) -> np.ndarray:
     """Packed bits of the ids' slots; at most bits / 64 rows reach the driver, however many ids there are."""
-    at = slot(column, bits)
+    at = slot(column, bits) if at is None else at
     words = ids.select(at.alias("s")).groupBy(F.floor(F.col("s") / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("s") % 64).cast("int"))).alias("b"))
     got = words.toArrow()
     out = np.zeros(bits // 64, np.int64)

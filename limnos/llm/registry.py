@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, quality, sharding
+from . import bpe, jaccard, quality, sharding, web_queries
 from .common import table
 
 
@@ -32,12 +32,16 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_dated_lists": web_queries.op2_dated_lists,
     "op5_chunked_bpe": op5_chunked_bpe,
     "op6_external_shuffle": op6_external_shuffle,
+    "op8_revisits": web_queries.op8_revisits,
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 SQL: dict[str, Callable[[], str]] = {
+    "op2_dated_lists": web_queries.op2_sql,
+    "op8_revisits": web_queries.op8_sql,
     "op9_quality_rules": quality.oracle,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, quality, sharding, web_queries
+from . import bpe, jaccard, quality, sharding, toxicity, web_queries
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -33,6 +37,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_dated_lists": web_queries.op2_dated_lists,
+    "op4_weak_toxicity": op4_weak_toxicity,
     "op5_chunked_bpe": op5_chunked_bpe,
     "op6_external_shuffle": op6_external_shuffle,
     "op8_revisits": web_queries.op8_revisits,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, quality, secrets, sharding, toxicity, web_queries
+from . import bpe, hmm, jaccard, quality, secrets, sharding, toxicity, web_queries
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op1_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.findings(table(spark, sf_dir, "documents"), secrets.Forest.train(secrets.labelled_findings(spark)))
 
@@ -40,6 +44,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hidden_markov": op1_hidden_markov,
     "op2_dated_lists": web_queries.op2_dated_lists,
     "op3_forest_secrets": op3_forest_secrets,
     "op4_weak_toxicity": op4_weak_toxicity,

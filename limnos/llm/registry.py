@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hmm, jaccard, quality, secrets, sharding, toxicity, web_queries
+from . import bpe, hmm, jaccard, latent, quality, secrets, sharding, toxicity, web_queries
 from .common import table
 
 
@@ -43,6 +43,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op7_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hidden_markov": op1_hidden_markov,
     "op2_dated_lists": web_queries.op2_dated_lists,
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_weak_toxicity": op4_weak_toxicity,
     "op5_chunked_bpe": op5_chunked_bpe,
     "op6_external_shuffle": op6_external_shuffle,
+    "op7_latent_decontamination": op7_latent_decontamination,
     "op8_revisits": web_queries.op8_revisits,
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_jaccard": op10_ngram_jaccard,

@@ -2,19 +2,47 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from limnos.llm import quality
+from limnos.llm import bpe, jaccard, latent, quality, secrets
 from limnos.llm.common import table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
     return quality.keep_good(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by shingles of five words at a similarity of 0.8, the one with the least id stays."""
+    return jaccard.keep_one(docs, size=5, percent=80)
 
-#: Later stages cannot be stated in SQL; they are tested against brute force.
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return latent.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the text; every document stays."""
+    return secrets.redact(docs, secrets.Forest.train(secrets.labelled_findings(spark)))
+
+
+def byte_pairs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number of tokens and digests of the tokens and of the text that they decode to."""
+    return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", ngram_jaccard),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_scan),
+    ("BPE encoding and decoding", byte_pairs),
+]
+
+#: The later stages cannot be stated in SQL; they are tested against brute force.
 ORACLE_SQL = None
 
 

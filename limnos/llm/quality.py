@@ -146,11 +146,19 @@ def quality_rules(docs: DataFrame, rules=RULES, doc_id: str = "doc_id", text: st
 
 
 def keep_good(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
-    """The documents that the base rule and the table keep, with their own columns."""
-    df = _measured(docs, *docs.columns, text=text)
-    m = df.columns[-1]
-    of = lambda k: F.col(f"{m}.{k}")
-    return df.filter(~base_failed(of) & verdict(of, rules)).drop(m)
+    """The documents that the base rule and the table keep, with their own columns.
+
+    One predicate binds the words and the measures once each; columns would be measured anew for every rule that names
+    them once the optimizer has moved the filter below them.
+    """
+    t = F.col(f"`{text}`")
+
+    def good(m):
+        of = lambda k: m[k]
+        return ~base_failed(of) & verdict(of, rules)
+
+    measured = lambda w: _let(F.struct(*[v.alias(k) for k, v in measures(t, w).items()]), good)
+    return docs.filter(_let(words_of(t), measured))
 
 
 def oracle() -> str:

@@ -1,11 +1,12 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Texts and benchmark items are cut into passages of ``2 * STEP`` words that overlap by half. Passages are TF-IDF vectors over the
-items' vocabulary, their document frequencies counted over all passages of all texts. A randomised SVD (one pass: every
+items' vocabulary, with the frequencies of its words over all texts. A randomised SVD (one pass: every
 task multiplies its passages with a seeded random matrix, forward and back; the sums give a Nystrom decomposition) yields
-the latent space. Passages whose cosine with an item's passage reaches ``COSINE`` are candidates; the longest common
-subsequence of the item's words and the text around the candidate decides: ``STRONG`` of the item's words suffice, ``WEAK`` do for a
-paraphrase if the item's answer (its last sentence) is found too.
+the latent space. A passage is the sum of its two halves, so a word is projected once. Passages whose cosine with an item's
+passage reaches ``COSINE`` are candidates if they hold ``WEAK`` of as many of the item's words as half a passage (or the item) has;
+the longest common subsequence of the item's words and the text around the candidate decides: ``STRONG`` of the item's words
+suffice, ``WEAK`` do for a paraphrase if the item's answer (its last sentence) is found too.
 
 Items are worked on in blocks of bounded size (``ITEMS``), so what tasks are given is bounded; texts are read once
 for each block, encoded, and never exchanged. Only sums of fixed size (vocabulary by rank) are shuffled.
@@ -27,15 +28,17 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-STEP, RANK, COSINE, STRONG, WEAK, ANSWER = 12, 96, 0.5, 0.8, 0.6, 0.75
-COMMON = 0.1  # terms in more of the passages than this don't enter the vectors
+STEP, RANK, COSINE, STRONG, WEAK, ANSWER = 12, 96, 0.3, 0.8, 0.6, 0.75
+COMMON = 0.2  # words in more of the texts than this don't enter the vectors
+WORDS_KEPT = 300_000
 ITEMS, SEED, BATCH_WORDS, PRODUCT = 2_000, 5, 250_000, 8_000
-WORD = re.compile(r"\w+")
+EDGES = re.compile(r"^\W+|\W+$")
 SENTENCE = re.compile(r"[.?!\n]+")
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    """Lower-case words between blanks, without the marks around them."""
+    return [w for x in (text or "").lower().split() if (w := EDGES.sub("", x))]
 
 
 class Item(NamedTuple):
@@ -56,45 +59,44 @@ def read_items(rows: list) -> tuple[list[Item], dict[str, int]]:
     return items, number
 
 
-def passages(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Passage and term of each known word (twice, for passages overlap), and the first passage of each text."""
-    blocks = np.array([-(-len(s) // STEP) for s in seqs], np.int64)
-    count = np.maximum(blocks - 1, np.minimum(blocks, 1))
-    first = np.r_[0, np.cumsum(count)]
-    win, term = [], []
-    for s, b, f in zip(seqs, blocks, first, strict=False):
-        at = np.flatnonzero(s)
-        h, t = at // STEP, s[at].astype(np.int64)
-        a, z = (h < b - 1) | (b == 1), h > 0
-        win += [h[a] + f, h[z] - 1 + f]
-        term += [t[a], t[z]]
-    return np.concatenate(win) if win else np.empty(0, np.int64), np.concatenate(term) if term else np.empty(0, np.int64), first
-
-
-def vectors(win: np.ndarray, term: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Passage, term and weight of each entry, by passage; each passage has length one."""
-    keep = idf[term] > 0
-    key, n = np.unique(win[keep] * len(idf) + term[keep], return_counts=True)
-    row, col = key // len(idf), key % len(idf)
-    w = n * idf[col]
-    if not len(row):
-        return row, col, w.astype(np.float32)
-    starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-    norm = np.sqrt(np.add.reduceat(w * w, starts))
-    return row, col, (w / np.repeat(norm, np.diff(np.r_[starts, len(row)]))).astype(np.float32)
+def weighted(seqs: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Half passages (numbered through) and terms of the words that count, how many halves each text has, and its first passage."""
+    halves = np.array([-(-len(s) // STEP) for s in seqs], np.int64)
+    base = np.r_[0, np.cumsum(halves)]
+    whole = np.concatenate(seqs) if seqs else np.empty(0, np.int32)
+    lengths = np.array([len(s) for s in seqs], np.int64)
+    starts = np.r_[0, np.cumsum(lengths)]
+    at = np.flatnonzero(idf[whole] > 0)
+    text = np.searchsorted(starts, at, "right") - 1
+    half = base[text] + (at - starts[text]) // STEP
+    first = np.r_[0, np.cumsum(np.maximum(halves - 1, np.minimum(halves, 1)))]
+    return half, whole[at].astype(np.int64), halves, first
 
 
 def _summed(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys (sorted beforehand) and the sums of their rows."""
+    if not len(key):
+        return key, values
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     return key[starts], np.add.reduceat(values, starts, axis=0)
 
 
-def projected(row: np.ndarray, col: np.ndarray, w: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Passages that have terms, and their products with the basis."""
-    if not len(row):
-        return row, np.empty((0, basis.shape[1]), np.float32)
-    return _summed(row, basis[col] * w[:, None])
+def projected(half: np.ndarray, term: np.ndarray, halves: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Products of all passages with the (weighted) basis, and for each half the passage that begins there (or would)."""
+    total = int(halves.sum())
+    at, sums = _summed(half, basis[term])
+    y = np.zeros((total + 1, basis.shape[1]), np.float32)
+    y[at] = sums
+    y[:-1] += y[1:]  # a passage is a half and the next one
+    ends = np.cumsum(halves) - 1
+    begins = np.ones(total, bool)
+    begins[ends[halves > 1]] = False  # no passage begins at a text's last half, unless it is the only one
+    alone = ends[halves == 1]
+    y[alone] = 0
+    hit = np.isin(at, alone, assume_unique=True)
+    y[at[hit]] = sums[hit]
+    place = np.cumsum(begins) - 1
+    return y[:-1][begins], place
 
 
 def decompose(z: np.ndarray, omega: np.ndarray) -> np.ndarray:
@@ -134,20 +136,32 @@ def judge(item: Item, text: np.ndarray) -> tuple[int, str] | None:
     return None
 
 
+class _Code(dict):
+    """Number of a word as it stands between blanks; -1 where nothing is left of it, 0 where no item has it."""
+
+    def __init__(self, number: dict[str, int]):
+        super().__init__()
+        self.number = number
+
+    def __missing__(self, raw: str) -> int:
+        w = EDGES.sub("", raw)
+        n = self.number.get(w, 0) if w else -1
+        if len(self) < WORDS_KEPT:
+            self[raw] = n
+        return n
+
+
 def _encoded(number: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        class Code(dict):
-            def __missing__(self, w: str) -> int:
-                return 0
-
-        code = Code(number)
+        code = _Code(number)
         for whole in batches:
             for i in range(0, len(whole), 500):
                 batch = whole.slice(i, 500)
                 seqs = []
                 for text in batch["text"].to_pylist():
-                    ws = words(text)
-                    seqs.append(np.fromiter(map(code.__getitem__, ws), np.int32, len(ws)).tobytes())
+                    ws = (text or "").lower().split()
+                    x = np.fromiter(map(code.__getitem__, ws), np.int32, len(ws))
+                    seqs.append(x[x >= 0].tobytes())
                 yield pa.record_batch([batch["doc_id"], pa.array(seqs, pa.binary())], names=["doc_id", "seq"])
 
     return run
@@ -169,14 +183,14 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.
 
 
 def _frequencies(size: int):
-    """In how many passages each term is; under 0 the number of passages."""
+    """In how many texts each word is; under 0 the number of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(size, np.int64)
         for _, seqs in _grouped(batches):
-            win, term, first = passages(seqs)
-            df += np.bincount(np.unique(win * size + term) % size, minlength=size)
-            df[0] += first[-1]
+            for s in seqs:
+                df[np.flatnonzero(np.bincount(s, minlength=1))] += 1
+            df[0] += sum(not (s == 0).any() for s in seqs)
         yield pa.record_batch([pa.array(np.arange(size)), pa.array(df)], names=["term", "n"])
 
     return run
@@ -187,14 +201,24 @@ def _multiplied(idf: np.ndarray, omega: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = np.zeros(omega.shape)
+        ready = (omega * idf[:, None]).astype(np.float32)
         for _, seqs in _grouped(batches):
-            row, col, w = vectors(*passages(seqs)[:2], idf)
-            at, y = projected(row, col, w, omega.astype(np.float32))
-            if len(at):
-                back = y[np.searchsorted(at, row)] * w[:, None]
-                order = np.argsort(col, kind="stable")
-                terms, sums = _summed(col[order], back[order])
-                z[terms] += sums
+            half, term, halves, _ = weighted(seqs, idf)
+            if not len(half):
+                continue
+            y, place = projected(half, term, halves, ready)
+            # Each half lies in the passage that begins there and in the one before, within its text.
+            ends = np.cumsum(halves) - 1
+            back = np.zeros((int(halves.sum()), y.shape[1]), np.float32)
+            begins = np.ones(len(back), bool)
+            begins[ends[halves > 1]] = False
+            back[begins] += y
+            follows = np.flatnonzero(begins) + 1
+            inside = ~np.isin(follows - 1, ends[halves == 1], assume_unique=True)
+            back[follows[inside]] += y[inside]
+            order = np.argsort(term, kind="stable")
+            terms, sums = _summed(term[order], back[half[order]])
+            z[terms] += sums * idf[terms][:, None]
         used = np.flatnonzero(z.any(1))
         yield pa.record_batch([pa.array(used), pa.array([x.tobytes() for x in z[used]], pa.binary())], names=["term", "z"])
 
@@ -226,36 +250,44 @@ def _searched(items: list[Item], idf: np.ndarray, basis: np.ndarray, cosine: flo
     """Verified matches of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        win, term, first = passages([x.ids.astype(np.int32) for x in items])
-        at, q = projected(*vectors(win, term, idf), basis)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
-        owner = np.searchsorted(first, at, "right") - 1
-        kind = None
-        for batch in _kinds(batches):
-            kind, groups = batch
+        ready = (basis * idf[:, None]).astype(np.float32)
+        unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        half, term, halves, first = weighted([x.ids.astype(np.int32) for x in items], idf)
+        q = projected(half, term, halves, ready)[0]
+        asked = np.flatnonzero(q.any(1))
+        q, owner = np.ascontiguousarray(unit(q[asked]).T), np.searchsorted(first, asked, "right") - 1
+        has = np.zeros((len(items), len(idf)), bool)
+        for k, x in enumerate(items):
+            has[k, x.ids] = True
+        least = np.array([WEAK * min(len(x.ids), STEP) for x in items])
+        for kind, groups in _kinds(batches):
             for docs, seqs in groups:
-                out: list[tuple] = []
-                win, term, first = passages(seqs)
-                at, p = projected(*vectors(win, term, idf), basis)
-                p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
+                half, term, halves, first = weighted(seqs, idf)
+                y = projected(half, term, halves, ready)[0]
+                filled = np.flatnonzero(y.any(1))
+                y = unit(y[filled])
+                whole = np.r_[np.concatenate(seqs), np.zeros(2 * STEP, np.int32)]
+                starts = np.r_[0, np.cumsum([len(s) for s in seqs])]
                 best: dict[tuple[int, int], tuple] = {}
-                done: set[tuple[int, int, int]] = set()
-                for i in range(0, len(at), PRODUCT):
-                    c = p[i : i + PRODUCT] @ q.T
-                    for x, y in zip(*np.nonzero(c >= cosine), strict=True):
-                        passage, k = at[i + x], int(owner[y])
-                        d = int(np.searchsorted(first, passage, "right")) - 1
-                        b = int(passage - first[d])
-                        if (d, k, b) in done:
-                            continue
-                        done.add((d, k, b))
-                        item = items[k]
-                        lo, hi = max(0, b * STEP - len(item.ids)), min(len(seqs[d]), (b + 2) * STEP + len(item.ids))
-                        got = judge(item, seqs[d][lo:hi])
-                        if got and got[0] > best.get((d, k), (0,))[0]:
-                            best[d, k] = (got[0], got[1], lo, hi, float(c[x, y]))
-                for (d, k), (n, how, lo, hi, cos) in best.items():
-                    out.append((docs[d], k, how, n, len(items[k].ids), lo, hi, cos))
+                for i in range(0, len(filled), PRODUCT):
+                    c = y[i : i + PRODUCT] @ q
+                    row, col = np.nonzero(c >= cosine)
+                    pair, one = np.unique(filled[i + row] * len(items) + owner[col], return_index=True)
+                    passage, k, cos = pair // len(items), pair % len(items), c[row[one], col[one]]
+                    d = np.searchsorted(first, passage, "right") - 1
+                    b = passage - first[d]
+                    at = starts[d] + b * STEP
+                    for j in range(0, len(pair), 20_000):
+                        part = slice(j, j + 20_000)
+                        spot = at[part, None] + np.arange(2 * STEP)
+                        seen = has[k[part, None], whole[spot]] & (spot < starts[d[part] + 1][:, None])
+                        for n in j + np.flatnonzero(seen.sum(1) >= least[k[part]]):
+                            x, item, seq = int(d[n]), items[k[n]], seqs[d[n]]
+                            lo, hi = max(0, int(b[n]) * STEP - len(item.ids)), min(len(seq), (int(b[n]) + 2) * STEP + len(item.ids))
+                            got = judge(item, seq[lo:hi])
+                            if got and got[0] > best.get((x, int(k[n])), (0,))[0]:
+                                best[x, int(k[n])] = (got[0], got[1], lo, hi, float(cos[n]))
+                out = [(docs[x], n, how, words_found, len(items[n].ids), lo, hi, cos) for (x, n), (words_found, how, lo, hi, cos) in best.items()]
                 cols = list(zip(*out, strict=True)) if out else [()] * len(FOUND)
                 types = (kind, pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
                 yield pa.record_batch([pa.array(v, t) for v, t in zip(cols, types, strict=True)], names=FOUND)

@@ -150,8 +150,9 @@ def _sets(size: int, percent: int, parts: int):
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 x = shingle_set(text, size, seen)
                 name = set_id(x) if len(x) else None
-                rows.append({"kind": 0, "doc_id": doc, "n": len(x), "set_id": name, "sketch": parity_sketch(x) if len(x) else None})
-                if name is not None and doc is not None and name not in local:
+                announced = name is not None and doc is not None and name not in local
+                rows.append({"kind": 0, "doc_id": doc, "n": len(x), "set_id": name, "sketch": parity_sketch(x) if announced else None})
+                if announced:
                     if len(local) >= 1_000_000:
                         local.clear()
                     local.add(name)
@@ -316,9 +317,9 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str
     packed = sets.filter("kind = 1").select("part", "packed").repartition("part").sortWithinPartitions("part")
     found = written(packed.mapInArrow(_buckets, BUCKETS), "buckets")
 
-    # One row for each id (rows may be repeated), with its set, sketch and the least id of its set.
+    # One row for each id that announced words (rows may be repeated), with its set and sketch; the least id of each set.
     roots = sized.groupBy("set_id").agg(F.min("doc_id").alias("root"))
-    nodes = sized.dropDuplicates(["doc_id", "set_id"])
+    nodes = written(sized.filter("sketch IS NOT NULL").dropDuplicates(["doc_id", "set_id"]), "nodes")
 
     def side(c: str) -> DataFrame:
         return nodes.select(F.col("doc_id").alias(c), F.col("n").alias("n" + c), F.col("set_id").alias("s" + c), F.col("sketch").alias("x" + c))
@@ -373,5 +374,8 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, that with the least id, with its own columns; rows without an id stay."""
     found = jaccard_join(docs, size, percent, doc_id, text)
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{doc_id}`") == F.col("_gone"), "left_anti")
+    mark = "_gone"
+    while mark in docs.columns:
+        mark += "_"
+    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias(mark)).distinct()
+    return docs.join(gone, F.col(f"`{doc_id}`") == F.col(mark), "left_anti")

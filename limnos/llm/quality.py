@@ -6,8 +6,7 @@ and memory bounded by one text.
 
 Defined cases: a null or blank text has zero words and fails the base rule; a null doc_id passes through;
 equal rows are each judged alone; an empty table gives an empty result; columns of the input that carry the name of
-a measure are left untouched by ``keep_good`` (measures live in one struct while filtering) and are not
-returned by ``quality_rules`` beyond the id.
+a measure are left untouched by ``keep_good`` and are not returned by ``quality_rules`` beyond the id.
 """
 
 from __future__ import annotations
@@ -124,25 +123,18 @@ def base_failed(of) -> Column:
     return (of("n_words") < MIN_WORDS) | (of("n_repeat_words") * 100 > of("n_words") * REPEAT_PERCENT)
 
 
-def _measured(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
-    """The kept columns as they are, plus one struct of measures."""
-    name = "_measures"
-    while name in docs.columns:
-        name += "_"
-    words = name + "w"
-    out = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(words + "t"), words_of(F.col(f"`{text}`")).alias(words))
-    m = measures(F.col(words + "t"), F.col(words))
-    return out.select(*[F.col(f"`{c}`") for c in keep], F.struct(*[v.alias(k) for k, v in m.items()]).alias(name))
-
-
 def quality_rules(docs: DataFrame, rules=RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: its id, the measures, base_failed and kept."""
-    df = _measured(docs, doc_id, text=text)
-    m = df.columns[-1]
-    of = lambda k: F.col(f"{m}.{k}")
+    """One row per document: its id, the measures, base_failed and kept.
+
+    The row passes through an explode of one element: a later filter on ``kept`` then stays above it, and is not turned into
+    one that measures the text anew for every rule.
+    """
+    words = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t"), words_of(F.col(f"`{text}`")).alias("w"))
+    measured = words.select("id", *[v.alias(k) for k, v in measures(F.col("t"), F.col("w")).items()])
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_stutters", "n_shouted"]
-    failed = base_failed(of)
-    return df.select(F.col(f"`{doc_id}`"), *[of(k).alias(k) for k in names], failed.alias("base_failed"), (~failed & verdict(of, rules)).alias("kept"))
+    failed = base_failed(F.col)
+    row = F.struct(F.col("id").alias(doc_id), *names, failed.alias("base_failed"), (~failed & verdict(F.col, rules)).alias("kept"))
+    return measured.select(F.explode(F.array(row)).alias("m")).select("m.*")
 
 
 def keep_good(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:

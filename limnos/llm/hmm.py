@@ -17,12 +17,14 @@ an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,35 +76,49 @@ def shared_class(token: Column) -> Column:
     return F.crc32(F.substring(token, -TAIL, TAIL)) % SHARED
 
 
-class _Known(dict):
-    """token -> (class, log10 of base share, log10 of share in its class) of tokens of known count."""
+class _Code(dict):
+    """Class of any token; those met besides the commonest are remembered up to a bound."""
+
+    def __missing__(self, token: bytes) -> int:
+        k = zlib.crc32(token[-TAIL:]) % SHARED
+        if len(self) < 2 * TOP:
+            self[token] = k
+        return k
+
+
+class Lookup:
+    """The commonest tokens as bytes that travel; a worker unpacks them once, however many tasks it runs."""
+
+    ready: tuple[str, dict, _Code] | None = None
 
     def __init__(self, classes: Classes, totals: dict[int, tuple[int, int]], n: int, v: int):
-        for t, c in classes.count.items():
-            k = classes.of(t)
-            nk, vk = totals[k]
-            self[t] = (k, np.log10((c + 1) / (n + v + 1)), 0.0 if t in classes.own else np.log10((c + 1) / (nk + vk + 1)))
+        tokens = list(classes.count)
+        base = [float(np.log10((classes.count[t] + 1) / (n + v + 1))) for t in tokens]
+        kinds = [classes.of(t) for t in tokens]
+        sizes = [totals[k][0] + totals[k][1] + 1 for k in kinds]
+        inner = [0.0 if t in classes.own else float(np.log10((classes.count[t] + 1) / m)) for t, m in zip(tokens, sizes, strict=True)]
+        self.name, self.n = uuid.uuid4().hex, len(tokens)
+        self.tokens = zstandard.compress(b" ".join(tokens), 3)  # tokens have no blanks; the end is the empty one
+        self.kinds, self.base, self.inner = np.array(kinds, np.int16), np.array(base), np.array(inner)
+
+    def read(self) -> tuple[dict[bytes, tuple[float, float]], _Code]:
+        """token -> (log10 of base share, log10 of share in its class), and the classes."""
+        if not Lookup.ready or Lookup.ready[0] != self.name:
+            Lookup.ready = None
+            tokens = zstandard.decompress(self.tokens).split(b" ") if self.n else []
+            known = dict(zip(tokens, zip(self.base.tolist(), self.inner.tolist(), strict=True), strict=True))
+            Lookup.ready = (self.name, known, _Code(zip(tokens, self.kinds.tolist(), strict=True)))
+        return Lookup.ready[1:]
 
 
 PLACED = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "inner", "seq", "token", "n"]
 
 
-def _placed(classes: Classes, totals: dict[int, tuple[int, int]], n: int, v: int):
+def _placed(lookup: Lookup):
     """Of every text: its classes and the sums over tokens of known count; and a row for each other token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known(classes, totals, n, v)
-        code: dict[bytes, int] = {t: x[0] for t, x in known.items()}
-
-        class Code(dict):
-            def __missing__(self, t: bytes) -> int:
-                if len(self) > 3 * TOP:
-                    self.clear()
-                    self.update(code)
-                k = self[t] = zlib.crc32(t[-TAIL:]) % SHARED
-                return k
-
-        codes = Code(code)
+        known, codes = lookup.read()
         for whole in batches:
             for i in range(0, len(whole), 500):
                 batch = whole.slice(i, 500)
@@ -116,8 +132,8 @@ def _placed(classes: Classes, totals: dict[int, tuple[int, int]], n: int, v: int
                         x = known.get(t)
                         if x:
                             found += m
-                            base += m * x[1]
-                            inner += m * x[2]
+                            base += m * x[0]
+                            inner += m * x[1]
                         else:
                             rare[0].append(row)
                             rare[1].append(t)
@@ -275,6 +291,26 @@ def _scored(m: Model):
     return run
 
 
+BINS = 64  # for each doubling of a count
+
+
+def commonest(counts: DataFrame, top: int) -> list[tuple[bytes, int]]:
+    """At most ``top`` tokens, the commonest first: those above the bin of counts that would exceed it.
+
+    A histogram of fixed size finds the bound, so that no more rows than these reach the driver.
+    """
+    short = counts.filter(F.octet_length("token") <= LONGEST).withColumn("bin", F.floor(F.log2("c") * BINS))
+    least, left = None, top
+    for r in sorted(short.groupBy("bin").count().collect(), key=lambda r: -r["bin"]):
+        if r["count"] > left:
+            break
+        least, left = r["bin"], left - r["count"]
+    if least is None:
+        return []
+    got = short.filter(F.col("bin") >= least).select("token", "c").toArrow()
+    return sorted(zip(map(bytes, got["token"].to_pylist()), got["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+
+
 def score_texts(
     docs: DataFrame, fold: int = 7, held: int = 2, states: int = STATES, rounds: int = ROUNDS, top: int = TOP, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -288,8 +324,7 @@ def score_texts(
     counts = written(counted, "counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = total["n"], total["v"]
-    common = counts.filter(F.octet_length("token") <= LONGEST).orderBy(F.desc("c"), "token").limit(top)
-    classes = Classes([(bytes(r["token"]), r["c"]) for r in common.collect()])
+    classes = Classes(commonest(counts, top))
     own = docs.sparkSession.createDataFrame([(bytearray(t), k) for t, k in classes.own.items()] or [(bytearray(b"-"), 0)], "token binary, own int").limit(len(classes.own))
     by_class = counts.join(F.broadcast(own), "token", "left").groupBy(F.coalesce("own", shared_class(F.col("token")).cast("int")).alias("k")).agg(F.sum("c").alias("nk"), F.count(F.lit(1)).alias("vk"))
     totals = {r["k"]: (r["nk"], r["vk"]) for r in by_class.collect()}  # at most SHARED + OWN rows
@@ -298,7 +333,7 @@ def score_texts(
 
     placing = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, inner double, seq binary, token binary, n long"
     rows = docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text")
-    placed = written(rows.mapInArrow(_placed(classes, totals, n, v), placing), "classes")
+    placed = written(rows.mapInArrow(_placed(Lookup(classes, totals, n, v)), placing), "classes")
     texts = placed.filter("token IS NULL")
     learned = texts.filter("NOT held_out").select("row", "seq")
     columns = [f"s{k}" for k in range(states)]

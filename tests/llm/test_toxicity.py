@@ -48,8 +48,10 @@ def test_label_model_finds_good_voters():
     y = r.random(4_000) < 0.3
     votes = np.stack([np.where(r.random(len(y)) < a, np.where(y, 1, -1), np.where(y, -1, 1)) for a in (0.95, 0.9, 0.85, 0.55)], 1)
     votes = np.c_[votes, votes[:, 0]]  # a copy of the first
-    kinds, n = np.unique(votes, axis=0, return_counts=True)
-    m = toxicity.LabelModel(kinds, n.astype(float), np.zeros(len(n)), np.zeros(len(n)))
+    kinds, at, n = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    at, known = at.ravel(), np.arange(len(y)) < 400  # labels set the share of each class
+    bad, good = (np.bincount(at[known & (y == t)], minlength=len(n)).astype(float) for t in (True, False))
+    m = toxicity.LabelModel(kinds, n.astype(float), bad, good)
     assert m.accuracy[0] > m.accuracy[3] and m.correlation[0, 4] > 0.9 > m.correlation[1, 3]
     told = dict(zip(map(tuple, kinds), m.posterior, strict=True))
     assert np.mean([(told[tuple(v)] > 0.5) == t for v, t in zip(votes, y, strict=True)]) > 0.9

@@ -70,7 +70,7 @@ def shuffle_records(
     within = Window.partitionBy("bucket").orderBy("row")
     numbered = rows.withColumn("i", F.row_number().over(within))
     at = F.col("offset") + F.element_at("order", F.col("i"))
-    return numbered.join(bucket_table(rows, seed), "bucket").select(
+    return numbered.join(bucket_table(rows, seed).hint("merge"), "bucket").select(
         "record", "size", "text_crc32", (at % shards).cast("int").alias("shard"), F.floor(at / shards).cast("long").alias("slot")
     )
 

@@ -61,6 +61,7 @@ class Codec:
         opens = np.array([t[0] in b" \n" if t else False for t in self.bytes_of])
         closes = np.array([0x21 <= t[-1] <= 0x7E if t else False for t in self.bytes_of])
         self.opens, self.closes = opens, closes
+        self.packed = "<u2" if len(self.bytes_of) <= 1 << 16 else "<u4"  # tokens while they travel
         self.seams: dict[bytes, np.ndarray] = {}
 
     def encode(self, text: bytes) -> np.ndarray:
@@ -251,7 +252,7 @@ def _shared(path: str, bits: np.ndarray):
                             seen[x[:2]] = x[2]
                         else:
                             ids = np.array([x], np.uint32) if isinstance(x, int) else c.encode(x)
-                            rows.append((pos, None, None, isinstance(x, int), ids.astype("<u4").tobytes()))
+                            rows.append((pos, None, None, isinstance(x, int), ids.astype(c.packed).tobytes()))
                 n = len(seen)
                 head = batch.select(["row", "doc_id"]).take(pa.array(at, pa.int64()))
                 cols = list(zip(*rows, strict=True)) if rows else [()] * 5
@@ -270,7 +271,7 @@ def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            ids = [c.encode(x).astype("<u4").tobytes() for x in batch["chunk"].to_pylist()]
+            ids = [c.encode(x).astype(c.packed).tobytes() for x in batch["chunk"].to_pylist()]
             yield pa.record_batch([batch["k1"], batch["k2"], pa.array(ids, pa.binary())], names=["k1", "k2", "shared"])
 
     return run
@@ -292,7 +293,7 @@ def _joined(path: str):
                     yield close()
                     pieces = []
                 row, doc = r, d
-                got = np.frombuffer(ids, "<u4")
+                got = np.frombuffer(ids, c.packed).astype(np.uint32)
                 pieces.append(int(got[0]) if special else got)
         if row is not None:
             yield close()

@@ -75,9 +75,10 @@ def cmyk_ink(shapes: DataFrame) -> DataFrame:
 
 
 def oklab_roundtrip(shapes: DataFrame) -> DataFrame:
+    """OKLab of the fill, rounded in IEEE arithmetic so that a small negative keeps its sign, and the colour read back from it."""
     lab = shapes.select(*KEYS, *FILL, *[v.alias(k) for k, v in zip(("L", "A", "B"), C.oklab(_fill()), strict=True)])
     back = C.from_oklab((F.col("L"), F.col("A"), F.col("B")))
-    return lab.select(*KEYS, *[F.round(k, 6).alias(n) for k, n in (("L", "lightness"), ("A", "a"), ("B", "b"))], C.to_hex(C.RGB(*back)).alias("hex"))
+    return lab.select(*KEYS, *[(F.rint(F.col(k) * 1e6) / 1e6).alias(n) for k, n in (("L", "lightness"), ("A", "a"), ("B", "b"))], C.to_hex(C.RGB(*back)).alias("hex"))
 
 
 def color_parse(shapes: DataFrame) -> DataFrame:

@@ -147,6 +147,12 @@ seen AS (SELECT t.doc_id, t.shape_index, t.k, t.font_size, t.slum AS own, arg_ma
   GROUP BY ALL),
 q AS (SELECT *, (greatest(own, coalesce(ground, 1e0)) + 0.05e0) / (least(own, coalesce(ground, 1e0)) + 0.05e0) AS r FROM seen)
 SELECT doc_id, shape_index, round(min(r), 6) AS ratio, min(r) < CASE WHEN font_size >= 24 THEN 3e0 ELSE 4.5e0 END AS fails FROM q GROUP BY doc_id, shape_index, font_size""",
+    "ring_area": S + """, p AS (SELECT doc_id, x, y, row_number() OVER (PARTITION BY doc_id ORDER BY shape_index) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM shapes)
+SELECT a.doc_id, count(*) AS points, sum(a.x * b.y - b.x * a.y) / 2 AS area, abs(sum(a.x * b.y - b.x * a.y) / 2) AS size
+FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.k = a.k % a.n + 1 GROUP BY a.doc_id HAVING count(*) >= 3""",
+    "palette_report": S + """SELECT doc_id, fill_r, fill_g, fill_b, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY doc_id) AS DOUBLE), 6) AS coverage,
+  row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, fill_r, fill_g, fill_b) AS rank FROM shapes GROUP BY doc_id, fill_r, fill_g, fill_b""",
+    "box_coverage": S + f"SELECT doc_id, count(*) AS boxes, round(least(1e0, sum(area) / {A}e0), 6) AS coverage FROM shapes WHERE tag = 'rect' GROUP BY doc_id",
     "report_score": f"WITH {FINDINGS} SELECT o_orderkey AS doc_id, greatest(0e0, round_even(100e0 - coalesce(lost, 0e0), 1)) AS score, coalesce(n, 0) AS open_findings FROM orders LEFT JOIN (SELECT doc_id, count(*) AS n, sum(CASE severity WHEN 'error' THEN 5e0 WHEN 'warning' THEN 2e0 ELSE 0.5e0 END) AS lost FROM found GROUP BY doc_id) f ON f.doc_id = o_orderkey",
     "report_rollup_by_rule": f"WITH {FINDINGS} SELECT rule, severity, count(*) AS findings, count(DISTINCT doc_id) AS documents FROM found GROUP BY rule, severity",
     "best_attempt": f"WITH {CANDIDATES_SQL} SELECT request, arg_max(candidate, (score_after, -attempt)) AS candidate, arg_max(attempt, (score_after, -attempt)) AS attempt, max(score_after) AS score_after FROM candidates GROUP BY request",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import layout, lifecycle, report, rules
+from ..operators import layout, lifecycle, measures, report, rules
 from ..sources import bridge
 from . import catalog
 from .oracle import SQL
@@ -40,6 +40,7 @@ def grid_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     **{n: _over(bridge.shapes, getattr(rules, n)) for n in "palette_snap palette_snap_roles contrast_pairs cmyk_ink oklab_roundtrip color_parse stroke_snap type_scale_snap grid_snap font_whitelist min_size min_text hairline safe_margin bleed_check canvas_rescale".split()},
     **{n: _over(bridge.shapes, getattr(layout, n)) for n in "max_colors ink_once_per_color text_hierarchy layout_balance layout_whitespace layout_rhythm layout_alignment text_collisions text_buried contrast_audit".split()},
+    **{n: _over(bridge.shapes, getattr(measures, n)) for n in "ring_area palette_report box_coverage".split()},
     "report_score": report_score,
     "report_rollup_by_rule": _over(bridge.shapes, lambda s: report.by_rule(report.findings(s))),
     **{n: _over(bridge.candidates, getattr(lifecycle, n)) for n in "best_attempt candidate_gate master_pick".split()},

@@ -14,7 +14,7 @@ def rows(columns, data):
     return sorted(tuple(shown(r[c]) for c in sorted(columns)) for r in data)
 
 
-@pytest.mark.parametrize("name", ["palette_snap_roles", "color_parse", "grid_snap", "safe_margin", "max_colors", "layout_alignment", "layout_balance", "text_collisions", "contrast_audit", "report_score", "best_attempt", "status_violations", "grid_flow"])
+@pytest.mark.parametrize("name", ["oklab_roundtrip", "ring_area", "palette_report", "box_coverage", "palette_snap_roles", "color_parse", "grid_snap", "safe_margin", "max_colors", "layout_alignment", "layout_balance", "text_collisions", "contrast_audit", "report_score", "best_attempt", "status_violations", "grid_flow"])
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:

@@ -33,9 +33,9 @@ def op5_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.shuffle_records(table(spark, sf_dir, "documents"), shards=8)
+    out = sharding.digests(sharding.written_shards(sharding.shuffle_records(table(spark, sf_dir, "documents"), shards=8)))
     return out.select(
-        "record.doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
 

@@ -6,8 +6,9 @@ that hold about ``bucket_rows`` records and ``bucket_bytes`` bytes. Pass 2 draws
 and lays the buckets end to end: the record at global place p goes to shard p mod n, slot p div n, so the
 counts of shards differ by one at most and slots have no gaps.
 
-One exchange carries the records (by bucket); a bucket is never held as a whole: its rows are numbered in
-a spillable sort and look their place up in the bucket's permutation.
+One exchange carries the whole records, by ranges of buckets; a bucket is never held as a whole: its permutation travels
+as a row ahead of its records, which are numbered in a spillable sort and look their place up there. As the buckets of a
+task lie end to end, so do its places, and the shards are written from there without another exchange.
 
 Defined cases: a null text has size 1 and crc 0; null ids and repeated rows are records like any other;
 an empty table gives an empty result; input columns keep their names inside the ``record`` struct, so they
@@ -16,10 +17,12 @@ cannot clash with the columns added here.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shared_dir, written
 
 SEED = 20_240_229
 BUCKET_BYTES, BUCKET_ROWS = 8 << 20, 1024
@@ -37,13 +40,17 @@ def fisher_yates(n: Column, *seed: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.array().cast("array<int>"), step)
 
 
+def measures(text: Column) -> tuple[Column, Column]:
+    """size and text_crc32 of a text."""
+    t = F.coalesce(text, F.lit(""))
+    return (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32")
+
+
 def scatter(records: DataFrame, text: str, seed: int) -> DataFrame:
     """Pass 1: record, size, text_crc32, row number and place hash, written to the shared folder."""
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     out = records.select(
         F.struct(*[F.col(f"`{c}`") for c in records.columns]).alias("record"),
-        (F.octet_length(t) + 1).cast("long").alias("size"),
-        F.crc32(t.cast("binary")).alias("text_crc32"),
+        *measures(F.col(f"`{text}`")),
         F.monotonically_increasing_id().alias("row"),
     )
     return written(out.withColumn("place", F.xxhash64(F.lit(seed), "row", "text_crc32")), "scatter")
@@ -66,18 +73,31 @@ def shuffle_records(
     first = scatter(records, text, seed)
     total = first.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()
     buckets = max(1, -(-total["n"] // bucket_rows), -(-total["b"] // bucket_bytes))
-    rows = first.withColumn("bucket", F.pmod(F.col("place"), F.lit(buckets)))
-    within = Window.partitionBy("bucket").orderBy("row")
-    numbered = rows.withColumn("i", F.row_number().over(within))
+    rows = first.withColumn("bucket", F.pmod(F.col("place"), F.lit(buckets))).drop("place")
+    heads = bucket_table(rows, seed).withColumn("row", F.lit(-1).cast("long"))
+    dealt = rows.unionByName(heads, allowMissingColumns=True).repartitionByRange("bucket")
+    within = Window.partitionBy("bucket").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = [F.first(c, ignorenulls=True).over(within).alias(c) for c in ("offset", "order")]
+    numbered = dealt.select("record", "size", "text_crc32", "row", *told, (F.row_number().over(Window.partitionBy("bucket").orderBy("row")) - 1).alias("i"))
     at = F.col("offset") + F.element_at("order", F.col("i"))
-    return numbered.join(bucket_table(rows, seed).hint("merge"), "bucket").select(
+    return numbered.filter("row >= 0").select(
         "record", "size", "text_crc32", (at % shards).cast("int").alias("shard"), F.floor(at / shards).cast("long").alias("slot")
     )
 
 
 def write_shards(shuffled: DataFrame, path: str, slots_per_file: int = 1 << 20) -> None:
-    """Writes path/shard=k/ with the records in slot order; a shard is cut into files of so many slots."""
-    part = F.floor(F.col("slot") / slots_per_file)
-    out = shuffled.withColumn("part", part).repartition("shard", "part").sortWithinPartitions("shard", "part", "slot").drop("part")
-    out.write.partitionBy("shard").parquet(path)
+    """Writes path/shard=k/ with the records of shuffle_records in slot order, also from file to file; a file has at most so many slots."""
+    shuffled.sortWithinPartitions("shard", "slot").write.option("maxRecordsPerFile", slots_per_file).option("compression", "zstd").partitionBy("shard").parquet(path)
+
+
+def written_shards(shuffled: DataFrame) -> DataFrame:
+    """The shuffled records as read from shards in the shared folder."""
+    path = f"{shared_dir(shuffled.sparkSession)}/limnos-shards-{uuid.uuid4().hex}"
+    write_shards(shuffled, path)
+    return shuffled.sparkSession.read.schema(shuffled.schema).parquet(path)
+
 
+def digests(shards: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot of every record, size and crc taken anew from the text in the shard."""
+    size, crc = measures(F.col(f"record.`{text}`"))
+    return shards.select("record.doc_id", size, crc, "shard", "slot")

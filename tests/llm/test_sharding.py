@@ -3,7 +3,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from limnos.llm import sharding
+from limnos.llm import registry, sharding
 
 
 def test_laws(odd, none, make, text_of, tmp_path):
@@ -40,3 +40,22 @@ def test_order_depends_on_the_seed_and_not_on_the_run(make, text_of):
 
 def test_native(odd):
     assert "Python" not in sharding.shuffle_records(odd)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_query_reads_whole_records_from_written_shards(spark, make, text_of, tmp_path):
+    docs = make([(k, text_of(k, 12)) for k in range(3_000)])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = registry.op6_external_shuffle(spark, str(tmp_path))
+    folder = {f.rpartition("/shard=")[0] for f in out.inputFiles()}
+    assert len(folder) == 1
+    back = spark.read.parquet(folder.pop())
+    assert sorted(r.record for r in back.select("record").collect()) == sorted(docs.collect())
+    assert sorted(out.select("doc_id", "size", "text_crc32", "shard", "slot").collect()) == sorted(back.select("record.doc_id", "size", "text_crc32", "shard", "slot").collect())
+
+
+def test_files_of_a_shard_follow_each_other(spark, make, text_of):
+    out = sharding.written_shards(sharding.shuffle_records(make([(k, text_of(k % 9, 12)) for k in range(3_000)]), shards=4, bucket_rows=128))
+    for s in range(4):
+        files = sorted(f for f in out.inputFiles() if f"/shard={s}/" in f)
+        slots = [r.slot for f in files for r in spark.read.parquet(f).select("slot").collect()]
+        assert slots == list(range(750))

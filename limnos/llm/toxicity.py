@@ -1,8 +1,9 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier.
 
-1. Lexicons: a stated list of insults, and words and stems (leading letters) that labelled training rows mark as
-   toxic, from a bounded sample of those rows (``SAMPLE`` of each class, by a hash of the id).
-2. Voters: every whole text is counted once; each voter says toxic (1), harmless (-1) or nothing (0) from the counts.
+1. Lexicons: a stated list of insults, and all words and stems (leading letters) that the labelled training rows mark as
+   toxic, tallied over every one of those rows into a written table.
+2. Voters: every whole text is counted once; its words and stems that a bit filter of fixed size lets pass are joined
+   with the table; each voter says toxic (1), harmless (-1) or nothing (0) from the counts.
 3. Label model: the votes of ALL rows, grouped by pattern (at most 3^voters rows), give each voter's accuracy by expectation
    maximisation with known labels held fixed, and the correlation of each pair of voters within a
    class; a voter's say is divided by one plus its correlations with the others.
@@ -18,17 +19,21 @@ not read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bits import BITS, bit_filter, maybe, slot
 from .common import id_fold, written
 
-SAMPLE, FIT, LEARNED = 12_000, 20_000, 4_000
+FIT = 20_000
+HELD_COUNTS = 400_000  # features tallied, or words looked up, in a task before they are passed on or dropped
 STEMS = (4, 5, 6)
 PRIOR = 0.1
 # Insults.
@@ -42,56 +47,109 @@ def _features(words: set[str]) -> set[str]:
     return {"w" + w for w in words} | {f"{k}{w[:k]}" for k in STEMS for w in words if len(w) > k}
 
 
+def _squeezed(bits: np.ndarray):
+    """Texts of the ids that the filter lets pass, compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(1)
+        for batch in batches:
+            batch = batch.filter(pa.array(maybe(bits, batch["slot"].to_numpy(zero_copy_only=False))))
+            yield pa.record_batch([batch["doc_id"], pa.array([squeeze.compress((t or "").encode()) for t in batch["text"].to_pylist()], pa.binary())], names=["doc_id", "z"])
+
+    return run
+
+
 def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n: tuple[Counter, Counter] = (Counter(), Counter())
-        for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
-            n[toxic].update(_features(set(WORD.findall((text or "").lower()))))
+    n: tuple[Counter, Counter] = (Counter(), Counter())
+    open_ = zstandard.ZstdDecompressor()
+
+    def out() -> Iterator[pa.RecordBatch]:
         keys = list(n[0].keys() | n[1].keys())
-        yield pa.record_batch([pa.array(keys, pa.string()), pa.array([n[1][k] for k in keys], pa.int64()), pa.array([n[0][k] for k in keys], pa.int64())], names=["feature", "bad", "good"])
+        for i in range(0, len(keys), 20_000):
+            part = keys[i : i + 20_000]
+            yield pa.record_batch([pa.array(part, pa.string()), pa.array([n[1][k] for k in part], pa.int64()), pa.array([n[0][k] for k in part], pa.int64())], names=["feature", "bad", "good"])
+        for c in n:
+            c.clear()
+
+    for batch in batches:
+        for z, toxic in zip(batch["z"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
+            n[toxic].update(_features(set(WORD.findall(open_.decompress(z).decode().lower()))))
+            if len(n[0]) + len(n[1]) >= HELD_COUNTS:
+                yield from out()
+    yield from out()
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, learned: int = LEARNED) -> tuple[list[str], int, int]:
-    """Words ("w...") and stems ("4..." and so on) that labelled rows mark as toxic; the numbers of rows of both classes.
+def learn_lexicon(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """feature: all words ("w...") and stems ("4..." and so on) that labelled rows mark as toxic, as a written table.
 
-    docs: doc_id, text; labels: doc_id, toxic, a bounded sample. At most ``learned`` features come back.
+    docs: doc_id, text; labels: doc_id, toxic, one row an id, a written table.
     """
-    rows = docs.join(F.broadcast(labels), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    thin = docs.select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(_squeezed(bit_filter(labels, "doc_id")), f"doc_id {kind}, z binary")
+    rows = thin.join(labels, "doc_id").select("z", "toxic")
     tally = rows.mapInArrow(_tallied, "feature string, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     n = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
-    if not bad or not good:
-        return [], bad, good
-    lift = (F.col("bad") / bad) / ((F.col("good") + 0.5) / good)
-    best = tally.filter(F.col("bad") >= 3).filter(lift >= 12).orderBy((F.log(lift) * F.sqrt("bad")).desc(), "feature").limit(learned)
-    return [r["feature"] for r in best.select("feature").collect()], bad, good
+    lift = (F.col("bad") / max(bad, 1)) / ((F.col("good") + 0.5) / max(good, 1))
+    return written(tally.filter(F.lit(bool(bad and good))).filter(F.col("bad") >= 3).filter(lift >= 12).select("feature"), "lexicon")
+
 
+PLACED = ["row", "doc_id", "stated", "stated_kinds", "shouts", "words", "kind", "feature"]
 
-def _counted(features: list[str]):
-    words = {f[1:] for f in features if f[0] == "w"}
-    stems = {k: {f[1:] for f in features if f[0] == str(k)} for k in STEMS}
+
+def _counted(bits: np.ndarray):
+    """Of every text what needs no lexicon, and a row for each feature that may be learned, with the number of its word in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[str, tuple[str, ...]] = {}
+
+        def likely(word: str) -> tuple[str, ...]:
+            if word not in met:
+                if len(met) >= HELD_COUNTS:
+                    met.clear()
+                of = list(_features({word}))
+                let = maybe(bits, np.array([zlib.crc32(f.encode()) & (BITS - 1) for f in of], np.int64))
+                met[word] = tuple(f for f, ok in zip(of, let, strict=True) if ok)
+            return met[word]
+
         for batch in batches:
-            out: list[list[int]] = [[] for _ in COUNTS]
-            for text in batch["text"].to_pylist():
+            texts: list[list[int]] = [[] for _ in range(4)]
+            hits: list[list] = [[] for _ in range(3)]
+            for r, text in zip(batch["row"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 text = text or ""
                 seen = WORD.findall(text.lower())
                 kinds = set(seen)
-                stated, learned = kinds & INSULTS, kinds & words
-                by_stem = [[w for w in kinds if w[:k] in stems[k] and len(w) > k] for k in STEMS]
-                half = [w for w in learned if len(w) % 2]
-                row = (
-                    sum(w in stated for w in seen) if stated else 0, len(stated), len(half), len(learned) - len(half), len(learned),
-                    *(len(x) for x in by_stem), len(set().union(*by_stem)), text.count("!!"), len(seen),
-                )
-                for column, value in zip(out, row, strict=True):
+                stated = kinds & INSULTS
+                for column, value in zip(texts, (sum(w in stated for w in seen) if stated else 0, len(stated), text.count("!!"), len(seen)), strict=True):
                     column.append(value)
-            yield pa.record_batch([batch["doc_id"], *[pa.array(c, pa.int64()) for c in out]], names=["doc_id", *COUNTS])
+                for k, word in enumerate(kinds):
+                    for f in likely(word):
+                        for column, value in zip(hits, (r, k, f), strict=True):
+                            column.append(value)
+            n, m = len(batch), len(hits[0])
+            yield pa.record_batch([batch["row"], batch["doc_id"], *[pa.array(c, pa.int64()) for c in texts], pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], names=PLACED)
+            yield pa.record_batch([pa.array(hits[0], pa.int64()), pa.nulls(m, batch["doc_id"].type), *[pa.nulls(m, pa.int64())] * 4, pa.array(hits[1], pa.int64()), pa.array(hits[2], pa.string())], names=PLACED)
 
     return run
 
 
+def count_texts(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """doc_id and COUNTS of every row."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    bits = bit_filter(lexicon, "feature", at=F.crc32(F.col("feature").cast("binary")) % BITS)
+    numbered = docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text")
+    placed = written(numbered.mapInArrow(_counted(bits), f"row long, doc_id {kind}, stated long, stated_kinds long, shouts long, words long, kind long, feature string"), "placed")
+    hits = placed.filter("feature IS NOT NULL").select("row", "kind", "feature").join(lexicon, "feature")
+    first, n = F.substring("feature", 1, 1), F.length("feature") - 1
+    by_kind = hits.groupBy("row", "kind").agg(F.max(F.when(first == "w", n)).alias("word"), *[F.max((first == str(k)).cast("int")).alias(f"s{k}") for k in STEMS])
+    by_row = by_kind.groupBy("row").agg(
+        F.count_if(F.col("word") % 2 == 1).alias("learned_a"), F.count_if(F.col("word") % 2 == 0).alias("learned_b"), F.count("word").alias("learned_kinds"),
+        *[F.sum(f"s{k}").alias(f"stem{k}") for k in STEMS], F.count_if(F.greatest(*[f"s{k}" for k in STEMS]) == 1).alias("stem_kinds"),
+    )
+    both = placed.filter("feature IS NULL").drop("kind", "feature").join(by_row, "row", "left")
+    return both.select("doc_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in COUNTS])
+
+
 def voters() -> list[tuple[str, Column]]:
     """Name and vote of each voter over a row of counts."""
     c = F.col
@@ -169,17 +227,15 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2, r
     return b
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, fit: int = FIT, threshold: float = 0.3) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, doc_id: str = "doc_id", text: str = "text", fit: int = FIT, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted, posterior of the label model, for every row.
 
     Labels of ids whose crc32 modulo ``fold`` is ``held`` are never used.
     """
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(id_fold("doc_id", fold) != held).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
-    features, _, _ = learn_lexicon(docs, written(chosen[0].unionByName(chosen[1]), "labelled"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    counts = written(docs.mapInArrow(_counted(features), f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS)), "counts")
+    known = written(known, "labelled")
+    counts = written(count_texts(docs, learn_lexicon(docs, known)), "counts")
     votes = voters()
     voted = counts.select("*", F.concat_ws(",", *[v for _, v in votes]).alias("votes"))
     patterns = (

@@ -55,3 +55,30 @@ def test_label_model_finds_good_voters():
     assert m.accuracy[0] > m.accuracy[3] and m.correlation[0, 4] > 0.9 > m.correlation[1, 3]
     told = dict(zip(map(tuple, kinds), m.posterior, strict=True))
     assert np.mean([(told[tuple(v)] > 0.5) == t for v, t in zip(votes, y, strict=True)]) > 0.9
+
+
+def test_lexicon_is_not_cut(spark, make, text_of):
+    """6,000 toxic words, each in three of 200 toxic texts: texts with only the last of them are found."""
+    r = random.Random(5)
+    words = sorted({"".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(9)) for _ in range(6_000)})
+    last = [w for w in words if w[0] == "z"]
+    train = [i for i in range(3_000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    held = [i for i in range(3_000) if zlib.crc32(str(i).encode()) % 4 == 2]
+    texts = [[] for _ in range(200)]
+    for k in range(3):
+        order = r.sample(words, len(words))
+        for n, w in enumerate(order):
+            texts[(n * 3 + k) % 200].append(w)
+    rows = [(train[k], " ".join(w)) for k, w in enumerate(texts)] + [(i, text_of(i, 60)) for i in train[200:800]]
+    labels = [(i, 1, int(k < 200)) for k, (i, _) in enumerate(rows)]
+    rows += [(i, text_of(i, 40) + " " + " ".join(r.sample(last, 6))) for i in held[:20]] + [(i, text_of(i, 60)) for i in held[20:60]]
+    got = {g.doc_id: g for g in toxicity.score_toxicity(make(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect() if g.held_out}
+    assert [got[i].predicted for i in held[:60]] == [1] * 20 + [0] * 40
+
+
+def test_counts_by_join_are_those_of_one_text(spark, make, odd):
+    lexicon = spark.createDataFrame([("wzork",), ("4zork",), ("5zorke",), ("6zorkel",), ("wblurbs",), ("4nope",)], "feature string")
+    got = toxicity.count_texts(make([(1, "Zork zorkel, zorkelt blurbs idiot idiot !!"), (1, "nothing")]), lexicon).orderBy("words").collect()
+    c = lambda r: [r[k] for k in toxicity.COUNTS]
+    assert [c(r) for r in got] == [[0] * 10 + [1], [2, 1, 0, 2, 2, 2, 2, 1, 2, 1, 6]]
+    assert toxicity.count_texts(odd, lexicon).count() == 15

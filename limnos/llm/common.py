@@ -39,6 +39,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a written table with a number for each row, and that column's name."""
+    row = "_row"
+    while row in df.columns:
+        row += "_"
+    return written(df.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
 def drop_written(df: DataFrame) -> None:
     """Removes tables that written() made, once nothing reads them any more."""
     spark = df.sparkSession

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bits import bit_filter, maybe, slot
-from .common import written
+from .common import numbered, written
 from .components import components
 from .shingles import WordHash, mix, set_id, shingle_set
 
@@ -372,10 +372,9 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, that with the least id, with its own columns; rows without an id stay."""
-    found = jaccard_join(docs, size, percent, doc_id, text)
-    mark = "_gone"
-    while mark in docs.columns:
-        mark += "_"
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias(mark)).distinct()
-    return docs.join(gone, F.col(f"`{doc_id}`") == F.col(mark), "left_anti")
+    """One row of each component, that with the least id (an id before none), with its own columns; rows are told apart by number, whatever their ids."""
+    rows, row = numbered(docs)
+    found = jaccard_join(rows, size, percent, row, text).select(F.col("doc_id").alias(row), F.col("component_id").alias("_component"))
+    named = found.join(rows.select(row, F.col(f"`{doc_id}`").alias("_id")), row)
+    best = named.groupBy("_component").agg(F.min_by(row, F.struct(F.col("_id").isNull(), "_id", row)).alias(row)).select(row)
+    return rows.join(best, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import numbered, written
 
 STEP, RANK, COSINE, STRONG, WEAK, ANSWER = 12, 96, 0.3, 0.8, 0.6, 0.75
 COMMON = 0.2  # words in more of the texts than this don't enter the vectors
@@ -350,9 +350,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents in which no item was found, with their own columns; rows without an id stay."""
-    mark = "_leaked"
-    while mark in docs.columns:
-        mark += "_"
-    gone = written(leaks(docs, benchmark, doc_id, text).filter("doc_id IS NOT NULL").select(F.col("doc_id").alias(mark)).distinct(), "leaks")
-    return docs.join(gone, F.col(f"`{doc_id}`") == F.col(mark), "left_anti")
+    """The rows in which no item was found, with their own columns; rows are told apart by number, whatever their ids."""
+    rows, row = numbered(docs)
+    gone = written(leaks(rows.select(F.col(row).alias(doc_id), F.col(f"`{text}`")), benchmark, doc_id, text).select(F.col(f"`{doc_id}`").alias(row)).distinct(), "leaks")
+    return rows.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -81,3 +81,10 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {k: 1 for k in range(1, 41)} | {k: 100 for k in range(100, 140)}
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_keep_one_tells_rows_apart_whatever_their_ids(make, text_of):
+    a, b, c = (text_of(k, 80) for k in (1, 2, 3))
+    docs = make([(1, a), (1, a), (1, b), (None, c), (None, c), (None, b), (7, None), (None, None)])
+    kept = jaccard.keep_one(docs, 4, 85).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted([("1", a), ("1", b), ("None", c), ("7", ""), ("None", "")])

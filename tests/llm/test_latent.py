@@ -57,3 +57,12 @@ def test_odd_rows(spark, odd, none):
     kept = latent.drop_leaks(odd, bench)
     assert kept.dtypes == odd.dtypes and kept.filter("doc_id IS NULL").count() == 2
     assert latent.leaks(none, bench).count() == 0 and latent.leaks(odd, bench.limit(0)).count() == 0
+
+
+def test_drop_leaks_tells_rows_apart_whatever_their_ids(spark, make, text_of):
+    item, clean = text_of(900, 60), [text_of(k, 200) for k in range(40)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    leaking = clean[0] + " " + item + " " + clean[1]
+    docs = make([(k, t) for k, t in enumerate(clean)] + [(None, leaking), (None, clean[5]), (3, leaking)])
+    left = latent.drop_leaks(docs, bench).collect()
+    assert sorted((str(r.doc_id), r.text) for r in left) == sorted([*((str(k), t) for k, t in enumerate(clean)), ("None", clean[5])])

@@ -10,12 +10,17 @@ so joins a bucket of its kind). Sets that share a word are candidates. Their par
 compared: the Hamming distance is never above the symmetric difference, so pairs beyond the limit fall.
 Those left are verified on the whole texts.
 
-No pair is lost and no group of copies is expanded: equal sets are one node; a bucket compares its members with
-its least id first; only members that are not yet in the least id's component are then compared with the others.
+Groups of copies are drawn together before all words are compared, so that they are never expanded: equal sets are one node
+(named by the least id that has the set). First only the ``LOW`` least words of each set are compared, every bucket's
+members with its least node (in two levels, so that no word is too hot). Then all words are, packed by parts of the words: a
+pair comes out only where a bucket's least node lies in another component than the member. At last the members of
+buckets that still lie in several components are compared with the others there. No pair is lost: sets that
+share a word end in one component or have been compared.
 
 Defined cases: texts that are null, empty or blank have an empty set, no links and themselves as component; rows without
-an id have no component; rows repeated with one id share its component; an empty table gives an empty result;
-other columns are ignored. Sets are compared by 64-bit hashes of their shingles and named by a 64-bit hash.
+an id have no component; rows repeated with one id share its component; an empty table gives an empty result; very
+long texts are sets like others; of ties the least id is named; other columns are ignored. Ids are whole numbers (others are refused).
+Sets are compared by 64-bit hashes of their shingles and named by a 64-bit hash. The join's result is components, not the links in them.
 """
 
 from __future__ import annotations
@@ -35,9 +40,11 @@ from .components import components
 from .shingles import WordHash, mix, set_id, shingle_set
 
 DEALINGS = 4
-BLOCK_DOCS = 8192  # sets whose words are packed together before they travel
+BLOCK_DOCS, BLOCK_WORDS = 8192, 1 << 22  # sets and words that are packed together before they travel
 PACKED_BYTES = 8 << 20  # input for each packed partition of words
-SIDE, MEMBERS = 1024, 4096  # block sizes of the second comparison
+LOW = 4  # words of each pair of bands that the first comparison uses
+SALTS = 64  # shares of one word there
+SIDE, MEMBERS = 1024, 4096  # block sizes of the last comparison
 LEADER_SHARE = 256  # members verified with one copy of the leader's text
 
 
@@ -64,13 +71,14 @@ class Bands:
         return self.known[band]
 
 
-def words_of_set(x: np.ndarray, bands: Bands) -> np.ndarray:
-    """The 64-bit words that a sorted set announces."""
-    out, top = [], bands.of(len(x))
+def words_by_band(x: np.ndarray, bands: Bands) -> list[np.ndarray]:
+    """The 64-bit words that a sorted set announces for each pair of bands it is part of."""
+    found, top = [], bands.of(len(x))
     with np.errstate(over="ignore"):
         for band in (top - 1, top):
             if band < 0:
                 continue
+            out: list[np.ndarray] = []
             s, d = bands.segments(band)
             for dealing in range(DEALINGS + 1):
                 salt = mix(np.array([(band * (DEALINGS + 1) + dealing) * (1 << 32)], np.uint64))[0]
@@ -84,7 +92,13 @@ def words_of_set(x: np.ndarray, bands: Bands) -> np.ndarray:
                 out.append(mix(xor ^ mix(part[starts] + salt)))
                 if s - len(starts) < s - d:
                     break
-    return np.concatenate(out)
+            found.append(np.concatenate(out))
+    return found
+
+
+def words_of_set(x: np.ndarray, bands: Bands) -> np.ndarray:
+    """All words that a sorted set announces."""
+    return np.concatenate(words_by_band(x, bands))
 
 
 def parity_sketch(x: np.ndarray) -> bytes:
@@ -104,10 +118,14 @@ def within(h: np.ndarray | int, n: np.ndarray | int, m: np.ndarray | int, percen
     return h * (100 + percent) <= (100 - percent) * (n + m)
 
 
-def pack(docs: list[int], keys: list[np.ndarray], parts: int) -> Iterator[tuple[int, bytes]]:
-    """Words and their documents as bytes for each part."""
-    ids = np.array(docs, np.int64)
-    at = np.repeat(np.arange(len(docs), dtype=np.uint16), [len(k) for k in keys])
+def pack(nodes: list[int], comps: list[int], keys: list[np.ndarray], parts: int) -> Iterator[tuple[int, bytes]]:
+    """Words, their nodes and the components of these as bytes for each part."""
+    ids, labels = np.array(nodes, np.int64), np.array(comps, np.int64)
+    by_id = np.argsort(ids, kind="stable")
+    rank = np.empty(len(ids), np.uint16)
+    rank[by_id] = np.arange(len(ids))
+    ids, labels = ids[by_id], labels[by_id]
+    at = np.repeat(rank, [len(k) for k in keys])
     key = np.concatenate(keys)
     part = (((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(part, kind="stable")
@@ -116,51 +134,73 @@ def pack(docs: list[int], keys: list[np.ndarray], parts: int) -> Iterator[tuple[
     squeeze = zstandard.ZstdCompressor(1)
     for i, j in zip(starts, [*starts[1:], len(part)], strict=True):
         used, short = np.unique(at[i:j], return_inverse=True)
-        head = squeeze.compress(np.diff(ids[used], prepend=0).tobytes())
+        head = squeeze.compress(np.diff(ids[used], prepend=0).tobytes() + (labels[used] - ids[used]).tobytes())
         yield int(part[i]), np.array([len(head), j - i], np.int64).tobytes() + head + key[i:j].tobytes() + short.astype(np.uint16).tobytes()
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, their nodes, the components of these."""
     head, n = np.frombuffer(blob, np.int64, 2)
-    ids = np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[16 : 16 + head]), np.int64))
+    diffs, to_label = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[16 : 16 + head]), np.int64).reshape(2, -1)
+    ids = np.cumsum(diffs)
     key = np.frombuffer(blob, np.uint64, n, 16 + int(head))
-    return key, ids[np.frombuffer(blob, np.uint16, n, 16 + int(head) + 8 * int(n))]
+    at = np.frombuffer(blob, np.uint16, n, 16 + int(head) + 8 * int(n))
+    return key, ids[at], (ids + to_label)[at]
 
 
-SETS = "kind int, doc_id long, n long, set_id long, sketch binary, part int, packed binary"
-SETS_ARROW = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("sketch", pa.binary()), ("part", pa.int32()), ("packed", pa.binary())])
+SETS = "doc_id long, n long, set_id long, sketch binary, words binary, low array<long>"
+SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("sketch", pa.binary()), ("words", pa.binary()), ("low", pa.list_(pa.int64()))])
 
 
-def _sets(size: int, percent: int, parts: int):
-    """Rows of kind 0: the documents' sets; of kind 1: packed words."""
+def _sets(size: int, percent: int):
+    """The documents' sets; sketch and words come with the first row of a set in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, bands, local = WordHash(), Bands(percent), set()
-        docs: list[int] = []
+        for whole in batches:
+            for i in range(0, len(whole), 1000):
+                batch, rows = whole.slice(i, 1000), []
+                for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                    x = shingle_set(text, size, seen)
+                    name = set_id(x) if len(x) else None
+                    row = {"doc_id": doc, "n": len(x), "set_id": name}
+                    if name is not None and doc is not None and name not in local:
+                        if len(local) >= 1_000_000:
+                            local.clear()
+                        local.add(name)
+                        keys = words_by_band(x, bands)
+                        low = [np.partition(k, LOW)[:LOW] if len(k) > LOW else k for k in keys]
+                        row |= {"sketch": parity_sketch(x), "words": np.concatenate(keys).tobytes(), "low": np.concatenate(low).astype(np.int64)}
+                    rows.append(row)
+                yield pa.RecordBatch.from_pylist(rows, SETS_ARROW)
+
+    return run
+
+
+def _packed(parts: int):
+    """Of rows (root, comp, words): words by part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roots: list[int] = []
+        comps: list[int] = []
         keys: list[np.ndarray] = []
+        held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for p, blob in pack(docs, keys, parts) if docs else ():
-                yield pa.RecordBatch.from_pylist([{"kind": 1, "part": p, "packed": blob}], SETS_ARROW)
-            docs.clear()
-            keys.clear()
+            for p, blob in pack(roots, comps, keys, parts) if roots else ():
+                yield pa.record_batch([pa.array([p], pa.int32()), pa.array([blob], pa.binary())], names=["part", "packed"])
+            for x in (roots, comps, keys):
+                x.clear()
 
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                x = shingle_set(text, size, seen)
-                name = set_id(x) if len(x) else None
-                announced = name is not None and doc is not None and name not in local
-                rows.append({"kind": 0, "doc_id": doc, "n": len(x), "set_id": name, "sketch": parity_sketch(x) if announced else None})
-                if announced:
-                    if len(local) >= 1_000_000:
-                        local.clear()
-                    local.add(name)
-                    docs.append(doc)
-                    keys.append(words_of_set(x, bands))
-                    if len(docs) >= BLOCK_DOCS or sum(map(len, keys[-1:])) > 1 << 22:
-                        yield from flush()
-            yield pa.RecordBatch.from_pylist(rows, SETS_ARROW)
+            for root, comp, words in zip(batch["root"].to_pylist(), batch["comp"].to_pylist(), batch["words"].to_pylist(), strict=True):
+                roots.append(root)
+                comps.append(comp)
+                keys.append(np.frombuffer(words, np.uint64))
+                held += len(keys[-1])
+                if len(roots) >= BLOCK_DOCS or held > BLOCK_WORDS:
+                    yield from flush()
+                    held = 0
         yield from flush()
 
     return run
@@ -171,28 +211,27 @@ BUCKETS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("members", pa.
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by part: pairs of each bucket's least id with the others, and the members of buckets of three or more."""
+    """Of rows sorted by part: pairs of each bucket's least node with members of other components, and the members of buckets of three or more where there are such."""
 
     def close(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         got = [unpack(b) for b in blobs]
-        key, doc = np.concatenate([k for k, _ in got]), np.concatenate([d for _, d in got])
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        new = np.r_[True, key[1:] != key[:-1]]
-        fresh = new | np.r_[True, doc[1:] != doc[:-1]]
-        key, doc = key[fresh], doc[fresh]
+        key, node, comp = (np.concatenate([g[k] for g in got]) for k in range(3))
+        order = np.lexsort((node, key))
+        key, node, comp = key[order], node[order], comp[order]
+        fresh = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+        key, node, comp = key[fresh], node[fresh], comp[fresh]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
-        many = sizes > 1
-        run = np.repeat(starts, sizes)
-        other = (np.arange(len(doc)) != run) & np.repeat(many, sizes)
-        pairs = np.unique(np.stack([doc[run[other]], doc[other]], 1), axis=0) if other.any() else np.empty((0, 2), np.int64)
+        lead = np.repeat(starts, sizes)
+        other = comp != comp[lead]
+        pairs = np.unique(np.stack([node[lead[other]], node[other]], 1), axis=0) if other.any() else np.empty((0, 2), np.int64)
         for i in range(0, len(pairs), 20_000):
             p = pairs[i : i + 20_000]
             yield pa.record_batch([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.nulls(len(p), pa.binary())], BUCKETS_ARROW)
+        mixed = (sizes > 2) & np.logical_or.reduceat(other, starts)
         seen: set[bytes] = set()
-        for i, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-            seen.add(doc[i : i + n].tobytes())
+        for i, n in zip(starts[mixed], sizes[mixed], strict=True):
+            seen.add(node[i : i + n].tobytes())
             if len(seen) >= 500:
                 yield pa.record_batch([pa.nulls(len(seen), pa.int64())] * 2 + [pa.array(list(seen), pa.binary())], BUCKETS_ARROW)
                 seen.clear()
@@ -218,7 +257,7 @@ def _near(percent: int):
         for batch in batches:
             cols = [batch[c].to_pylist() for c in ("na", "nb", "xa", "xb")]
             keep = [100 * min(n, m) >= percent * max(n, m) and within(distance(x, y), n, m, percent) for n, m, x, y in zip(*cols, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["a", "sa", "b", "sb"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -237,18 +276,20 @@ def _squeezed(bits: np.ndarray):
 
 
 def _verified(size: int, percent: int):
-    """Of rows sorted by leader, share and kind: the members that link with the leader."""
+    """Of rows sorted by leader, share and kind: the members that link with the leader. Texts of another row of the same id are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, open_, leader, x = WordHash(), zstandard.ZstdDecompressor(), None, None
         for batch in batches:
             a, b = [], []
-            for lead, doc, z in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), batch["z"].to_pylist(), strict=True):
+            for lead, named, doc, name, z in zip(*[batch[c].to_pylist() for c in ("a", "sa", "b", "sb", "z")], strict=True):
                 y = shingle_set(open_.decompress(z).decode(), size, seen)
+                if set_id(y) != (named if doc is None else name):
+                    continue
                 if doc is None:
-                    leader, x = lead, y
+                    leader, x = (lead, named), y
                     continue
-                assert lead == leader
+                assert (lead, named) == leader
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if both * 100 >= percent * (len(x) + len(y) - both):
                     a.append(lead)
@@ -292,73 +333,84 @@ def _cross(percent: int):
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs of ids whose whole texts link; pairs is a written table."""
-    bits = bit_filter(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), "doc_id")
-    want = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    thin = docs.select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(_squeezed(bits), "doc_id long, z binary")
-    texts = written(thin.join(want, "doc_id").dropDuplicates(["doc_id"]), "texts")
-    shares = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LEADER_SHARE).alias("shares"))
-    members = pairs.join(shares, "a").select("a", F.pmod(F.xxhash64("b"), F.col("shares")).alias("share"), "b")
+    """The pairs of nodes whose whole texts link; pairs (a, sa, b, sb) is a written table."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    thin = docs.select("doc_id", "text", slot("doc_id").alias("slot")).filter("doc_id IS NOT NULL").mapInArrow(_squeezed(bit_filter(ids, "doc_id")), "doc_id long, z binary")
+    texts = written(thin.join(ids.distinct(), "doc_id").dropDuplicates(["doc_id", "z"]), "texts")
+    shares = pairs.groupBy("a", "sa").agg(F.ceil(F.count(F.lit(1)) / LEADER_SHARE).alias("shares"))
+    members = pairs.join(shares, ["a", "sa"]).select("a", "sa", F.pmod(F.xxhash64("b", "sb"), F.col("shares")).alias("share"), "b", "sb")
     members = members.join(texts.select(F.col("doc_id").alias("b"), "z"), "b")
-    leaders = shares.join(texts.select(F.col("doc_id").alias("a"), "z"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("b"), "z")
-    rows = leaders.unionByName(members).repartition("a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
+    none = F.lit(None).cast("long")
+    leaders = shares.join(texts.select(F.col("doc_id").alias("a"), "z"), "a").select("a", "sa", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), none.alias("b"), none.alias("sb"), "z")
+    rows = leaders.unionByName(members).repartition("a", "sa", "share").sortWithinPartitions("a", "sa", "share", F.col("b").asc_nulls_first())
     return rows.mapInArrow(_verified(size, percent), "a long, b long")
 
 
 def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: the least id reachable by links, for every row."""
     spark = docs.sparkSession
+    if docs.select(f"`{doc_id}`").schema[0].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{doc_id} has to be a whole number")
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     bytes_in = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 22, bytes_in // PACKED_BYTES))
-    sets = written(docs.mapInArrow(_sets(size, percent, parts), SETS), "sets")
-    members = sets.filter("kind = 0").select("doc_id", "n", "set_id", "sketch")
+    sets = written(docs.mapInArrow(_sets(size, percent), SETS), "sets")
+    members = sets.select("doc_id", "n", "set_id")
     sized = members.filter("set_id IS NOT NULL AND doc_id IS NOT NULL")
-    packed = sets.filter("kind = 1").select("part", "packed").repartition("part").sortWithinPartitions("part")
-    found = written(packed.mapInArrow(_buckets, BUCKETS), "buckets")
-
-    # One row for each id that announced words (rows may be repeated), with its set and sketch; the least id of each set.
-    roots = sized.groupBy("set_id").agg(F.min("doc_id").alias("root"))
-    nodes = written(sized.filter("sketch IS NOT NULL").dropDuplicates(["doc_id", "set_id"]), "nodes")
-
-    def side(c: str) -> DataFrame:
-        return nodes.select(F.col("doc_id").alias(c), F.col("n").alias("n" + c), F.col("set_id").alias("s" + c), F.col("sketch").alias("x" + c))
-
-    pairs = found.filter("members IS NULL").select("a", "b").distinct()
-    wide = pairs.join(side("a"), "a").join(side("b"), "b").filter("sa <> sb")
-    first = written(wide.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_near(percent), "a long, b long"), "near")
-    linked = written(_verify(first, docs, size, percent), "links")
-    by_id = nodes.select("doc_id", "set_id").join(roots, "set_id").select("doc_id", "root")
-
-    def labels(links: DataFrame) -> DataFrame:
-        edges = links.join(by_id.select(F.col("doc_id").alias("a"), F.col("root").alias("u")), "a").join(by_id.select(F.col("doc_id").alias("b"), F.col("root").alias("v")), "b")
-        return components(edges.select("u", "v"))
-
-    def comp(label: DataFrame) -> DataFrame:
-        return by_id.join(label.withColumnRenamed("node", "root"), "root", "left").select("doc_id", F.coalesce("label", "root").alias("comp"))
-
-    label = written(labels(linked), "labels")
-
-    # Buckets with members outside their least id's component: these are compared with all the others there.
-    buckets = found.filter("members IS NOT NULL").select("members").distinct()
-    opened = buckets.select(F.xxhash64("members").alias("bucket"), "members").mapInArrow(_open, "bucket long, lead long, doc_id long")
-    c = comp(label)
-    placed = opened.join(c, "doc_id").join(c.select(F.col("doc_id").alias("lead"), F.col("comp").alias("lead_comp")), "lead")
-    placed = written(placed.select("bucket", "doc_id", "comp", (F.col("comp") != F.col("lead_comp")).alias("minor")), "placed")
+    named = written(sized.groupBy("set_id").agg(F.min("doc_id").alias("root")), "roots")
+    told = sets.filter("words IS NOT NULL")
+    nodes = written(told.select("set_id", "n", "sketch", "low").dropDuplicates(["set_id"]).join(named, "set_id"), "nodes")
+
+    def near(pairs: DataFrame, label: str) -> DataFrame:
+        """Of pairs of roots, those of sets whose sketches allow a link."""
+        side = lambda c: nodes.select(F.col("root").alias(c), F.col("n").alias("n" + c), F.col("set_id").alias("s" + c), F.col("sketch").alias("x" + c))
+        wide = pairs.distinct().join(side("a"), "a").join(side("b"), "b").filter("sa <> sb")
+        return written(wide.select("a", "sa", "b", "sb", "na", "nb", "xa", "xb").mapInArrow(_near(percent), "a long, sa long, b long, sb long"), label)
+
+    # Sets of rows repeated with one id belong together.
+    repeated = sized.groupBy("doc_id").agg(F.min("set_id").alias("s"), F.max("set_id").alias("t")).filter("s <> t").select("doc_id")
+    linked = written(sized.join(repeated, "doc_id").join(named, "set_id").select(F.col("doc_id").alias("a"), F.col("root").alias("b")).distinct(), "links")
+    comps = named.select("set_id", "root", F.col("root").alias("comp"))
+
+    def join_links(found: DataFrame) -> bool:
+        """Verifies candidate pairs and draws the components of their links together; whether there were any."""
+        nonlocal linked, comps
+        if not found.head(1):
+            return False
+        linked = linked.unionByName(written(_verify(found, docs, size, percent), "links"))
+        label = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        comps = written(named.join(label.withColumnRenamed("node", "root"), "root", "left").select("set_id", "root", F.coalesce("label", "root").alias("comp")), "labels")
+        return True
+
+    # First the least words of each set: in each share of a word with the least node there, and these with the word's least node.
+    low = nodes.select("root", F.pmod(F.xxhash64("root"), F.lit(SALTS)).alias("salt"), F.explode("low").alias("word"))
+    share = low.groupBy("word", "salt").agg(F.min("root").alias("a"))
+    least = share.groupBy("word").agg(F.min("a").alias("a"))
+    inner = low.join(share, ["word", "salt"]).select("a", F.col("root").alias("b"))
+    outer = share.withColumnRenamed("a", "b").join(least, "word").select("a", "b")
+    join_links(near(inner.unionByName(outer).filter("a <> b"), "near"))
+
+    # Then all words, between components.
+    packed = told.select("set_id", "words").join(comps, "set_id").select("root", "comp", "words").mapInArrow(_packed(parts), "part int, packed binary")
+    found = written(packed.repartition("part").sortWithinPartitions("part").mapInArrow(_buckets, BUCKETS), "buckets")
+    join_links(near(found.filter("members IS NULL").select("a", "b"), "near"))
+
+    # Buckets with members outside their least node's component: these are compared with all the others there.
+    opened = found.filter("members IS NOT NULL").select("members").distinct().select(F.xxhash64("members").alias("bucket"), "members").mapInArrow(_open, "bucket long, lead long, root long")
+    c = comps.select("root", "comp").distinct()
+    placed = opened.join(c, "root").join(c.select(F.col("root").alias("lead"), F.col("comp").alias("lead_comp")), "lead")
+    placed = written(placed.select("bucket", "root", "comp", (F.col("comp") != F.col("lead_comp")).alias("minor")), "placed")
     counts = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("minor").cast("long")).alias("k")).filter("k > 0")
-    shares = counts.select("bucket", F.ceil(F.col("k") / SIDE).alias("sides"), F.ceil(F.col("m") / MEMBERS).alias("blocks"))
-    todo = placed.join(shares, "bucket").join(nodes.select("doc_id", "n", "sketch"), "doc_id")
-    here = F.xxhash64("doc_id", "bucket")
+    blocks = counts.select("bucket", F.ceil(F.col("k") / SIDE).alias("sides"), F.ceil(F.col("m") / MEMBERS).alias("blocks"))
+    todo = placed.join(blocks, "bucket").join(nodes.select("root", "n", "sketch"), "root")
+    here = F.xxhash64("root", "bucket")
     upto = lambda k: F.sequence(F.lit(0).cast("long"), F.col(k) - 1)
     both = todo.filter("minor").select("*", F.lit(0).alias("side"), F.pmod(here, "sides").alias("i"), F.explode(upto("blocks")).alias("j")).unionByName(
         todo.select("*", F.lit(1).alias("side"), F.explode(upto("sides")).alias("i"), F.pmod(here, "blocks").alias("j"))
     )
-    crossed = both.select("bucket", "i", "j", "side", "doc_id", "comp", "n", "sketch").groupBy("bucket", "i", "j").applyInArrow(_cross(percent), "a long, b long")
-    second = written(crossed.distinct(), "near")
-    if second.head(1):
-        label = written(labels(linked.unionByName(_verify(second, docs, size, percent))), "labels")
-    known = roots.join(label.withColumnRenamed("node", "root"), "root", "left").select("set_id", F.coalesce("label", "root").alias("comp"))
-    out = members.join(known, "set_id", "left")
+    crossed = both.select("bucket", "i", "j", "side", F.col("root").alias("doc_id"), "comp", "n", "sketch").groupBy("bucket", "i", "j").applyInArrow(_cross(percent), "a long, b long")
+    join_links(near(crossed, "near"))
+    out = members.join(comps, "set_id", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
@@ -368,7 +420,7 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name, blob in zip(batch["bucket"].to_pylist(), batch["members"].to_pylist(), strict=True):
             ids = np.frombuffer(blob, np.int64)
-            yield pa.record_batch([pa.array(np.full(len(ids), name)), pa.array(np.full(len(ids), ids[0])), pa.array(ids)], names=["bucket", "lead", "doc_id"])
+            yield pa.record_batch([pa.array(np.full(len(ids), name)), pa.array(np.full(len(ids), ids[0])), pa.array(ids)], names=["bucket", "lead", "root"])
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,18 +1,23 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Texts and benchmark items are cut into passages of ``2 * STEP`` words that overlap by half. Passages are TF-IDF vectors over the
-items' vocabulary, with the frequencies of its words over all texts. A randomised SVD (one pass: every
-task multiplies its passages with a seeded random matrix, forward and back; the sums give a Nystrom decomposition) yields
-the latent space. A passage is the sum of its two halves, so a word is projected once. Passages whose cosine with an item's
-passage reaches ``COSINE`` are candidates if they hold ``WEAK`` of as many of the item's words as half a passage (or the item) has;
-the longest common subsequence of the item's words and the text around the candidate decides: ``STRONG`` of the item's words
+Texts and benchmark items are cut into halves of ``STEP`` words; two halves that follow each other are a passage, so passages
+overlap by half. Passages are TF-IDF vectors over the items' vocabulary, with the frequencies of its words over all texts. A
+randomised SVD (one pass: every task multiplies its passages with a seeded random matrix, forward and back; the sums give a
+Nystrom decomposition) yields the latent space. A passage and an item are a candidate pair if the passage holds ``WEAK`` of as many
+of the item's words as half a passage (or the item) has, and if its cosine with one of the item's passages reaches ``COSINE``.
+The counts of words come first, for all items at once: a word has a bit for each item, and the bits of a passage's words are
+added up in bit planes. Pairs that pass, and around whose passage the text holds ``WEAK`` of the item's words at all, are projected
+and compared.
+The longest common subsequence of the item's words and the text around the candidate decides: ``STRONG`` of the item's words
 suffice, ``WEAK`` do for a paraphrase if the item's answer (its last sentence) is found too.
 
-Items are worked on in blocks of bounded size (``ITEMS``), so what tasks are given is bounded; texts are read once
-for each block, encoded, and never exchanged. Only sums of fixed size (vocabulary by rank) are shuffled.
+Equal items are looked for once. Items are worked on in blocks of bounded number and size (``ITEMS``, ``ITEM_BYTES``), so what
+tasks are given is bounded; texts are read once for each block, encoded, and never exchanged. Only sums of fixed size
+(vocabulary by rank) are shuffled.
 
 Defined cases: texts and items that are null or have no words match nothing; repeated rows and items are each
-reported; rows without an id are reported without one; empty tables give an empty result; other columns are not read.
+reported; rows without an id are reported without one; very long texts are read whole, 250,000 words at a time or one text; of places
+with equally many words in common order the first is reported; empty tables give an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,9 +34,8 @@ from pyspark.sql import functions as F
 from .common import numbered, written
 
 STEP, RANK, COSINE, STRONG, WEAK, ANSWER = 12, 96, 0.3, 0.8, 0.6, 0.75
-COMMON = 0.2  # words in more of the texts than this don't enter the vectors
 WORDS_KEPT = 300_000
-ITEMS, SEED, BATCH_WORDS, PRODUCT = 2_000, 5, 250_000, 8_000
+ITEMS, ITEM_BYTES, SEED, BATCH_WORDS, REGIONS = 2_000, 4 << 20, 5, 250_000, 4_000
 EDGES = re.compile(r"^\W+|\W+$")
 SENTENCE = re.compile(r"[.?!\n]+")
 
@@ -42,7 +46,7 @@ def words(text: str | None) -> list[str]:
 
 
 class Item(NamedTuple):
-    item_id: object
+    key: int  # of its text
     ids: np.ndarray  # words as numbers from 1
     answer: np.ndarray  # those of the last sentence
 
@@ -55,57 +59,103 @@ def read_items(rows: list) -> tuple[list[Item], dict[str, int]]:
     for r in rows:
         if ws := words(r["text"]):
             last = next((s for s in reversed([words(x) for x in SENTENCE.split(r["text"])]) if s), ws)
-            items.append(Item(r["item_id"], code(ws), code(last)))
+            items.append(Item(r["key"], code(ws), code(last)))
     return items, number
 
 
-def weighted(seqs: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Half passages (numbered through) and terms of the words that count, how many halves each text has, and its first passage."""
-    halves = np.array([-(-len(s) // STEP) for s in seqs], np.int64)
-    base = np.r_[0, np.cumsum(halves)]
-    whole = np.concatenate(seqs) if seqs else np.empty(0, np.int32)
-    lengths = np.array([len(s) for s in seqs], np.int64)
-    starts = np.r_[0, np.cumsum(lengths)]
-    at = np.flatnonzero(idf[whole] > 0)
-    text = np.searchsorted(starts, at, "right") - 1
-    half = base[text] + (at - starts[text]) // STEP
-    first = np.r_[0, np.cumsum(np.maximum(halves - 1, np.minimum(halves, 1)))]
-    return half, whole[at].astype(np.int64), halves, first
-
-
-def _summed(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys (sorted beforehand) and the sums of their rows."""
-    if not len(key):
-        return key, values
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    return key[starts], np.add.reduceat(values, starts, axis=0)
-
-
-def projected(half: np.ndarray, term: np.ndarray, halves: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Products of all passages with the (weighted) basis, and for each half the passage that begins there (or would)."""
-    total = int(halves.sum())
-    at, sums = _summed(half, basis[term])
-    y = np.zeros((total + 1, basis.shape[1]), np.float32)
-    y[at] = sums
-    y[:-1] += y[1:]  # a passage is a half and the next one
-    ends = np.cumsum(halves) - 1
-    begins = np.ones(total, bool)
-    begins[ends[halves > 1]] = False  # no passage begins at a text's last half, unless it is the only one
-    alone = ends[halves == 1]
-    y[alone] = 0
-    hit = np.isin(at, alone, assume_unique=True)
-    y[at[hit]] = sums[hit]
-    place = np.cumsum(begins) - 1
-    return y[:-1][begins], place
+class Halves(NamedTuple):
+    """Texts cut into halves of STEP words."""
+
+    terms: np.ndarray  # a row of words for each half, 0 where the text has ended; one row of zeros at the end
+    begins: np.ndarray  # halves at which a passage begins: all but the last of a text, or the only one
+    first: np.ndarray  # each text's first half, and the number of halves
+
+    @classmethod
+    def of(cls, seqs: list[np.ndarray]) -> Halves:
+        lengths = np.array([len(s) for s in seqs], np.int64)
+        halves = -(-lengths // STEP)
+        first = np.r_[0, np.cumsum(halves)]
+        terms = np.zeros((int(first[-1]) + 1) * STEP, np.int32)
+        if len(seqs):
+            ends = np.cumsum(lengths)
+            at = np.arange(int(ends[-1])) + np.repeat(first[:-1] * STEP - (ends - lengths), lengths)
+            terms[at] = np.concatenate(seqs)
+        begins = np.ones(int(first[-1]), bool)
+        begins[first[1:][halves > 1] - 1] = False
+        return cls(terms.reshape(-1, STEP), begins, first)
+
+    def text_of(self, half: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, half, "right") - 1
+
+    def follower(self, half: np.ndarray) -> np.ndarray:
+        """The half that ends the passage that begins here: the next, or the row of zeros where the text has only this one."""
+        alone = np.diff(self.first)[self.text_of(half)] == 1
+        return np.where(alone, len(self.terms) - 1, half + 1)
+
+
+def projected(terms: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Sums of the basis over each row's words; word 0 has to weigh nothing."""
+    y = np.zeros((len(terms), basis.shape[1]), np.float32)
+    got = np.empty_like(y)
+    for j in range(STEP):
+        y += np.take(basis, terms[:, j], axis=0, out=got, mode="clip")
+    return y
+
+
+def item_bits(items: list[Item], size: int) -> np.ndarray:
+    """For each word a bit for each item that has it."""
+    bits = np.zeros((size, -(-len(items) // 64)), np.uint64)
+    for k, x in enumerate(items):
+        bits[x.ids, k // 64] |= np.uint64(1) << np.uint64(k % 64)
+    return bits
+
+
+def _bit_planes(values: np.ndarray, width: int) -> list[np.ndarray]:
+    """Numbers, one for each item (the highest for bits without an item), as planes of bits."""
+    out, values = [], np.r_[values, np.full(64 * width - len(values), 31)]
+    for p in range(5):
+        plane = np.zeros(width, np.uint64)
+        for k in np.flatnonzero((values >> p) & 1):
+            plane[k // 64] |= np.uint64(1) << np.uint64(k % 64)
+        out.append(plane)
+    return out
+
+
+def enough(cut: Halves, bits: np.ndarray, least: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Halves at which passages begin, and items of whose words they hold at least as many as asked (least: planes)."""
+    planes = [np.zeros((len(cut.terms), bits.shape[1]), np.uint64) for _ in range(4)]
+    for j in range(STEP):
+        carry = bits[cut.terms[:, j]]
+        for p in planes:
+            both = p & carry
+            p ^= carry
+            carry = both
+    here = np.flatnonzero(cut.begins)
+    there = cut.follower(here)
+    sums, carry = [], np.zeros((len(here), bits.shape[1]), np.uint64)
+    for p in planes:
+        a, b = p[here], p[there]
+        half = a ^ b
+        sums.append(half ^ carry)
+        carry = (a & b) | (half & carry)
+    more, same = np.zeros_like(carry), np.full_like(carry, ~np.uint64(0))
+    for p, asked in zip([carry, *sums[::-1]], least[::-1], strict=True):
+        more |= same & p & ~asked
+        same &= ~(p ^ asked)
+    passed = more | same
+    some = np.flatnonzero(passed.any(1))
+    row, item = np.nonzero(np.unpackbits(passed[some].view(np.uint8), axis=1, bitorder="little"))
+    return here[some[row]], item
 
 
 def decompose(z: np.ndarray, omega: np.ndarray) -> np.ndarray:
-    """Right singular vectors (terms by rank) from z = A'A omega."""
-    nu = np.finfo(np.float64).eps * max(1.0, np.linalg.norm(z)) * 1e3
-    z = z + nu * omega
+    """Right singular vectors (terms by rank, or fewer where there are no more directions) from z = A'A omega."""
     core = omega.T @ z
-    low = np.linalg.cholesky((core + core.T) / 2 + nu * np.eye(len(core)))
-    return np.linalg.svd(np.linalg.solve(low, z.T).T, full_matrices=False)[0].astype(np.float32)
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    kept = values > 1e-6 * max(values.max(initial=0), 1e-9)
+    if not kept.any():
+        return np.zeros((len(z), 1), np.float32)
+    return np.linalg.svd(z @ (vectors[:, kept] / np.sqrt(values[kept])), full_matrices=False)[0].astype(np.float32)
 
 
 def common_run(item: np.ndarray, text: np.ndarray) -> int:
@@ -140,10 +190,12 @@ class _Code(dict):
     """Number of a word as it stands between blanks; -1 where nothing is left of it, 0 where no item has it."""
 
     def __init__(self, number: dict[str, int]):
-        super().__init__()
+        super().__init__(number)
         self.number = number
 
     def __missing__(self, raw: str) -> int:
+        if raw.isalnum():  # no marks around it, and not among the items' words
+            return 0
         w = EDGES.sub("", raw)
         n = self.number.get(w, 0) if w else -1
         if len(self) < WORDS_KEPT:
@@ -182,6 +234,23 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.
         yield docs, seqs
 
 
+def overlap(cut: Halves, half: np.ndarray, item: Item, place: np.ndarray) -> np.ndarray:
+    """How many of the item's words the text around each passage holds, each as often as the item has it: the longest common subsequence is never longer. place: zeros for all words."""
+    terms, have = np.unique(item.ids, return_counts=True)
+    place[terms] = np.arange(1, len(terms) + 1)
+    flat, text, n = cut.terms.reshape(-1), cut.text_of(half), len(item.ids)
+    out, wide = np.empty(len(half), np.int64), len(terms) + 1
+    for i in range(0, len(half), REGIONS):
+        part = slice(i, i + REGIONS)
+        spot = half[part, None] * STEP + np.arange(-n, 2 * STEP + n)
+        inside = (spot >= cut.first[text[part], None] * STEP) & (spot < cut.first[text[part] + 1, None] * STEP)
+        found = np.where(inside, place[flat[np.clip(spot, 0, len(flat) - 1)]], 0)
+        count = np.bincount((found + np.arange(len(found))[:, None] * wide).reshape(-1), minlength=len(found) * wide).reshape(-1, wide)[:, 1:]
+        out[part] = np.minimum(count, have).sum(1)
+    place[terms] = 0
+    return out
+
+
 def _frequencies(size: int):
     """In how many texts each word is; under 0 the number of texts."""
 
@@ -203,22 +272,23 @@ def _multiplied(idf: np.ndarray, omega: np.ndarray):
         z = np.zeros(omega.shape)
         ready = (omega * idf[:, None]).astype(np.float32)
         for _, seqs in _grouped(batches):
-            half, term, halves, _ = weighted(seqs, idf)
-            if not len(half):
-                continue
-            y, place = projected(half, term, halves, ready)
+            cut = Halves.of(seqs)
+            y = projected(cut.terms, ready)
+            here = np.flatnonzero(cut.begins)
+            there = cut.follower(here)
+            of_passage = y[here] + y[there]
             # Each half lies in the passage that begins there and in the one before, within its text.
-            ends = np.cumsum(halves) - 1
-            back = np.zeros((int(halves.sum()), y.shape[1]), np.float32)
-            begins = np.ones(len(back), bool)
-            begins[ends[halves > 1]] = False
-            back[begins] += y
-            follows = np.flatnonzero(begins) + 1
-            inside = ~np.isin(follows - 1, ends[halves == 1], assume_unique=True)
-            back[follows[inside]] += y[inside]
+            back = np.zeros_like(y)
+            back[here] = of_passage
+            back[there] += of_passage  # the row of zeros has no words
+            flat = cut.terms.reshape(-1)
+            at = np.flatnonzero(flat)
+            term = flat[at].astype(np.uint16 if len(idf) <= 1 << 16 else np.int32)
             order = np.argsort(term, kind="stable")
-            terms, sums = _summed(term[order], back[half[order]])
-            z[terms] += sums * idf[terms][:, None]
+            at, term = at[order] // STEP, term[order]
+            edges = np.flatnonzero(np.r_[True, term[1:] != term[:-1], True]) if len(at) else np.empty(0, np.int64)
+            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                z[term[i]] += back[at[i:j]].sum(0) * idf[term[i]]
         used = np.flatnonzero(z.any(1))
         yield pa.record_batch([pa.array(used), pa.array([x.tobytes() for x in z[used]], pa.binary())], names=["term", "z"])
 
@@ -252,41 +322,34 @@ def _searched(items: list[Item], idf: np.ndarray, basis: np.ndarray, cosine: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = (basis * idf[:, None]).astype(np.float32)
         unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-        half, term, halves, first = weighted([x.ids.astype(np.int32) for x in items], idf)
-        q = projected(half, term, halves, ready)[0]
-        asked = np.flatnonzero(q.any(1))
-        q, owner = np.ascontiguousarray(unit(q[asked]).T), np.searchsorted(first, asked, "right") - 1
-        has = np.zeros((len(items), len(idf)), bool)
-        for k, x in enumerate(items):
-            has[k, x.ids] = True
-        least = np.array([WEAK * min(len(x.ids), STEP) for x in items])
+
+        def vectors(cut: Halves, here: np.ndarray) -> np.ndarray:
+            return unit(projected(cut.terms[here], ready) + projected(cut.terms[cut.follower(here)], ready))
+
+        asked = Halves.of([x.ids.astype(np.int32) for x in items])
+        begin = np.flatnonzero(asked.begins)
+        q, owner = vectors(asked, begin), asked.text_of(begin)
+        of_item = np.searchsorted(owner, np.arange(len(items) + 1))
+        bits, least = item_bits(items, len(idf)), _bit_planes(np.array([-int(-WEAK * min(len(x.ids), STEP) // 1) for x in items]), -(-len(items) // 64))
+        place = np.zeros(len(idf), np.int64)
         for kind, groups in _kinds(batches):
             for docs, seqs in groups:
-                half, term, halves, first = weighted(seqs, idf)
-                y = projected(half, term, halves, ready)[0]
-                filled = np.flatnonzero(y.any(1))
-                y = unit(y[filled])
-                whole = np.r_[np.concatenate(seqs), np.zeros(2 * STEP, np.int32)]
-                starts = np.r_[0, np.cumsum([len(s) for s in seqs])]
+                cut = Halves.of(seqs)
+                half, item = enough(cut, bits, least)
                 best: dict[tuple[int, int], tuple] = {}
-                for i in range(0, len(filled), PRODUCT):
-                    c = y[i : i + PRODUCT] @ q
-                    row, col = np.nonzero(c >= cosine)
-                    pair, one = np.unique(filled[i + row] * len(items) + owner[col], return_index=True)
-                    passage, k, cos = pair // len(items), pair % len(items), c[row[one], col[one]]
-                    d = np.searchsorted(first, passage, "right") - 1
-                    b = passage - first[d]
-                    at = starts[d] + b * STEP
-                    for j in range(0, len(pair), 20_000):
-                        part = slice(j, j + 20_000)
-                        spot = at[part, None] + np.arange(2 * STEP)
-                        seen = has[k[part, None], whole[spot]] & (spot < starts[d[part] + 1][:, None])
-                        for n in j + np.flatnonzero(seen.sum(1) >= least[k[part]]):
-                            x, item, seq = int(d[n]), items[k[n]], seqs[d[n]]
-                            lo, hi = max(0, int(b[n]) * STEP - len(item.ids)), min(len(seq), (int(b[n]) + 2) * STEP + len(item.ids))
-                            got = judge(item, seq[lo:hi])
-                            if got and got[0] > best.get((x, int(k[n])), (0,))[0]:
-                                best[x, int(k[n])] = (got[0], got[1], lo, hi, float(cos[n]))
+                order = np.argsort(item, kind="stable")
+                edges = np.searchsorted(item[order], np.arange(len(items) + 1))
+                for k in np.flatnonzero(np.diff(edges)).tolist():
+                    mine, n = half[order[edges[k] : edges[k + 1]]], len(items[k].ids)
+                    mine = mine[overlap(cut, mine, items[k], place) >= WEAK * n]
+                    cos = (vectors(cut, mine) @ q[of_item[k] : of_item[k + 1]].T).max(1) if len(mine) else mine
+                    near = np.flatnonzero(cos >= cosine)
+                    for x, begins, c in zip(cut.text_of(mine[near]).tolist(), mine[near].tolist(), cos[near].tolist(), strict=True):
+                        word, seq = (begins - int(cut.first[x])) * STEP, seqs[x]
+                        lo, hi = max(0, word - n), min(len(seq), word + 2 * STEP + n)
+                        got = judge(items[k], seq[lo:hi])
+                        if got and got[0] > best.get((x, k), (0,))[0]:
+                            best[x, k] = (got[0], got[1], lo, hi, c)
                 out = [(docs[x], n, how, words_found, len(items[n].ids), lo, hi, cos) for (x, n), (words_found, how, lo, hi, cos) in best.items()]
                 cols = list(zip(*out, strict=True)) if out else [()] * len(FOUND)
                 types = (kind, pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
@@ -311,12 +374,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     """doc_id, item_id, kind, words_found, item_words, from_word, to_word (where it was looked for), cosine: a row for every text and item it contains."""
     spark = docs.sparkSession
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    items_df = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{text}`").alias("text"))
-    kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), items_df.schema["item_id"].dataType.simpleString()
-    blocks = max(1, -(-items_df.count() // ITEMS))
-    found = None
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    named = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), F.xxhash64(F.col(f"`{text}`")).alias("key"), F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL")
+    distinct = written(named.select("key", "text").dropDuplicates(["key"]), "items")
+    total = distinct.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+    blocks = max(1, -(-total["n"] // ITEMS), -(-total["b"] // ITEM_BYTES))
+    shape = "kind string, words_found long, item_words long, from_word long, to_word long, cosine double"
+    found = spark.createDataFrame([], f"doc_id {kind}, key long, {shape}")
     for block in range(blocks):
-        items, number = read_items(items_df.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect())
+        items, number = read_items(distinct.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block).collect())
         if not items:
             continue
         size = len(number) + 1
@@ -325,28 +391,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
         for r in coded.mapInArrow(_frequencies(size), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
             df[r["term"]] = r["n"]
         idf = np.log((df[0] + 1) / (df + 1)) + 1e-3
-        usual = df > COMMON * df[0]
-        for x in items:  # an item of common words only keeps them
-            if (~usual[np.unique(x.ids)]).sum() < 3:
-                usual[x.ids] = False
-        idf[usual] = 0
         idf[0] = 0
         omega = np.random.default_rng(SEED).standard_normal((size, min(rank, size)))
-        omega[idf == 0] = 0
+        omega[0] = 0
         shares = coded.mapInArrow(_multiplied(idf, omega), "term long, z binary").repartition("term").sortWithinPartitions("term")
         z = np.zeros(omega.shape)
         got = shares.mapInArrow(_added, "term long, z binary").toArrow()
         for t, x in zip(got["term"].to_pylist(), got["z"].to_pylist(), strict=True):
             z[t] = np.frombuffer(x)
         basis = decompose(z, omega)
-        shape = f"doc_id {kind}, item int, kind string, words_found long, item_words long, from_word long, to_word long, cosine double"
-        hits = coded.mapInArrow(_searched(items, idf, basis, cosine), shape)
-        names = spark.createDataFrame([(k, x.item_id) for k, x in enumerate(items)], f"item int, item_id {item_kind}")
-        part = hits.join(F.broadcast(names), "item").select("doc_id", "item_id", *FOUND[2:])
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], f"doc_id {kind}, item_id {item_kind}, kind string, words_found long, item_words long, from_word long, to_word long, cosine double")
-    return found
+        hits = coded.mapInArrow(_searched(items, idf, basis, cosine), f"doc_id {kind}, item int, {shape}")
+        keys = spark.createDataFrame([(k, x.key) for k, x in enumerate(items)], "item int, key long")  # at most ITEMS rows
+        found = found.unionByName(hits.join(F.broadcast(keys), "item").select("doc_id", "key", *FOUND[2:]))
+    return found.join(named.select("item_id", "key"), "key").select("doc_id", "item_id", *FOUND[2:])
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

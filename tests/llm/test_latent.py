@@ -66,3 +66,64 @@ def test_drop_leaks_tells_rows_apart_whatever_their_ids(spark, make, text_of):
     docs = make([(k, t) for k, t in enumerate(clean)] + [(None, leaking), (None, clean[5]), (3, leaking)])
     left = latent.drop_leaks(docs, bench).collect()
     assert sorted((str(r.doc_id), r.text) for r in left) == sorted([*((str(k), t) for k, t in enumerate(clean)), ("None", clean[5])])
+
+
+def test_word_gate_and_overlap_are_counts(text_of):
+    r = random.Random(5)
+    rows = [{"key": k, "text": text_of(700 + k, r.choice((4, 15, 40)))} for k in range(70)]
+    items, number = latent.read_items(rows)
+    seqs = []
+    for d in range(40):
+        w = text_of(d, r.choice((1, 5, 12, 13, 24, 100))).split()
+        w[r.randrange(len(w)) : 0] = rows[r.randrange(70)]["text"].split()[: r.randrange(1, 30)]
+        seqs.append(np.array([number.get(x, 0) for x in w], np.int32))
+    seqs.append(np.empty(0, np.int32))
+    cut = latent.Halves.of(seqs)
+    asked = np.array([-int(-latent.WEAK * min(len(x.ids), latent.STEP) // 1) for x in items])
+    half, item = latent.enough(cut, latent.item_bits(items, len(number) + 1), latent._bit_planes(asked, 2))
+    want = set()
+    for d, s in enumerate(seqs):
+        for b in range(max(1, -(-len(s) // 12) - 1) if len(s) else 0):
+            for k, x in enumerate(items):
+                if np.isin(s[12 * b : 12 * b + 24], x.ids).sum() >= asked[k]:
+                    want.add((int(cut.first[d]) + b, k))
+    assert set(zip(half.tolist(), item.tolist(), strict=True)) == want
+    place = np.zeros(len(number) + 1, np.int64)
+    for k in {k for _, k in want}:
+        mine, n = half[item == k], len(items[k].ids)
+        for h, found in zip(mine.tolist(), latent.overlap(cut, mine, items[k], place).tolist(), strict=True):
+            x = int(cut.text_of(np.array([h]))[0])
+            at = (h - int(cut.first[x])) * 12
+            region = seqs[x][max(0, at - n) : at + 24 + n]
+            assert found == sum(min((region == t).sum(), (items[k].ids == t).sum()) for t in set(items[k].ids.tolist()))
+            assert latent.common_run(items[k].ids, region) <= found
+
+
+def test_recall_against_brute_force(spark):
+    """Every text and item whose words lie in common order anywhere, without gate or vectors."""
+    at = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    bench = spark.read.parquet(f"{at}/benchmark.parquet").filter("item_id % 4 = 0")
+    rows = [{"key": r.item_id, "text": r.text} for r in bench.collect()]
+    items, number = latent.read_items(rows)
+    want = set()
+    for r in docs.collect():
+        s = np.array([number.get(w, 0) for w in latent.words(r.text)], np.int64)
+        for x in items:
+            n = len(x.ids)
+            if any(latent.judge(x, s[max(0, b - n) : b + 24 + n]) for b in range(0, max(len(s) - 12, 1), 12) if np.isin(s[max(0, b - n) : b + 24 + n], x.ids).sum() >= 0.6 * n):
+                want.add((r.doc_id, x.key))
+    got = {(r.doc_id, r.item_id) for r in latent.leaks(docs, bench).collect()}
+    assert want and got <= want and len(got) >= 0.9 * len(want), (len(want), len(got), want - got)
+
+
+def test_hot_copies_of_an_item_and_repeated_items(spark, make, text_of):
+    """A third of all rows are copies of a text that has most words of an item; near copies of the item are found all the same."""
+    item = text_of(800, 48)
+    hot = " ".join(random.Random(1).sample(item.split() + text_of(801, 400).split(), 440))
+    near = item.split()
+    near[5], near[20], near[33] = "one", "two", "three"
+    docs = [(k, text_of(k, 150)) for k in range(60)] + [(100 + k, hot) for k in range(40)] + [(200, text_of(5, 100) + " " + " ".join(near) + " " + text_of(6, 100))]
+    bench = spark.createDataFrame([(1, item), (2, item), (3, text_of(900, 40))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in latent.leaks(make(docs), bench).collect()}
+    assert {g for g in got if g[0] < 100 or g[0] >= 200} == {(200, 1), (200, 2)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,8 +28,11 @@ def id_fold(column: Column | str, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fallback only where the session names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """The folder that driver and executors share, as the session names it; without one only a session on one machine has a folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (named or "/tmp/checkpoints").rstrip("/")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -36,7 +40,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/limnos-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
 def numbered(df: DataFrame) -> tuple[DataFrame, str]:
@@ -47,11 +53,8 @@ def numbered(df: DataFrame) -> tuple[DataFrame, str]:
     return written(df.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
-def drop_written(df: DataFrame) -> None:
+def drop_written(*tables: DataFrame) -> None:
     """Removes tables that written() made, once nothing reads them any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/limnos-" in path:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, written
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     seen = state(now)
     while seen[0]:
-        now = written(_star(_star(now, small=False), small=True), "edges")
+        before, now = now, written(_star(_star(now, small=False), small=True), "edges")
+        drop_written(before)
         last, seen = seen, state(now)
         if last == seen:
             break

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bits import bit_filter, maybe, slot
-from .common import numbered, written
+from .common import drop_written, numbered, written
 from .components import components
 from .shingles import WordHash, mix, set_id, shingle_set
 
@@ -332,8 +332,8 @@ def _cross(percent: int):
     return run
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs of nodes whose whole texts link; pairs (a, sa, b, sb) is a written table."""
+def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs of nodes whose whole texts link, and the written table of texts that they are read from; pairs (a, sa, b, sb) is a written table."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
     thin = docs.select("doc_id", "text", slot("doc_id").alias("slot")).filter("doc_id IS NOT NULL").mapInArrow(_squeezed(bit_filter(ids, "doc_id")), "doc_id long, z binary")
     texts = written(thin.join(ids.distinct(), "doc_id").dropDuplicates(["doc_id", "z"]), "texts")
@@ -343,7 +343,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     none = F.lit(None).cast("long")
     leaders = shares.join(texts.select(F.col("doc_id").alias("a"), "z"), "a").select("a", "sa", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), none.alias("b"), none.alias("sb"), "z")
     rows = leaders.unionByName(members).repartition("a", "sa", "share").sortWithinPartitions("a", "sa", "share", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(_verified(size, percent), "a long, b long")
+    return rows.mapInArrow(_verified(size, percent), "a long, b long"), texts
 
 
 def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -377,7 +377,9 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str
         nonlocal linked, comps
         if not found.head(1):
             return False
-        linked = linked.unionByName(written(_verify(found, docs, size, percent), "links"))
+        new, texts = _verify(found, docs, size, percent)
+        linked = linked.unionByName(written(new, "links"))
+        drop_written(found, texts)
         label = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")))
         comps = written(named.join(label.withColumnRenamed("node", "root"), "root", "left").select("set_id", "root", F.coalesce("label", "root").alias("comp")), "labels")
         return True
@@ -410,6 +412,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str
     )
     crossed = both.select("bucket", "i", "j", "side", F.col("root").alias("doc_id"), "comp", "n", "sketch").groupBy("bucket", "i", "j").applyInArrow(_cross(percent), "a long, b long")
     join_links(near(crossed, "near"))
+    drop_written(nodes, found, placed)
     out = members.join(comps, "set_id", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))

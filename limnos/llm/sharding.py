@@ -6,11 +6,13 @@ that hold about ``bucket_rows`` records and ``bucket_bytes`` bytes. Pass 2 draws
 and lays the buckets end to end: the record at global place p goes to shard p mod n, slot p div n, so the
 counts of shards differ by one at most and slots have no gaps.
 
-One exchange carries the whole records, by ranges of buckets; a bucket is never held as a whole: its permutation travels
-as a row ahead of its records, which are numbered in a spillable sort and look their place up there. As the buckets of a
+One exchange carries the whole records, by ranges of buckets; a bucket is never held as a whole: its size and offset travel
+as a row ahead of its records, the task that gets it draws the permutation from them, and the records, numbered in a spillable
+sort, look their place up there. As the buckets of a
 task lie end to end, so do its places, and the shards are written from there without another exchange.
 
-Defined cases: a null text has size 1 and crc 0; null ids and repeated rows are records like any other;
+Defined cases: a null text has size 1 and crc 0; null ids and repeated rows are records like any other, told apart by their row
+numbers, so there are no ties; a very long text is a record of its bucket like any other;
 an empty table gives an empty result; input columns keep their names inside the ``record`` struct, so they
 cannot clash with the columns added here.
 """
@@ -56,14 +58,14 @@ def scatter(records: DataFrame, text: str, seed: int) -> DataFrame:
     return written(out.withColumn("place", F.xxhash64(F.lit(seed), "row", "text_crc32")), "scatter")
 
 
-def bucket_table(rows: DataFrame, seed: int) -> DataFrame:
-    """bucket, its offset in the whole order, its permutation; offsets are summed in two levels."""
+def bucket_table(rows: DataFrame) -> DataFrame:
+    """bucket, its offset in the whole order, its number of records; offsets are summed in two levels."""
     sized = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("g", F.floor(F.col("bucket") / GROUP))
     inner = Window.partitionBy("g").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
     groups = sized.groupBy("g").agg(F.sum("n").alias("m")).select("g", F.coalesce(F.sum("m").over(whole), F.lit(0)).alias("base"))
     placed = sized.withColumn("below", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(groups, "g")
-    return placed.select("bucket", (F.col("base") + F.col("below")).alias("offset"), fisher_yates(F.col("n").cast("int"), F.lit(seed), F.col("bucket")).alias("order"))
+    return placed.select("bucket", (F.col("base") + F.col("below")).alias("offset"), "n")
 
 
 def shuffle_records(
@@ -74,8 +76,9 @@ def shuffle_records(
     total = first.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()
     buckets = max(1, -(-total["n"] // bucket_rows), -(-total["b"] // bucket_bytes))
     rows = first.withColumn("bucket", F.pmod(F.col("place"), F.lit(buckets))).drop("place")
-    heads = bucket_table(rows, seed).withColumn("row", F.lit(-1).cast("long"))
+    heads = bucket_table(rows).withColumn("row", F.lit(-1).cast("long"))
     dealt = rows.unionByName(heads, allowMissingColumns=True).repartitionByRange("bucket")
+    dealt = dealt.withColumn("order", F.when(F.col("row") < 0, fisher_yates(F.col("n").cast("int"), F.lit(seed), F.col("bucket"))))
     within = Window.partitionBy("bucket").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     told = [F.first(c, ignorenulls=True).over(within).alias(c) for c in ("offset", "order")]
     numbered = dealt.select("record", "size", "text_crc32", "row", *told, (F.row_number().over(Window.partitionBy("bucket").orderBy("row")) - 1).alias("i"))

@@ -4,14 +4,14 @@
    toxic, tallied over every one of those rows into a written table.
 2. Voters: every whole text is counted once; its words and stems that a bit filter of fixed size lets pass are joined
    with the table; each voter says toxic (1), harmless (-1) or nothing (0) from the counts.
-3. Label model: the votes of ALL rows, grouped by pattern (at most 3^voters rows), give each voter's accuracy by expectation
-   maximisation with known labels held fixed, and the correlation of each pair of voters within a
-   class; a voter's say is divided by one plus its correlations with the others.
+3. Label model: the votes of ALL rows, grouped by pattern (at most 3^voters rows), give each voter's accuracy and the correlation
+   of each pair of voters within a class by expectation maximisation, with known labels held fixed: every round estimates
+   both from the posteriors, and the next posteriors divide a voter's say by one plus its correlations with the others.
 4. Classifier: logistic regression on the counts, trained towards the posterior labels of at most ``FIT`` rows of each
    kind of pattern (a stated bound), scores every row as a projection.
 
 Defined cases: a null or empty text has no counts and gets the score of a harmless text; repeated rows are each
-scored; a label that is null is ignored, of differing labels of one id the toxic one counts; without any label of
+scored, and equal texts get equal scores; very long texts are counted whole; a label that is null is ignored, of differing labels of one id the toxic one counts; without any label of
 either class only the stated list votes and the prior is ``PRIOR``; an empty table gives an empty result; other columns are
 not read.
 """
@@ -184,21 +184,24 @@ class LabelModel:
         for _ in range(rounds):
             w1, w0 = bad + open_ * post, good + open_ * (1 - post)
             self.table = np.stack([((w[:, None, None] * hot).sum(0) + 0.5) / (w.sum() + 1.5) for w in (w0, w1)])  # class, voter, vote
-            share = np.ones(votes.shape[1]) / votes.shape[1] ** 0.5
-            post = self._posterior(hot, prior, share)
-        c = []
-        for w in (bad + open_ * post, good + open_ * (1 - post)):
-            m = (w[:, None] * votes).sum(0) / max(w.sum(), 1e-9)
-            d = votes - m
-            cov = (d * w[:, None]).T @ d / max(w.sum(), 1e-9)
-            s = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            c.append(np.abs(cov / np.outer(s, s)) * (np.diag(cov) > 1e-6))
-        self.correlation = np.maximum(*c)
-        np.fill_diagonal(self.correlation, 0)
-        self.share = 1 / (1 + self.correlation.sum(1))
+            self.correlation = np.maximum(self._correlation(votes, w0), self._correlation(votes, w1))
+            self.share = 1 / (1 + self.correlation.sum(1))
+            last, post = post, self._posterior(hot, prior, self.share)
+            if np.abs(post - last).max() < 1e-9:
+                break
         self.accuracy = self.table[1, :, 2] / (self.table[0, :, 2] + self.table[1, :, 2])
         self.prior = prior
-        self.posterior = self._posterior(hot, prior, self.share)
+        self.posterior = post
+
+    @staticmethod
+    def _correlation(votes: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Absolute correlation of each pair of voters over patterns of these weights."""
+        d = votes - (w[:, None] * votes).sum(0) / max(w.sum(), 1e-9)
+        cov = (d * w[:, None]).T @ d / max(w.sum(), 1e-9)
+        s = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+        out = np.abs(cov / np.outer(s, s)) * (np.diag(cov) > 1e-6)
+        np.fill_diagonal(out, 0)
+        return out
 
     def _posterior(self, hot: np.ndarray, prior: float, share: np.ndarray) -> np.ndarray:
         log = ((np.log(self.table[1]) - np.log(self.table[0]))[None] * hot).sum(2) @ share + np.log(prior / (1 - prior))
@@ -247,8 +250,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int
     n, bad, good = (np.array([p[k] for p in patterns], float) for k in ("n", "bad", "good"))
     model = LabelModel(v, n, bad, good)
     said = dict(zip([p["votes"] for p in patterns], model.posterior.tolist(), strict=True))
-    # Rows for the classifier: at most `fit` in all, each standing for the rows of its pattern.
-    each = max(20, fit // len(patterns))
+    # Rows for the classifier: as many of each pattern, about nine tenths of `fit` in all, each standing for the rows of its pattern.
+    each = 0.9 * fit / len(patterns)
     share = {p["votes"]: min(1.0, each / p["n"]) for p in patterns}
     # At most 3^12 rows, however large the table.
     told = docs.sparkSession.createDataFrame([(p, float(said[p]), float(share[p])) for p in said], "votes string, posterior double, share double")

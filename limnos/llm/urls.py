@@ -7,9 +7,11 @@ fetched: its host and each parent domain (kind ``domain``), its host with each l
 and bucket with a range test: one key with a third of all captures is split by Spark like any skewed join, and a key that
 comes and goes often meets only the intervals of the capture's bucket.
 
+Keys of entries are the same whatever their case.
+
 Defined cases: captures without a URL, a host or a fetch time match nothing and stay, not blocked; events with a null in key, category,
 action or time are ignored; of events at one time ``remove`` counts as the earlier; repeated captures are each
-judged; an empty list blocks nothing; other columns of the captures are not read.
+judged; very long URLs are cut into all their keys; an empty list blocks nothing; other columns of the captures are not read.
 """
 
 from __future__ import annotations
@@ -44,10 +46,10 @@ def canonical(url: Column) -> Column:
 
 def intervals(events: DataFrame) -> DataFrame:
     """kind, key, category, since, until (null: open)."""
-    good = events.filter("key IS NOT NULL AND category IS NOT NULL AND at IS NOT NULL AND action IN ('add', 'remove')")
+    good = events.withColumn("key", F.lower("key")).filter("key IS NOT NULL AND category IS NOT NULL AND at IS NOT NULL AND action IN ('add', 'remove')")
     w = Window.partitionBy("kind", "key", "category").orderBy("at", F.col("action").desc())
     changes = good.withColumn("before", F.lag("action").over(w)).filter("before IS NULL AND action = 'add' OR before <> action")
-    return changes.withColumn("until", F.lead("at").over(w)).filter("action = 'add'").selectExpr("kind", "lower(key) AS key", "category", "at AS since", "until")
+    return changes.withColumn("until", F.lead("at").over(w)).filter("action = 'add'").selectExpr("kind", "key", "category", "at AS since", "until")
 
 
 def keys_of(url: Column) -> Column:

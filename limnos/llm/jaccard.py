@@ -42,6 +42,7 @@ from .shingles import WordHash, mix, set_id, shingle_set
 DEALINGS = 4
 BLOCK_DOCS, BLOCK_WORDS = 8192, 1 << 22  # sets and words that are packed together before they travel
 PACKED_BYTES = 8 << 20  # input for each packed partition of words
+KEY_BYTES = 5  # of a word below the bits that name its part: parts hold as many words at every size, so chance meetings stay as rare
 LOW = 4  # words of each pair of bands that the first comparison uses
 SALTS = 64  # shares of one word there
 SIDE, MEMBERS = 1024, 4096  # block sizes of the last comparison
@@ -118,7 +119,25 @@ def within(h: np.ndarray | int, n: np.ndarray | int, m: np.ndarray | int, percen
     return h * (100 + percent) <= (100 - percent) * (n + m)
 
 
-def pack(nodes: list[int], comps: list[int], keys: list[np.ndarray], parts: int) -> Iterator[tuple[int, bytes]]:
+def to_bytes(key: np.ndarray, width: int) -> bytes:
+    """The highest bytes of words."""
+    return (key >> np.uint64(64 - 8 * width)).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def from_bytes(blob: bytes, width: int, n: int = -1, at: int = 0) -> np.ndarray:
+    """Words of which the highest bytes are known."""
+    known = np.frombuffer(blob, np.uint8, n if n < 0 else n * width, at).reshape(-1, width)
+    out = np.zeros((len(known), 8), np.uint8)
+    out[:, 8 - width :] = known
+    return out.view(np.uint64).reshape(-1)
+
+
+def width_of(part_bits: int) -> int:
+    """Bytes of a word that tell its part and KEY_BYTES below."""
+    return min(8, KEY_BYTES - -part_bits // 8)
+
+
+def pack(nodes: list[int], comps: list[int], keys: list[np.ndarray], part_bits: int) -> Iterator[tuple[int, bytes]]:
     """Words, their nodes and the components of these as bytes for each part."""
     ids, labels = np.array(nodes, np.int64), np.array(comps, np.int64)
     by_id = np.argsort(ids, kind="stable")
@@ -127,32 +146,31 @@ def pack(nodes: list[int], comps: list[int], keys: list[np.ndarray], parts: int)
     ids, labels = ids[by_id], labels[by_id]
     at = np.repeat(rank, [len(k) for k in keys])
     key = np.concatenate(keys)
-    part = (((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+    part = (key >> np.uint64(64 - part_bits)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    part, key, at = part[order], key[order], at[order]
+    part, key, at = part[order], (key << np.uint64(part_bits))[order], at[order]
     starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
     squeeze = zstandard.ZstdCompressor(1)
     for i, j in zip(starts, [*starts[1:], len(part)], strict=True):
         used, short = np.unique(at[i:j], return_inverse=True)
         head = squeeze.compress(np.diff(ids[used], prepend=0).tobytes() + (labels[used] - ids[used]).tobytes())
-        yield int(part[i]), np.array([len(head), j - i], np.int64).tobytes() + head + key[i:j].tobytes() + short.astype(np.uint16).tobytes()
+        yield int(part[i]), np.array([len(head), j - i], np.int64).tobytes() + head + short.astype(np.uint16).tobytes() + to_bytes(key[i:j], KEY_BYTES)
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, their nodes, the components of these."""
-    head, n = np.frombuffer(blob, np.int64, 2)
+    """Words (as far as they travel), their nodes, the components of these."""
+    head, n = np.frombuffer(blob, np.int64, 2).tolist()
     diffs, to_label = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[16 : 16 + head]), np.int64).reshape(2, -1)
     ids = np.cumsum(diffs)
-    key = np.frombuffer(blob, np.uint64, n, 16 + int(head))
-    at = np.frombuffer(blob, np.uint16, n, 16 + int(head) + 8 * int(n))
-    return key, ids[at], (ids + to_label)[at]
+    at = np.frombuffer(blob, np.uint16, n, 16 + head)
+    return from_bytes(blob, KEY_BYTES, n, 16 + head + 2 * n), ids[at], (ids + to_label)[at]
 
 
 SETS = "doc_id long, n long, set_id long, sketch binary, words binary, low array<long>"
 SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("sketch", pa.binary()), ("words", pa.binary()), ("low", pa.list_(pa.int64()))])
 
 
-def _sets(size: int, percent: int):
+def _sets(size: int, percent: int, width: int):
     """The documents' sets; sketch and words come with the first row of a set in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,15 +188,16 @@ def _sets(size: int, percent: int):
                         local.add(name)
                         keys = words_by_band(x, bands)
                         low = [np.partition(k, LOW)[:LOW] if len(k) > LOW else k for k in keys]
-                        row |= {"sketch": parity_sketch(x), "words": np.concatenate(keys).tobytes(), "low": np.concatenate(low).astype(np.int64)}
+                        row |= {"sketch": parity_sketch(x), "words": to_bytes(np.concatenate(keys), width), "low": np.concatenate(low).astype(np.int64)}
                     rows.append(row)
                 yield pa.RecordBatch.from_pylist(rows, SETS_ARROW)
 
     return run
 
 
-def _packed(parts: int):
+def _packed(part_bits: int):
     """Of rows (root, comp, words): words by part."""
+    width = width_of(part_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots: list[int] = []
@@ -187,7 +206,7 @@ def _packed(parts: int):
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for p, blob in pack(roots, comps, keys, parts) if roots else ():
+            for p, blob in pack(roots, comps, keys, part_bits) if roots else ():
                 yield pa.record_batch([pa.array([p], pa.int32()), pa.array([blob], pa.binary())], names=["part", "packed"])
             for x in (roots, comps, keys):
                 x.clear()
@@ -196,7 +215,7 @@ def _packed(parts: int):
             for root, comp, words in zip(batch["root"].to_pylist(), batch["comp"].to_pylist(), batch["words"].to_pylist(), strict=True):
                 roots.append(root)
                 comps.append(comp)
-                keys.append(np.frombuffer(words, np.uint64))
+                keys.append(from_bytes(words, width))
                 held += len(keys[-1])
                 if len(roots) >= BLOCK_DOCS or held > BLOCK_WORDS:
                     yield from flush()
@@ -353,9 +372,9 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str
         raise ValueError(f"{doc_id} has to be a whole number")
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     bytes_in = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 22, bytes_in // PACKED_BYTES))
-    sets = written(docs.mapInArrow(_sets(size, percent), SETS), "sets")
-    members = sets.select("doc_id", "n", "set_id")
+    part_bits = (max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 22, bytes_in // PACKED_BYTES)) - 1).bit_length()
+    sets = written(docs.mapInArrow(_sets(size, percent, width_of(part_bits)), SETS), "sets")
+    members = written(sets.select("doc_id", "n", "set_id"), "members")
     sized = members.filter("set_id IS NOT NULL AND doc_id IS NOT NULL")
     named = written(sized.groupBy("set_id").agg(F.min("doc_id").alias("root")), "roots")
     told = sets.filter("words IS NOT NULL")
@@ -393,8 +412,9 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str
     join_links(near(inner.unionByName(outer).filter("a <> b"), "near"))
 
     # Then all words, between components.
-    packed = told.select("set_id", "words").join(comps, "set_id").select("root", "comp", "words").mapInArrow(_packed(parts), "part int, packed binary")
+    packed = told.select("set_id", "words").join(comps, "set_id").select("root", "comp", "words").mapInArrow(_packed(part_bits), "part int, packed binary")
     found = written(packed.repartition("part").sortWithinPartitions("part").mapInArrow(_buckets, BUCKETS), "buckets")
+    drop_written(sets)
     join_links(near(found.filter("members IS NULL").select("a", "b"), "near"))
 
     # Buckets with members outside their least node's component: these are compared with all the others there.

@@ -54,6 +54,24 @@ def layout_whitespace(shapes: DataFrame, least: float = 0.15) -> DataFrame:
     return got.select("doc_id", F.round(white, 6).alias("whitespace"), (white < least).alias("crowded"))
 
 
+def whole_findings(shapes: DataFrame, off_limit: float = 0.25, white_limit: float = 0.15) -> DataFrame:
+    """doc_id, rule, severity of balance, whitespace and text sizes: one set of sums for each document."""
+    c = F.col
+    area = F.greatest(F.lit(0.0), c("x1") - c("x0")) * F.greatest(F.lit(0.0), c("y1") - c("y0"))
+    a = F.when(area < 0.9 * AREA, area)
+    size = F.when(c("tag") == "text", c("font_size"))
+    got = shapes.groupBy("doc_id").agg(
+        F.count(a).alias("items"), F.sum(a).alias("a"), F.sum(a * (c("x0") + c("x1")) / 2).alias("mx"), F.sum(a * (c("y0") + c("y1")) / 2).alias("my"),
+        F.count_if(c("tag") == "text").alias("texts"), F.min(size).alias("least"), F.max(size).alias("most"),
+    )
+    off = lambda m: F.abs(c(m) / c("a") - CANVAS / 2) / CANVAS > off_limit
+    found = {
+        "layout.balance": (c("items") >= 2) & (c("a") > 0) & (off("mx") | off("my")), "layout.whitespace": (c("items") > 0) & (F.lit(1.0) - F.least(F.lit(AREA), c("a")) / AREA < white_limit),
+        "type.hierarchy": (c("texts") >= 2) & (c("least").isNull() | (c("least") == c("most"))),
+    }
+    return got.select("doc_id", F.explode(F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in found.items()]))).alias("rule")).withColumn("severity", F.lit("info"))
+
+
 def layout_rhythm(shapes: DataFrame, grid: float = K.GRID) -> DataFrame:
     """Vertical gaps between neighbours by top edge, and how many stand off the grid by more than one."""
     w = Window.partitionBy("doc_id").orderBy("y0", "shape_index")

@@ -106,17 +106,45 @@ def type_scale_snap(shapes: DataFrame) -> DataFrame:
     return _scaled(shapes.filter("tag = 'text'"), "font_size", K.TYPE_SCALE, "nearest_size")
 
 
-def grid_snap(shapes: DataFrame, grid: float = K.GRID) -> DataFrame:
-    """Positions on the grid, sizes too for rectangles; ties go to even steps."""
+def _snapped(grid: float) -> tuple[dict[str, Column], Column]:
+    """Positions on the grid, sizes too for rectangles, and whether any of them was off it."""
     size = lambda c: F.when(F.col("tag") == "rect", F.col(c)).when((F.col("tag") == "circle") & F.lit(c == "width"), F.col("radius"))
     cols = {"x": F.col("x"), "y": F.col("y"), "w": size("width"), "h": size("height")}
     snapped = {k: snap(v, grid) for k, v in cols.items()}
     off = F.lit(False)
     for k, v in cols.items():
         off = off | F.coalesce(F.abs(snapped[k] - v) > 1e-6, F.lit(False))
+    return snapped, off
+
+
+def grid_snap(shapes: DataFrame, grid: float = K.GRID) -> DataFrame:
+    """Positions on the grid, sizes too for rectangles; ties go to even steps."""
+    snapped, off = _snapped(grid)
     return shapes.select(*KEYS, "tag", *[v.alias(f"{k}_snapped") for k, v in snapped.items()], off.alias("off_grid"))
 
 
+def local_findings(shapes: DataFrame, grid: float = K.GRID, least: float = K.MIN_SIZE) -> DataFrame:
+    """doc_id, shape_index, rule, severity of the checks that need one shape: all in one pass over the shapes."""
+    lab = shapes.withColumns(dict(zip(("L", "A", "B"), C.oklab(_fill()), strict=True)))
+    near = lab.withColumn("d", _token_structs((F.col("L"), F.col("A"), F.col("B")))["d"])
+    exact = F.lit(False)
+    for _, r, g, b, _ in K.TOKENS:
+        exact = exact | ((F.col("fill_r") == r) & (F.col("fill_g") == g) & (F.col("fill_b") == b))
+
+    def off(column: str, scale: tuple[float, ...]) -> Column:
+        step = nearest(F.col(column), scale)
+        return F.abs(F.col(column) - step) > F.greatest(F.abs(column), F.abs(step)) * 1e-9
+
+    text = F.col("tag") == "text"
+    family = F.when(text & F.col("font_family").isNull(), "warning").when(text & ~F.col("font_family").isin(*K.FONTS), "error")
+    found = {
+        "color.palette": F.when(~exact, F.when(F.col("d") <= K.SNAP_WARNING, "warning").otherwise("error")), "geometry.min-size": F.when(~text & (F.col("area") < least * least), "info"),
+        "geometry.stroke-width": F.when(off("stroke_width", K.STROKES), "warning"), "geometry.grid": F.when(_snapped(grid)[1], "warning"), "type.font": family, "type.scale": F.when(text & off("font_size", K.TYPE_SCALE), "warning"),
+    }
+    each = F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(k).alias("rule"), v.alias("severity"))) for k, v in found.items()]))
+    return near.select(*KEYS, F.explode(each).alias("f")).select(*KEYS, "f.rule", "f.severity")
+
+
 def font_whitelist(shapes: DataFrame) -> DataFrame:
     ok = F.col("font_family").isin(*K.FONTS)
     severity = F.when(F.col("font_family").isNull(), "warning").when(~ok, "error")

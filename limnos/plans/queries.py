@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import layout, lifecycle, measures, report, rules
+from ..operators import desk, geometry, layout, lifecycle, measures, report, rules
 from ..sources import bridge
-from . import catalog
-from .oracle import SQL
+from ..sources.desk import desk as table_of
+from . import catalog, oracle, oracle_desk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,15 @@ def grid_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.grid_flow(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("unit"), F.col("p_size").cast("int").alias("n")))
 
 
+def _two(first: Query, second: Query, f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(first(spark, sf_dir), second(spark, sf_dir))
+
+
+def default_system(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profiles = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS profile", "c_nationkey AS owner", "CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 7 END AS chosen")
+    return desk.default_system(profiles, table_of("systems")(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     **{n: _over(bridge.shapes, getattr(rules, n)) for n in "palette_snap palette_snap_roles contrast_pairs cmyk_ink oklab_roundtrip color_parse stroke_snap type_scale_snap grid_snap font_whitelist min_size min_text hairline safe_margin bleed_check canvas_rescale".split()},
     **{n: _over(bridge.shapes, getattr(layout, n)) for n in "max_colors ink_once_per_color text_hierarchy layout_balance layout_whitespace layout_rhythm layout_alignment text_collisions text_buried contrast_audit".split()},
@@ -50,6 +59,17 @@ QUERIES: dict[str, Query] = {
     "formats_catalog": lambda spark, _: catalog.formats(spark).drop("bleed"),
     "campaign_plan": campaign_plan,
     "grid_flow": grid_flow,
+    **{n: _over(bridge.shapes, getattr(geometry, n)) for n in "transform_parse transform_measures curve_bounds ring_turns ring_hits text_fit lch_values paint_operators font_names comply_shapes".split()},
+    **{n: _over(table_of("requests"), getattr(desk, n)) for n in "request_validation latest_requests".split()},
+    **{n: _over(table_of("documents"), getattr(desk, n)) for n in "document_validation document_outputs".split()},
+    **{n: _over(table_of("briefs"), getattr(desk, n)) for n in "brief_plan brief_skips".split()},
+    **{n: _two(table_of("approvals"), bridge.candidates, getattr(desk, n)) for n in "approval_lookup selected_candidate".split()},
+    "candidate_revisions": _over(bridge.candidates, desk.candidate_revisions),
+    "campaign_status": _two(table_of("requests"), bridge.candidates, lambda r, c: desk.campaign_status(r, c, [f.name for f in catalog.FORMATS])),
+    "system_problems": _over(table_of("systems"), desk.system_problems),
+    "default_system": default_system,
+    "profile_slots": _over(table_of("profiles"), desk.profile_slots),
 }
+SQL: dict[str, str] = {**oracle.SQL, **oracle_desk.SQL}
 
 __all__ = ["QUERIES", "SQL"]

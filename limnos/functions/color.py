@@ -18,6 +18,7 @@ TO_LMS = ((0.4122214708, 0.5363325363, 0.0514459929), (0.2119034982, 0.680699545
 TO_LAB = ((0.2104542553, 0.7936177850, -0.0040720468), (1.9779984951, -2.4285922050, 0.4505937099), (0.0259040371, 0.7827717662, -0.8086757660))
 FROM_LAB = ((1.0, 0.3963377774, 0.2158037573), (1.0, -0.1055613458, -0.0638541728), (1.0, -0.0894841775, -1.2914855480))
 FROM_LMS = ((4.0767416621, -3.3077115913, 0.2309699292), (-1.2684380046, 2.6097574011, -0.3413193965), (-0.0041960863, -0.7034186147, 1.7076147010))
+# Luminance weights.
 LUMA = (0.2126, 0.7152, 0.0722)
 
 
@@ -104,16 +105,16 @@ def parse(value: Column) -> Column:
     digits = F.regexp_extract(F.coalesce(named, v), r"^#?([0-9a-f]{3}|[0-9a-f]{6}|[0-9a-f]{8})$", 1)
     wide = F.when(F.length(digits) == 3, F.regexp_replace(digits, "(.)", "$1$1")).otherwise(digits)
     hexed = [F.conv(F.substring(wide, 1 + 2 * k, 2), 16, 10).cast("int") for k in range(3)]
-    number = r"\s*(-?[0-9]+(?:\.[0-9]+)?%?)\s*"
-    call = rf"^rgba?\({number},{number},{number}(?:,[^)]*)?\)$"
+    parts = F.filter(F.split(F.regexp_extract(v, r"^rgba?\(([^)]+)\)", 1), r"[,\s/]+"), lambda x: x != "")
 
     def channel(k: int) -> Column:
-        raw = F.regexp_extract(v, call, k)
-        plain = F.regexp_replace(raw, "%", "").cast("double")
-        scaled = F.when(raw.endswith("%"), F.bround(plain * 2.55)).otherwise(F.floor(plain))
-        return F.greatest(F.lit(0), F.least(F.lit(255), scaled.cast("int")))
+        """A number or percentage, halves to even, within 0 and 255."""
+        raw = F.get(parts, F.lit(k))
+        value = F.regexp_replace(raw, "%$", "").try_cast("double") * F.when(raw.endswith("%"), 2.55).otherwise(1.0)
+        return F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.bround(value))).cast("int")
 
     def struct(cs) -> Column:
         return F.struct(*[c.alias(k) for c, k in zip(cs, "rgb", strict=True)])
 
-    return F.when(digits != "", struct(hexed)).when(v.rlike(call), struct([channel(k) for k in (1, 2, 3)]))
+    called = [F.when(F.size(parts) >= 3, channel(k)) for k in range(3)]
+    return F.when(v.startswith("url("), F.lit(None)).when(digits != "", struct(hexed)).when(called[0].isNotNull() & called[1].isNotNull() & called[2].isNotNull(), struct(called))

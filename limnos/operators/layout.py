@@ -11,6 +11,7 @@ from ..sources.bridge import CANVAS
 from .rules import FILL, KEYS
 
 AREA = CANVAS * CANVAS
+SEE_THROUGH = 0.9  # fixed value: the opacity below which a shape hides nothing
 
 
 def laid_out(shapes: DataFrame) -> DataFrame:
@@ -119,14 +120,26 @@ def text_collisions(shapes: DataFrame, tolerance: float = 1.0) -> DataFrame:
     return found.select("doc_id", c("a_shape_index").alias("text"), c("b_shape_index").alias("other"), F.round(share, 6).alias("share"), F.when(share > 0.25, "error").otherwise("warning").alias("severity"))
 
 
+def is_transparent(opacity: Column) -> Column:
+    return F.coalesce(opacity < SEE_THROUGH, F.lit(False))
+
+
+def background_color(shapes: DataFrame, canvas: float = AREA) -> DataFrame:
+    """Fill of each document's background: the first shape in paint order that covers nine tenths of the canvas."""
+    area = F.greatest(F.lit(0.0), F.col("x1") - F.col("x0")) * F.greatest(F.lit(0.0), F.col("y1") - F.col("y0"))
+    wide = shapes.filter(area >= 0.9 * canvas)
+    return wide.groupBy("doc_id").agg(F.min("shape_index").alias("shape_index"), F.min_by(C.to_hex(C.RGB.of("fill_")), "shape_index").alias("background"))
+
+
 def text_buried(shapes: DataFrame, share: float = 0.6) -> DataFrame:
-    """Texts with the first later shape that covers most of them."""
+    """Texts with the first later shape that covers most of them and can't be seen through."""
     items = laid_out(shapes)
-    both = _pairs(items.filter("tag = 'text'"), items.filter("tag <> 'text'"), BOX)
+    both = _pairs(items.filter("tag = 'text'"), items.filter((F.col("tag") != "text") & ~is_transparent(F.col("opacity"))), BOX)
     over = both.filter((F.col("b_shape_index") > F.col("a_shape_index")) & (_shared() / F.greatest(F.lit(1e-6), F.col("a_box_area")) >= share))
     return over.groupBy("doc_id", F.col("a_shape_index").alias("shape_index")).agg(F.min("b_shape_index").alias("covered_by"))
 
 
+# Places within a text's box.
 SAMPLES = ((0.5, 0.5), (0.08, 0.5), (0.92, 0.5), (0.5, 0.2), (0.5, 0.8))
 
 

@@ -46,6 +46,15 @@ def palette_snap(shapes: DataFrame) -> DataFrame:
     return found.select(*KEYS, _named(F.col("t.i")).alias("token"), F.round("t.d", 6).alias("dist"), severity.alias("severity"))
 
 
+def palette_snap_strokes(shapes: DataFrame) -> DataFrame:
+    """The nearest token of every stroke's colour that is none itself, with the finding's severity."""
+    stroke = C.RGB.of("stroke_")
+    lab = shapes.filter("stroke_width > 0").select(*KEYS, "stroke_r", "stroke_g", "stroke_b", *[v.alias(k) for k, v in zip(("L", "A", "B"), C.oklab(stroke), strict=True)])
+    found = lab.select(*KEYS, C.to_hex(stroke).alias("stroke"), _token_structs((F.col("L"), F.col("A"), F.col("B"))).alias("t"))
+    off = found.select(*KEYS, "stroke", F.explode(F.array_compact(F.array(F.when(F.col("t.d") > 0, F.col("t"))))).alias("t"))  # a filter would compute it a second time
+    return off.select(*KEYS, "stroke", _named(F.col("t.i")).alias("token"), F.round("t.d", 6).alias("dist"), F.when(F.col("t.d") <= K.SNAP_WARNING, "warning").otherwise("error").alias("severity"))
+
+
 def palette_snap_roles(shapes: DataFrame, canvas: float = CANVAS * CANVAS) -> DataFrame:
     """The nearest token among those whose role suits the shape: text, large area, any."""
     share = F.col("area") / canvas
@@ -82,12 +91,15 @@ def oklab_roundtrip(shapes: DataFrame) -> DataFrame:
 
 
 def color_parse(shapes: DataFrame) -> DataFrame:
-    """Colours written in five ways, read back."""
+    """Colours written in ten ways, read back."""
     r, g, b = (F.col(c) for c in FILL)
     short = F.concat(F.lit("#"), *[F.lower(F.hex((c % 16).cast("long"))) for c in (r, g, b)])
-    call = F.concat(F.lit("rgb("), r.cast("string"), F.lit(", "), g.cast("string"), F.lit(", "), b.cast("string"), F.lit(")"))
-    way = F.col("shape_index") % 5
-    raw = F.when(way == 0, C.to_hex(C.RGB(r, g, b))).when(way == 1, short).when(way == 2, call).when(way == 3, F.when(r < 128, "navy").otherwise(" Orange ")).otherwise("none")
+    joined = lambda head, between, tail: F.concat(F.lit(head), r.cast("string"), F.lit(between), g.cast("string"), F.lit(between), b.cast("string"), F.lit(tail))
+    ways = [
+        C.to_hex(C.RGB(r, g, b)), short, joined("rgb(", ", ", ")"), F.when(r < 128, "navy").otherwise(" Orange "), F.lit("none"), joined("RGB(", ".5 ", ".5)"),
+        F.lit("rgba(10%, 50%, 120%, .5)"), joined("rgb(", "e0 ", " / 50%)"), F.lit("#abcd"), F.lit("url(#fade)"),
+    ]
+    raw = F.element_at(F.array(*ways), ((F.col("doc_id") + F.col("shape_index")) % 10 + 1).cast("int"))
     p = shapes.select(*KEYS, raw.alias("raw")).select(*KEYS, "raw", C.parse(F.col("raw")).alias("p"))
     return p.select(*KEYS, "raw", F.col("p.r").alias("r"), F.col("p.g").alias("g"), F.col("p.b").alias("b"))
 

@@ -100,6 +100,12 @@ N = f"WITH {LABS} "
 
 SQL = {
     "palette_snap": N + f"SELECT doc_id, shape_index, arg_min(name, (d, i)) AS token, round(min(d), 6) AS dist, {SEVERITY} AS severity FROM near GROUP BY ALL",
+    "palette_snap_strokes": f"""WITH {SHAPES_SQL}, {TOKENS}, tlab AS (SELECT *, {", ".join(f"{e} AS t{k}" for e, k in zip(lab_of("rgb"), "LAB", strict=True))} FROM tokens),
+slab AS (SELECT *, {", ".join(f"{e} AS s{k}" for e, k in zip(lab_of(("stroke_r", "stroke_g", "stroke_b")), "LAB", strict=True))} FROM shapes WHERE stroke_width > 0),
+near AS (SELECT s.*, i, name, sqrt((sL - tL) * (sL - tL) + (sA - tA) * (sA - tA) + (sB - tB) * (sB - tB)) AS d FROM slab s CROSS JOIN tlab t)
+SELECT doc_id, shape_index, format('#{{:02x}}{{:02x}}{{:02x}}', any_value(stroke_r), any_value(stroke_g), any_value(stroke_b)) AS stroke, arg_min(name, (d, i)) AS token, round(min(d), 6) AS dist,
+  CASE WHEN min(d) <= {K.SNAP_WARNING} THEN 'warning' ELSE 'error' END AS severity FROM near GROUP BY doc_id, shape_index HAVING min(d) > 0""",
+    "background_color": S + "SELECT doc_id, min(shape_index) AS shape_index, arg_min(format('#{:02x}{:02x}{:02x}', fill_r, fill_g, fill_b), shape_index) AS background FROM shapes WHERE greatest(0e0, x1 - x0) * greatest(0e0, y1 - y0) >= 0.9e0 * 1e4 GROUP BY doc_id",
     "palette_snap_roles": N + f"""SELECT doc_id, shape_index, tag, arg_min(name, (d, i)) AS token, arg_min(role, (d, i)) AS role, round(min(d), 6) AS dist FROM near
 WHERE CASE WHEN tag = 'text' THEN role IN ('ink', 'text', 'primary', 'accent') WHEN coalesce(area / {A}e0 >= {K.LARGE_AREA}, false) THEN role IN ('surface', 'background', 'ink', 'text') ELSE true END GROUP BY ALL""",
     "contrast_pairs": N + """, c AS (SELECT *, (greatest(slum, tlum) + 0.05e0) / (least(slum, tlum) + 0.05e0) AS q FROM near)
@@ -110,12 +116,17 @@ SELECT doc_id, shape_index, round(CASE WHEN k >= 1 THEN 0e0 ELSE (1e0 - fill_r /
        round(CASE WHEN k >= 1 THEN 0e0 ELSE (1e0 - fill_b / 255e0 - k) / (1e0 - k) END, 6) AS y, round(k, 6) AS k,
        round(100 * (CASE WHEN k >= 1 THEN k ELSE (1e0 - fill_r / 255e0 - k) / (1e0 - k) + (1e0 - fill_g / 255e0 - k) / (1e0 - k) + (1e0 - fill_b / 255e0 - k) / (1e0 - k) + k END), 6) AS ink FROM k""",
     "oklab_roundtrip": N + "SELECT doc_id, shape_index, round(sL, 6) AS lightness, round(sA, 6) AS a, round(sB, 6) AS b, format('#{:02x}{:02x}{:02x}', fill_r, fill_g, fill_b) AS hex FROM slab",
-    "color_parse": S + """SELECT doc_id, shape_index,
-  CASE shape_index % 5 WHEN 0 THEN format('#{:02x}{:02x}{:02x}', fill_r, fill_g, fill_b) WHEN 1 THEN format('#{:x}{:x}{:x}', fill_r % 16, fill_g % 16, fill_b % 16)
-    WHEN 2 THEN 'rgb(' || fill_r || ', ' || fill_g || ', ' || fill_b || ')' WHEN 3 THEN CASE WHEN fill_r < 128 THEN 'navy' ELSE ' Orange ' END ELSE 'none' END AS raw,
-  CASE shape_index % 5 WHEN 1 THEN fill_r % 16 * 17 WHEN 3 THEN CASE WHEN fill_r < 128 THEN 0 ELSE 255 END WHEN 4 THEN NULL ELSE fill_r END AS r,
-  CASE shape_index % 5 WHEN 1 THEN fill_g % 16 * 17 WHEN 3 THEN CASE WHEN fill_r < 128 THEN 0 ELSE 165 END WHEN 4 THEN NULL ELSE fill_g END AS g,
-  CASE shape_index % 5 WHEN 1 THEN fill_b % 16 * 17 WHEN 3 THEN CASE WHEN fill_r < 128 THEN 128 ELSE 0 END WHEN 4 THEN NULL ELSE fill_b END AS b FROM shapes""",
+    "color_parse": S + """, p AS (SELECT *, (doc_id + shape_index) % 10 AS w FROM shapes) SELECT doc_id, shape_index,
+  CASE w WHEN 0 THEN format('#{:02x}{:02x}{:02x}', fill_r, fill_g, fill_b) WHEN 1 THEN format('#{:x}{:x}{:x}', fill_r % 16, fill_g % 16, fill_b % 16)
+    WHEN 2 THEN 'rgb(' || fill_r || ', ' || fill_g || ', ' || fill_b || ')' WHEN 3 THEN CASE WHEN fill_r < 128 THEN 'navy' ELSE ' Orange ' END WHEN 4 THEN 'none'
+    WHEN 5 THEN 'RGB(' || fill_r || '.5 ' || fill_g || '.5 ' || fill_b || '.5)' WHEN 6 THEN 'rgba(10%, 50%, 120%, .5)' WHEN 7 THEN 'rgb(' || fill_r || 'e0 ' || fill_g || 'e0 ' || fill_b || ' / 50%)'
+    WHEN 8 THEN '#abcd' ELSE 'url(#fade)' END AS raw,
+  CASE w WHEN 1 THEN fill_r % 16 * 17 WHEN 3 THEN CASE WHEN fill_r < 128 THEN 0 ELSE 255 END WHEN 4 THEN NULL
+    WHEN 5 THEN CAST(least(255e0, round_even(fill_r + 0.5e0, 0)) AS INT) WHEN 6 THEN CAST(least(255e0, round_even(10e0 * 2.55e0, 0)) AS INT) WHEN 8 THEN NULL WHEN 9 THEN NULL ELSE fill_r END AS r,
+  CASE w WHEN 1 THEN fill_g % 16 * 17 WHEN 3 THEN CASE WHEN fill_r < 128 THEN 0 ELSE 165 END WHEN 4 THEN NULL
+    WHEN 5 THEN CAST(least(255e0, round_even(fill_g + 0.5e0, 0)) AS INT) WHEN 6 THEN CAST(least(255e0, round_even(50e0 * 2.55e0, 0)) AS INT) WHEN 8 THEN NULL WHEN 9 THEN NULL ELSE fill_g END AS g,
+  CASE w WHEN 1 THEN fill_b % 16 * 17 WHEN 3 THEN CASE WHEN fill_r < 128 THEN 128 ELSE 0 END WHEN 4 THEN NULL
+    WHEN 5 THEN CAST(least(255e0, round_even(fill_b + 0.5e0, 0)) AS INT) WHEN 6 THEN CAST(least(255e0, round_even(120e0 * 2.55e0, 0)) AS INT) WHEN 8 THEN NULL WHEN 9 THEN NULL ELSE fill_b END AS b FROM p""",
     "stroke_snap": scale("stroke_width", K.STROKES, "nearest_width"),
     "type_scale_snap": scale("font_size", K.TYPE_SCALE, "nearest_size", "tag = 'text'"),
     "grid_snap": S + GRID,
@@ -139,7 +150,7 @@ SELECT doc_id, count(*) AS gaps, count(*) FILTER (abs(gap - round_even(gap / 8e0
   CASE WHEN {SHARED} / greatest(1e-6, least(a.box_area, b.box_area)) > 0.25 THEN 'error' ELSE 'warning' END AS severity
 FROM laid a JOIN laid b ON a.doc_id = b.doc_id AND a.shape_index < b.shape_index AND a.tag = 'text' AND b.tag = 'text'
   AND a.x0 + 1 < b.x1 - 1 AND b.x0 + 1 < a.x1 - 1 AND a.y0 + 1 < b.y1 - 1 AND b.y0 + 1 < a.y1 - 1""",
-    "text_buried": L + f"SELECT a.doc_id, a.shape_index, min(b.shape_index) AS covered_by FROM laid a JOIN laid b ON a.doc_id = b.doc_id AND a.tag = 'text' AND b.tag <> 'text' AND b.shape_index > a.shape_index WHERE {SHARED} / greatest(1e-6, a.box_area) >= 0.6 GROUP BY a.doc_id, a.shape_index",
+    "text_buried": L + f"SELECT a.doc_id, a.shape_index, min(b.shape_index) AS covered_by FROM laid a JOIN laid b ON a.doc_id = b.doc_id AND a.tag = 'text' AND b.tag <> 'text' AND b.opacity >= 0.9e0 AND b.shape_index > a.shape_index WHERE {SHARED} / greatest(1e-6, a.box_area) >= 0.6 GROUP BY a.doc_id, a.shape_index",
     "contrast_audit": N + """, spots AS (SELECT s.*, k, x0 + (x1 - x0) * u AS px, y0 + (y1 - y0) * v AS py FROM slab s, (VALUES (0, 0.5e0, 0.5e0), (1, 0.08e0, 0.5e0), (2, 0.92e0, 0.5e0), (3, 0.5e0, 0.2e0), (4, 0.5e0, 0.8e0)) AS p(k, u, v) WHERE tag = 'text'),
 seen AS (SELECT t.doc_id, t.shape_index, t.k, t.font_size, t.slum AS own, arg_max(b.slum, b.shape_index) AS ground
   FROM spots t LEFT JOIN slab b ON b.doc_id = t.doc_id AND b.tag <> 'text' AND b.shape_index < t.shape_index
@@ -160,7 +171,7 @@ FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.k = a.k % a.n + 1 GROUP BY a.doc_
     "master_pick": f"WITH {CANDIDATES_SQL} SELECT request, candidate, score_after FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY score_after >= 95 DESC, score_after DESC, attempt DESC) AS k FROM candidates) WHERE k = 1",
     "stuck_requests": idle("Processing", 120),
     "queue_sweep": idle("Queued", 15),
-    "raw_retention": f"WITH {LIFECYCLE_SQL} SELECT request, count(*) AS expired FROM lifecycle WHERE ts < (SELECT max(ts) FROM lifecycle) - INTERVAL 30 DAY GROUP BY request",
+    "raw_retention": f"WITH {LIFECYCLE_SQL} SELECT request, count(*) AS expired FROM lifecycle WHERE ts < (SELECT max(ts) FROM lifecycle) - INTERVAL 10 DAY GROUP BY request",
     "status_violations": f"""WITH {LIFECYCLE_SQL}, s AS (SELECT *, lag(status) OVER (PARTITION BY request ORDER BY ts, event_id) AS before FROM lifecycle)
 SELECT before, status AS after, count(*) AS steps FROM s WHERE before <> status AND (before, status) NOT IN ({", ".join(str(e) for e in K.EDGES)}) GROUP BY before, status""",
     "formats_catalog": f"WITH {FORMATS} SELECT * FROM formats",

@@ -47,7 +47,7 @@ def default_system(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    **{n: _over(bridge.shapes, getattr(rules, n)) for n in "palette_snap palette_snap_roles contrast_pairs cmyk_ink oklab_roundtrip color_parse stroke_snap type_scale_snap grid_snap font_whitelist min_size min_text hairline safe_margin bleed_check canvas_rescale".split()},
+    **{n: _over(bridge.shapes, getattr(rules, n)) for n in "palette_snap palette_snap_strokes palette_snap_roles contrast_pairs cmyk_ink oklab_roundtrip color_parse stroke_snap type_scale_snap grid_snap font_whitelist min_size min_text hairline safe_margin bleed_check canvas_rescale".split()},
     **{n: _over(bridge.shapes, getattr(layout, n)) for n in "max_colors ink_once_per_color text_hierarchy layout_balance layout_whitespace layout_rhythm layout_alignment text_collisions text_buried contrast_audit".split()},
     **{n: _over(bridge.shapes, getattr(measures, n)) for n in "ring_area palette_report box_coverage".split()},
     "report_score": report_score,
@@ -55,7 +55,9 @@ QUERIES: dict[str, Query] = {
     **{n: _over(bridge.candidates, getattr(lifecycle, n)) for n in "best_attempt candidate_gate master_pick".split()},
     "stuck_requests": _over(bridge.lifecycle, lambda x: lifecycle.idle(x, "Processing", 120)),
     "queue_sweep": _over(bridge.lifecycle, lambda x: lifecycle.idle(x, "Queued", 15)),
-    **{n: _over(bridge.lifecycle, getattr(lifecycle, n)) for n in "raw_retention status_violations".split()},
+    **{n: _over(bridge.lifecycle, getattr(lifecycle, n)) for n in ("status_violations",)},
+    "raw_retention": _over(bridge.lifecycle, lambda x: lifecycle.raw_retention(x, days=10)),
+    "background_color": _over(bridge.shapes, lambda s: layout.background_color(s, canvas=1e4)),
     "formats_catalog": lambda spark, _: catalog.formats(spark).drop("bleed"),
     "campaign_plan": campaign_plan,
     "grid_flow": grid_flow,

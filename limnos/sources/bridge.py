@@ -27,6 +27,8 @@ def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (d("l_suppkey") / 4 + 1).alias("radius"), (c("l_partkey") * 37 % 256).cast("int").alias("fill_r"), (c("l_suppkey") * 91 % 256).cast("int").alias("fill_g"),
         (F.floor("l_extendedprice") % 256).cast("int").alias("fill_b"), (d("l_discount") * 50).alias("stroke_width"), (d("l_tax") * 500 + 10).alias("font_size"),
         F.when(c("l_linestatus") == "O", "Inter").otherwise("Comic Sans MS").alias("font_family"), (c("l_linenumber") * 3).cast("long").alias("text_len"),
+        (c("l_suppkey") * 53 % 256).cast("int").alias("stroke_r"), (c("l_partkey") * 71 % 256).cast("int").alias("stroke_g"), (c("l_linenumber") * 29 % 256).cast("int").alias("stroke_b"),
+        (1 - d("l_discount") * 2).alias("opacity"),
     )
     return out.withColumns(box(out))
 
@@ -51,7 +53,8 @@ shapes0 AS (
          l_quantity * 20e0 AS x, l_partkey / 2e0 AS y, l_suppkey * 2e0 + 8e0 AS width, l_linenumber * 24e0 + 8e0 AS height, l_suppkey / 4e0 + 1e0 AS radius,
          CAST(l_partkey * 37 % 256 AS INT) AS fill_r, CAST(l_suppkey * 91 % 256 AS INT) AS fill_g, CAST(CAST(floor(l_extendedprice) AS BIGINT) % 256 AS INT) AS fill_b,
          l_discount * 50e0 AS stroke_width, l_tax * 500e0 + 10e0 AS font_size, CASE l_linestatus WHEN 'O' THEN 'Inter' ELSE 'Comic Sans MS' END AS font_family,
-         CAST(l_linenumber * 3 AS BIGINT) AS text_len
+         CAST(l_linenumber * 3 AS BIGINT) AS text_len, CAST(l_suppkey * 53 % 256 AS INT) AS stroke_r, CAST(l_partkey * 71 % 256 AS INT) AS stroke_g,
+         CAST(l_linenumber * 29 % 256 AS INT) AS stroke_b, 1e0 - l_discount * 2e0 AS opacity
   FROM lineitem),
 shapes AS (
   SELECT *, CASE tag WHEN 'circle' THEN x - radius ELSE x END AS x0,

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bits import bit_filter, maybe, slot
-from .common import drop_written, numbered, written
+from .common import LOWER, UPPER, drop_written, numbered, written
 from .components import components
 from .shingles import WordHash, mix, set_id, shingle_set
 
@@ -453,3 +453,22 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "d
     named = found.join(rows.select(row, F.col(f"`{doc_id}`").alias("_id")), row)
     best = named.groupBy("_component").agg(F.min_by(row, F.struct(F.col("_id").isNull(), "_id", row)).alias(row)).select(row)
     return rows.join(best, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def oracle(size: int, percent: int) -> str:
+    """DuckDB SQL for jaccard_join over documents with distinct ids: all pairs that share a shingle, and what is reachable by links."""
+    return f"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+runs AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {size} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {size - 2}), lambda i: array_to_string(list_slice(w, i, i + {size - 1}), ' ')) END) AS g FROM split),
+sizes AS (SELECT doc_id, count(*) AS n FROM runs GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM runs x JOIN runs y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+linked AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reach(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM sizes UNION SELECT b, root FROM reach JOIN both_ways ON a = reach.doc_id WHERE root < b),
+least AS (SELECT doc_id, min(root) AS root FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least l ON l.doc_id = d.doc_id"""

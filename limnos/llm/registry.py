@@ -64,4 +64,5 @@ SQL: dict[str, Callable[[], str]] = {
     "op2_dated_lists": web_queries.op2_sql,
     "op8_revisits": web_queries.op8_sql,
     "op9_quality_rules": quality.oracle,
+    "op10_ngram_jaccard": lambda: jaccard.oracle(size=4, percent=85),
 }

@@ -88,3 +88,16 @@ def test_keep_one_tells_rows_apart_whatever_their_ids(make, text_of):
     docs = make([(1, a), (1, a), (1, b), (None, c), (None, c), (None, b), (7, None), (None, None)])
     kept = jaccard.keep_one(docs, 4, 85).collect()
     assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted([("1", a), ("1", b), ("None", c), ("7", ""), ("None", "")])
+
+
+def test_query_matches_sql(spark):
+    import duckdb
+
+    from limnos.llm import registry
+
+    at = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{at}/documents.parquet'")
+    want = sorted(con.execute(registry.SQL["op10_ngram_jaccard"]()).fetchall())
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in registry.QUERIES["op10_ngram_jaccard"](spark, at).collect())
+    assert got == want and any(d != c for d, _, c in got)

@@ -319,14 +319,14 @@ def _verified(size: int, percent: int):
 
 
 def _cross(percent: int):
-    """Pairs between members outside the leader's component and any member of another component."""
+    """For members outside the leader's component: those of other components that their sketches let link, as packed ids."""
 
     def run(group: pa.Table) -> pa.Table:
         side = np.array(group["side"].to_pylist())
         ids, comp, n = (np.array(group[c].to_pylist(), np.int64) for c in ("doc_id", "comp", "n"))
         sketch = group["sketch"].to_pylist()
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        a, b = [], []
+        a, found = [], []
         folded: dict[int, np.ndarray] = {}
 
         def at(i: int, words: int) -> np.ndarray:
@@ -334,6 +334,7 @@ def _cross(percent: int):
 
         lengths = np.array([len(s) // 8 for s in sketch])
         for i in left:
+            mates = []
             ok = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
             for words in np.unique(np.minimum(lengths[ok], lengths[i])):
                 js = ok[np.minimum(lengths[ok], lengths[i]) == words]
@@ -343,14 +344,36 @@ def _cross(percent: int):
                     for j in np.flatnonzero(lengths >= words):
                         folded[words][j] = at(j, words)
                 h = np.bitwise_count(folded[words][js] ^ mine).sum(1).astype(np.int64)
-                for j in js[within(h, n[js], n[i], percent)]:
-                    a.append(min(ids[i], ids[j]))
-                    b.append(max(ids[i], ids[j]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                mates.append(ids[js[within(h, n[js], n[i], percent)]])
+            if sum(map(len, mates)):
+                a.append(ids[i])
+                found.append(np.concatenate(mates).tobytes())
+        return pa.table({"a": pa.array(a, pa.int64()), "mates": pa.array(found, pa.binary())})
 
     return run
 
 
+def _mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by node: each pair that any bucket has found, once."""
+
+    def pairs(node: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        mates = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in blobs]))
+        for i in range(0, len(mates), 20_000):
+            part = mates[i : i + 20_000]
+            yield pa.record_batch([pa.array(np.minimum(part, node)), pa.array(np.maximum(part, node))], names=["a", "b"])
+
+    node, blobs = None, []
+    for batch in batches:
+        for a, mates in zip(batch["a"].to_pylist(), batch["mates"].to_pylist(), strict=True):
+            if a != node and blobs:
+                yield from pairs(node, blobs)
+                blobs = []
+            node = a
+            blobs.append(mates)
+    if blobs:
+        yield from pairs(node, blobs)
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The pairs of nodes whose whole texts link, and the written table of texts that they are read from; pairs (a, sa, b, sb) is a written table."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
@@ -430,8 +453,8 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str
     both = todo.filter("minor").select("*", F.lit(0).alias("side"), F.pmod(here, "sides").alias("i"), F.explode(upto("blocks")).alias("j")).unionByName(
         todo.select("*", F.lit(1).alias("side"), F.explode(upto("sides")).alias("i"), F.pmod(here, "blocks").alias("j"))
     )
-    crossed = both.select("bucket", "i", "j", "side", F.col("root").alias("doc_id"), "comp", "n", "sketch").groupBy("bucket", "i", "j").applyInArrow(_cross(percent), "a long, b long")
-    join_links(near(crossed, "near"))
+    crossed = both.select("bucket", "i", "j", "side", F.col("root").alias("doc_id"), "comp", "n", "sketch").groupBy("bucket", "i", "j").applyInArrow(_cross(percent), "a long, mates binary")
+    join_links(near(crossed.repartition("a").sortWithinPartitions("a").mapInArrow(_mates, "a long, b long"), "near"))
     drop_written(nodes, found, placed)
     out = members.join(comps, "set_id", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))

@@ -1,18 +1,17 @@
 """A hidden Markov language model over words, trained by Baum-Welch and scored by the exact scaled forward recursion.
 
-Tokens are words with A-Z lowered, then one end. Each token belongs to a class: the ``OWN`` commonest tokens
-have one each, the others share ``SHARED`` classes by their last bytes. Latent states emit classes; within a class a token has its add-one
-share of the training counts, so P(token | state) = P(class | state) P(token | class), with one place in every
-shared class for tokens never seen. The states' parameters are thus of fixed size, the token counts grow with the corpus
-and stay in a table.
+Tokens are words with A-Z lowered, then one end. The first rounds of Baum-Welch run over classes of tokens: the ``OWN`` commonest
+tokens have one each, the others share ``SHARED`` classes by their last bytes. The last round counts the expected visits of
+each state for every token of the training texts, in a table that grows with the corpus; P(token | state) comes from these counts,
+where a token of few occurrences leans on its class (``lean``). Every shared class has one place for tokens never seen.
 
 Counts of all training tokens are summed over the partitions; the ``TOP`` commonest (a stated bound) are known to every
-task, the others' counts are joined by token. Each round of Baum-Welch is one pass over the class sequences of all training texts;
-tasks add up their expected counts, which are summed by class. Texts are processed whole, many side by side.
+task, the others' counts and visits are joined by token. Each round of Baum-Welch is one pass over all training texts;
+tasks add up their expected counts, which are summed by class, the last time by token. Texts are processed whole, many side by side.
 
 Defined cases: null, empty and blank texts consist of the end alone; rows are scored one by one, also repeated ones and those without an
-id (whose fold is that of the empty text); without training texts every token has count 0; an empty table gives
-an empty result; other columns are not read.
+id (whose fold is that of the empty text); without training texts every token has count 0; very long texts are scored whole;
+of equally common tokens the lesser in bytes counts as commoner; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,12 +27,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_fold, written
+from .common import drop_written, id_fold, written
 
 STATES, ROUNDS = 8, 3
 OWN, SHARED, TAIL = 2_000, 1_024, 3
 TOP, LONGEST = 200_000, 64
 HELD_COUNTS = 400_000  # tokens counted in a task before they are passed on
+HELD_VISITS = 100_000  # the same with visits of states
+LEAN = 5.0  # occurrences that a token's class counts for in its states
 BATCH_TOKENS, GATHER_TOKENS = 600_000, 3_000_000
 END = b""
 
@@ -89,67 +90,47 @@ class _Code(dict):
 class Lookup:
     """The commonest tokens as bytes that travel; a worker unpacks them once, however many tasks it runs."""
 
-    ready: tuple[str, dict, _Code] | None = None
+    ready: tuple[str, dict[bytes, int], _Code] | None = None
 
-    def __init__(self, classes: Classes, totals: dict[int, tuple[int, int]], n: int, v: int):
+    def __init__(self, classes: Classes):
         tokens = list(classes.count)
-        base = [float(np.log10((classes.count[t] + 1) / (n + v + 1))) for t in tokens]
-        kinds = [classes.of(t) for t in tokens]
-        sizes = [totals[k][0] + totals[k][1] + 1 for k in kinds]
-        inner = [0.0 if t in classes.own else float(np.log10((classes.count[t] + 1) / m)) for t, m in zip(tokens, sizes, strict=True)]
         self.name, self.n = uuid.uuid4().hex, len(tokens)
         self.tokens = zstandard.compress(b" ".join(tokens), 3)  # tokens have no blanks; the end is the empty one
-        self.kinds, self.base, self.inner = np.array(kinds, np.int16), np.array(base), np.array(inner)
+        self.kinds = np.array([classes.of(t) for t in tokens], np.int16)
 
-    def read(self) -> tuple[dict[bytes, tuple[float, float]], _Code]:
-        """token -> (log10 of base share, log10 of share in its class), and the classes."""
+    def read(self) -> tuple[dict[bytes, int], _Code]:
+        """token -> its place among the commonest, and the classes."""
         if not Lookup.ready or Lookup.ready[0] != self.name:
             Lookup.ready = None
             tokens = zstandard.decompress(self.tokens).split(b" ") if self.n else []
-            known = dict(zip(tokens, zip(self.base.tolist(), self.inner.tolist(), strict=True), strict=True))
-            Lookup.ready = (self.name, known, _Code(zip(tokens, self.kinds.tolist(), strict=True)))
+            Lookup.ready = (self.name, {t: k for k, t in enumerate(tokens)}, _Code(zip(tokens, self.kinds.tolist(), strict=True)))
         return Lookup.ready[1:]
 
 
-PLACED = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "inner", "seq", "token", "n"]
-
-
 def _placed(lookup: Lookup):
-    """Of every text: its classes and the sums over tokens of known count; and a row for each other token."""
+    """Of every text: classes, places of its tokens among the commonest (below 0: in the list of its other tokens) and that list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, codes = lookup.read()
+        squeeze = zstandard.ZstdCompressor(1)
         for whole in batches:
             for i in range(0, len(whole), 500):
                 batch = whole.slice(i, 500)
-                docs: list[list] = [[] for _ in range(5)]
-                rare: list[list] = [[] for _ in range(3)]
-                for row, text in zip(batch["row"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                    tokens = _tokens(text)
-                    base = inner = 0.0
-                    found = 0
-                    for t, m in Counter(tokens).items():
-                        x = known.get(t)
-                        if x:
-                            found += m
-                            base += m * x[0]
-                            inner += m * x[1]
-                        else:
-                            rare[0].append(row)
-                            rare[1].append(t)
-                            rare[2].append(m)
-                    for c, value in zip(docs, (len(tokens), found, base, inner, np.fromiter(map(codes.__getitem__, tokens), np.int16, len(tokens)).tobytes()), strict=True):
+                docs: list[list] = [[] for _ in range(3)]
+                for text in batch["text"].to_pylist():
+                    tokens, other = _tokens(text), {}
+                    at = np.fromiter((known[t] if t in known else ~other.setdefault(t, len(other)) for t in tokens), np.int32, len(tokens))
+                    for c, value in zip(docs, (np.fromiter(map(codes.__getitem__, tokens), np.int16, len(tokens)).tobytes(), squeeze.compress(at.tobytes()), list(other)), strict=True):
                         c.append(value)
-                k, kind = len(batch), batch["doc_id"].type
-                head = [batch["row"], batch["doc_id"], batch["held_out"]]
-                yield pa.record_batch([*head, pa.array(docs[0], pa.int64()), pa.array(docs[1], pa.int64()), pa.array(docs[2], pa.float64()), pa.array(docs[3], pa.float64()), pa.array(docs[4], pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())], names=PLACED)
-                k = len(rare[0])
-                none = [pa.nulls(k, t) for t in (kind, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())]
-                yield pa.record_batch([pa.array(rare[0], pa.int64()), *none, pa.array(rare[1], pa.binary()), pa.array(rare[2], pa.int64())], names=PLACED)
+                yield pa.record_batch([batch["row"], batch["doc_id"], batch["held_out"], pa.array(docs[0], pa.binary()), pa.array(docs[1], pa.binary()), pa.array(docs[2], pa.list_(pa.binary()))], names=["row", "doc_id", "held_out", "seq", "at", "other"])
 
     return run
 
 
+def _places(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int32).astype(np.int64)
+
+
 class Model:
     """Start (S), moves (S, S) and emissions of classes (C, S)."""
 
@@ -171,10 +152,14 @@ class _Side:
         length = length[self.order]
         self.alive = np.searchsorted(-length, -np.arange(length[0]), "left")  # sequences longer than t
         self.at = np.r_[0, np.cumsum(self.alive)]
-        self.obs = np.empty(self.at[-1], np.int64)
-        starts = self.at[:-1]
+        self.obs = self.laid(seqs)
+
+    def laid(self, seqs: list[np.ndarray]) -> np.ndarray:
+        """Values of the sequences' places in the order of this batch."""
+        out = np.empty(self.at[-1], np.int64)
         for k, s in enumerate(self.order):
-            self.obs[starts[: length[k]] + k] = seqs[s]
+            out[self.at[: len(seqs[s])] + k] = seqs[s]
+        return out
 
     def forward(self, m: Model, keep: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
         """Natural log likelihoods in the order given; scaled forward variables and scales if kept."""
@@ -195,8 +180,8 @@ class _Side:
         out[self.order] = log
         return out, alpha, scale
 
-    def expected(self, m: Model, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of starts, moves and emissions."""
+    def expected(self, m: Model, classes: int, names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected counts of starts, moves and emissions; these by class, or by the names of the places."""
         _, alpha, scale = self.forward(m, True)
         s = len(m.start)
         moves = np.zeros((s, s))
@@ -211,21 +196,22 @@ class _Side:
             beta = np.ones((n, s)) if n > k else np.empty((n, s))
             beta[:k] = ahead @ m.moves.T
         gamma[: self.alive[0]] *= beta
-        emit = np.stack([np.bincount(self.obs, gamma[:, x], classes) for x in range(s)], 1)
+        emit = np.stack([np.bincount(self.obs if names is None else names, gamma[:, x], classes) for x in range(s)], 1)
         return gamma[: self.alive[0]].sum(0), moves * m.moves, emit
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _gathered(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[tuple[list[dict], list[np.ndarray]]]:
     rows, seqs, n = [], [], 0
     for batch in batches:
-        for row, seq in zip(batch["row"].to_pylist(), batch["seq"].to_pylist(), strict=True):
-            x = np.frombuffer(seq, np.int16)
-            rows.append(row)
-            seqs.append(x)
-            n += len(x)
-            if n >= tokens:
-                yield rows, seqs
-                rows, seqs, n = [], [], 0
+        for i in range(0, len(batch), 500):
+            for row in batch.slice(i, 500).to_pylist():
+                x = np.frombuffer(row.pop("seq"), np.int16) if "seq" in row else _places(row.pop("at"))
+                rows.append(row)
+                seqs.append(x)
+                n += len(x)
+                if n >= tokens:
+                    yield rows, seqs
+                    rows, seqs, n = [], [], 0
     if rows:
         yield rows, seqs
 
@@ -281,12 +267,87 @@ def _expected(m: Model, classes: int):
     return run
 
 
-def _scored(m: Model):
+def _visits(m: Model, classes: int, top: int):
+    """Expected counts by token: code below ``top`` for the commonest, then moves from each state, then starts; the others by themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = len(m.start)
+        start, moves, common, times = np.zeros(s), np.zeros((s, s)), np.zeros((top, s)), np.zeros(top, np.int64)
+        ids: dict[bytes, int] = {}
+        visits, seen = np.zeros((0, s)), np.zeros(0, np.int64)
+        names = ["code", "token", "n", *[f"s{k}" for k in range(s)]]
+
+        def out(codes: list | None, tokens: list | None, n: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(rows), 20_000):
+                part = rows[i : i + 20_000]
+                code = pa.array(codes[i : i + 20_000], pa.int64()) if codes is not None else pa.nulls(len(part), pa.int64())
+                token = pa.array(tokens[i : i + 20_000], pa.binary()) if tokens is not None else pa.nulls(len(part), pa.binary())
+                yield pa.record_batch([code, token, pa.array(n[i : i + 20_000]), *[pa.array(np.ascontiguousarray(c)) for c in part.T]], names=names)
+
+        for rows, seqs in _gathered(batches, GATHER_TOKENS):
+            for part in _batched(seqs):
+                tokens = []
+                for k in part:
+                    x = _places(rows[k]["at"])
+                    if rows[k]["other"]:
+                        mine = np.array([ids.setdefault(t, len(ids)) for t in rows[k]["other"]], np.int64)
+                        x[x < 0] = top + mine[~x[x < 0]]
+                    tokens.append(x)
+                side = _Side([seqs[k] for k in part])
+                used, local = np.unique(side.laid(tokens), return_inverse=True)
+                a, b, e = side.expected(m, len(used), local)
+                start, moves, n = start + a, moves + b, np.bincount(local, minlength=len(used))
+                grown = len(ids) - len(visits)
+                visits, seen = np.concatenate([visits, np.zeros((grown, s))]), np.concatenate([seen, np.zeros(grown, np.int64)])
+                here = used < top
+                common[used[here]] += e[here]
+                times[used[here]] += n[here]
+                visits[used[~here] - top] += e[~here]
+                seen[used[~here] - top] += n[~here]
+                if len(ids) >= HELD_VISITS:
+                    yield from out(None, list(ids), seen, visits)
+                    ids, visits, seen = {}, visits[:0], seen[:0]
+        yield from out(None, list(ids), seen, visits)
+        met = np.flatnonzero(times)
+        yield from out([*met.tolist(), *range(top, top + s + 1)], None, np.r_[times[met], np.zeros(s + 1, np.int64)], np.concatenate([common[met], moves, start[None]]))
+
+    return run
+
+
+def lean(n, visits, by_class, weight: float = LEAN):
+    """A token's n + 1 occurrences (one for add-one) shared out to states as its visits and ``weight`` more of its class are."""
+    return (n + 1) * (visits + weight * by_class) / (n + weight)
+
+
+def _scored(start: np.ndarray, moves: np.ndarray, common: np.ndarray, base: np.ndarray, size: np.ndarray, total: int):
+    """n_tokens, n_known, base_score and score of every text, of which ``found`` has counts and visits of the tokens that are not common."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, seqs in _gathered(batches, GATHER_TOKENS):
             for part in _batched(seqs):
-                log = _Side([seqs[k] for k in part]).forward(m, False)[0] / np.log(10)
-                yield pa.record_batch([pa.array([rows[k] for k in part], pa.int64()), pa.array(log)], names=["row", "states"])
+                at, emit, bases, known = [], [common], [base], [np.ones(len(base), bool)]
+                n = len(base)
+                for k in part:
+                    x = seqs[k].copy()
+                    found = sorted(rows[k]["found"] or [], key=lambda f: f["i"])
+                    if found:
+                        x[x < 0] = n + ~x[x < 0]
+                        c = np.array([f["c"] for f in found])
+                        emit.append(np.array([f["e"] for f in found]) / size)
+                        bases.append(np.log10((c + 1) / total))
+                        known.append(c > 0)
+                        n += len(found)
+                    at.append(x)
+                every, is_known = np.concatenate(bases), np.concatenate(known)
+                log = _Side(at).forward(Model(start, moves, np.concatenate(emit)), False)[0] / np.log(10)
+                yield pa.record_batch(
+                    [
+                        *[pa.array([rows[k][c] for k in part], t) for c, t in zip(("doc_id", "held_out"), (None, pa.bool_()), strict=True)],
+                        pa.array([len(x) for x in at], pa.int64()), pa.array([int(is_known[x].sum()) for x in at], pa.int64()),
+                        pa.array([float(every[x].sum()) for x in at]), pa.array(log),
+                    ],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+                )
 
     return run
 
@@ -331,38 +392,48 @@ def score_texts(
     prior = np.array([totals.get(k, (0, 0))[0] + 1.0 for k in range(classes.size)])
     prior /= prior.sum()
 
-    placing = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, inner double, seq binary, token binary, n long"
     rows = docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text")
-    placed = written(rows.mapInArrow(_placed(Lookup(classes, totals, n, v)), placing), "classes")
-    texts = placed.filter("token IS NULL")
-    learned = texts.filter("NOT held_out").select("row", "seq")
+    texts = written(rows.mapInArrow(_placed(Lookup(classes)), f"row long, doc_id {kind}, held_out boolean, seq binary, at binary, other array<binary>"), "classes")
+    learned = texts.filter("NOT held_out")
     columns = [f"s{k}" for k in range(states)]
 
     def fitted(task) -> Model:
-        got = learned.mapInArrow(task, "key long, " + ", ".join(f"{c} double" for c in columns)).groupBy("key").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
+        got = learned.select("seq").mapInArrow(task, "key long, " + ", ".join(f"{c} double" for c in columns)).groupBy("key").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
         size = classes.size
         table = np.zeros((size + states + 1, states))
         table[got["key"].to_numpy()] = np.stack([got[c].to_numpy() for c in columns], 1)
         return Model.from_counts(table[-1], table[size : size + states], table[:size], prior)
 
     model = fitted(_first_guess(states, classes.size))
-    for _ in range(rounds):
+    for _ in range(rounds - 1):
         model = fitted(_expected(model, classes.size))
 
-    # Tokens beyond the commonest: their counts by join, their classes' totals from a table of fixed size.
-    sizes = docs.sparkSession.createDataFrame([(k, *(int(x) for x in totals.get(k, (0, 0)))) for k in range(SHARED)], "k int, nk long, vk long")
-    rare = placed.filter("token IS NOT NULL").select("row", "token", "n").join(counts, "token", "left")
-    rare = rare.withColumn("k", shared_class(F.col("token")).cast("int")).join(F.broadcast(sizes), "k")
-    c = F.coalesce("c", F.lit(0)) + 1
-    rest = rare.groupBy("row").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("known2"),
-        F.sum(F.col("n") * F.log10(c / F.lit(float(n + v + 1)))).alias("base2"),
-        F.sum(F.col("n") * F.log10(c / (F.col("nk") + F.col("vk") + 1))).alias("inner2"),
-    )
-    likely = texts.select("row", "seq").mapInArrow(_scored(model), "row long, states double")
-    out = texts.drop("seq", "token", "n").join(likely, "row").join(rest, "row", "left")
-    more = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    return out.select(
-        "doc_id", "held_out", "n_tokens", more("n_known", "known2").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        more("base", "base2").alias("base_score"), (F.col("states") + more("inner", "inner2")).alias("score"),
-    )
+    # The last round, by token: the commonest on the driver (at most TOP rows), the others in a table.
+    tokens = len(classes.count)
+    told = written(learned.select("seq", "at", "other").mapInArrow(_visits(model, classes.size, tokens), "code long, token binary, n long, " + ", ".join(f"{c} double" for c in columns)), "visits")
+    sums = [F.sum(c).alias(c) for c in columns]
+    got = told.filter("code IS NOT NULL").groupBy("code").agg(F.sum("n").alias("n"), *sums).toArrow()
+    table, times = np.zeros((tokens + states + 1, states)), np.zeros(tokens + states + 1)
+    table[got["code"].to_numpy()] = np.stack([got[c].to_numpy() for c in columns], 1)
+    times[got["code"].to_numpy()] = got["n"].to_numpy()
+    start, moves = table[-1] + 1, table[tokens:-1] + 1
+    by_class = model.emit * (table[-1] + table[tokens:-1].sum(0) + 1)  # visits of a state are starts in it and moves to it
+    by_class /= by_class.sum(1, keepdims=True)
+    common = lean(times[:tokens, None], table[:tokens], by_class[[classes.of(t) for t in classes.count]].reshape(-1, states))
+
+    shared = docs.sparkSession.createDataFrame([(k, by_class[k].tolist()) for k in range(SHARED)], "k int, r array<double>")
+    kinds = lambda df: df.withColumn("k", shared_class(F.col("token")).cast("int")).join(F.broadcast(shared), "k")
+    rare = kinds(told.filter("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("c"), *sums))
+    rare = written(rare.select("token", "c", F.array(*[lean(F.col("c"), F.col(c), F.col("r")[k]) for k, c in enumerate(columns)]).alias("e")), "rare")
+    others = rare.agg(*[F.coalesce(F.sum(F.col("e")[k]), F.lit(0.0)) for k in range(states)]).first()
+    size = common.sum(0) + np.array(others) + by_class[:SHARED].sum(0)
+    drop_written(told, counts)
+
+    # Texts meet the counts and visits of their tokens beyond the commonest; a token never seen has the one place in its class.
+    asked = texts.select("row", F.posexplode("other").alias("i", "token")).join(rare, "token", "left")
+    found = kinds(asked).groupBy("row").agg(F.collect_list(F.struct("i", F.coalesce("c", F.lit(0).cast("long")).alias("c"), F.coalesce("e", "r").alias("e"))).alias("found"))
+    base = np.log10((np.array(list(classes.count.values()), float) + 1) / (n + v + 1))
+    task = _scored(start / start.sum(), moves / moves.sum(1, keepdims=True), common / size, base, size, n + v + 1)
+    out = texts.select("row", "doc_id", "held_out", "at").join(found, "row", "left").drop("row")
+    out = out.mapInArrow(task, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -79,6 +79,33 @@ def test_beats_the_unigram_on_held_out_texts(make, text_of):
     assert held["sum(score)"] > held["sum(base_score)"] + 100
 
 
+def test_tokens_met_by_join_score_as_those_known_to_all(make, text_of, monkeypatch):
+    monkeypatch.setattr(hmm, "OWN", 20)
+    docs = make([(k, text_of(k, 60) + f" seen{k % 9} once{k}") for k in range(60)])
+    by_top = [{r.doc_id: r for r in hmm.score_texts(docs, rounds=2, top=top).collect()} for top in (30, 100_000)]
+    assert len(by_top[0]) == 60 and any(r.n_known < r.n_tokens for r in by_top[0].values())
+    for k, r in by_top[0].items():
+        assert r.n_known == by_top[1][k].n_known and math.isclose(r.score, by_top[1][k].score, rel_tol=1e-6)
+
+
+def test_emissions_follow_the_word_not_its_class(make, monkeypatch):
+    """Words outside the classes of their own, of one ending each, are told apart by the company they keep."""
+    monkeypatch.setattr(hmm, "OWN", 8)
+    r = np.random.default_rng(7)
+    rare = [[f"{a}{k}tion" for k in range(40)] for a in "pq"]
+    text = lambda kind, x: " ".join(w for _ in range(25) for w in (("der", "the")[kind], ("der", "the")[kind], r.choice(rare[x])))
+    held = [k for k in range(10_000) if zlib.crc32(str(k).encode()) % 7 == 2]
+    learned = [k for k in range(10_000) if zlib.crc32(str(k).encode()) % 7 != 2]
+    rows = [(k, text(k % 2, k % 2)) for k in learned[:400]] + [(held[j], text(j % 2, j % 2)) for j in range(20)] + [(held[20 + j], text(j % 2, 1 - j % 2)) for j in range(20)]
+    got = {x.doc_id: x.score for x in hmm.score_texts(make(rows), rounds=3).collect()}
+    assert sum(got[k] for k in held[:20]) > sum(got[k] for k in held[20:40]) + 20
+
+
+def test_lean_keeps_occurrences():
+    visits, share = np.array([[2.0, 1.0], [0.0, 0.0]]), np.array([[0.25, 0.75], [0.5, 0.5]])
+    assert np.allclose(hmm.lean(np.array([[3], [0]]), visits, share).sum(1), [4, 1])
+
+
 def test_class_expression(spark):
     words = ["a", "é", "thing", "word.", "ß", "日本", "x" * 80, ""]
     classes = hmm.Classes([])

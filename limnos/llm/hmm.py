@@ -3,7 +3,7 @@
 Tokens are words with A-Z lowered, then one end. The first rounds of Baum-Welch run over classes of tokens: the ``OWN`` commonest
 tokens have one each, the others share ``SHARED`` classes by their last bytes. The last round counts the expected visits of
 each state for every token of the training texts, in a table that grows with the corpus; P(token | state) comes from these counts,
-where a token of few occurrences leans on its class (``lean``). Every shared class has one place for tokens never seen.
+where a token of few occurrences leans on its class (``lean``); shares of states travel as one byte each. Every shared class has one place for tokens never seen.
 
 Counts of all training tokens are summed over the partitions; the ``TOP`` commonest (a stated bound) are known to every
 task, the others' counts and visits are joined by token. Each round of Baum-Welch is one pass over all training texts;
@@ -275,14 +275,15 @@ def _visits(m: Model, classes: int, top: int):
         start, moves, common, times = np.zeros(s), np.zeros((s, s)), np.zeros((top, s)), np.zeros(top, np.int64)
         ids: dict[bytes, int] = {}
         visits, seen = np.zeros((0, s)), np.zeros(0, np.int64)
-        names = ["code", "token", "n", *[f"s{k}" for k in range(s)]]
+        names = ["code", "token", "n", "shares", "sums"]
 
-        def out(codes: list | None, tokens: list | None, n: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def out(codes: np.ndarray | None, tokens: list | None, n: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            shares = packed(rows, n)
             for i in range(0, len(rows), 20_000):
-                part = rows[i : i + 20_000]
-                code = pa.array(codes[i : i + 20_000], pa.int64()) if codes is not None else pa.nulls(len(part), pa.int64())
-                token = pa.array(tokens[i : i + 20_000], pa.binary()) if tokens is not None else pa.nulls(len(part), pa.binary())
-                yield pa.record_batch([code, token, pa.array(n[i : i + 20_000]), *[pa.array(np.ascontiguousarray(c)) for c in part.T]], names=names)
+                size = min(20_000, len(rows) - i)
+                code = pa.array(codes[i : i + size]) if codes is not None else pa.nulls(size, pa.int64())
+                token = pa.array(tokens[i : i + size], pa.binary()) if tokens is not None else pa.nulls(size, pa.binary())
+                yield pa.record_batch([code, token, pa.array(n[i : i + size]), pa.array(shares[i : i + size]), pa.nulls(size, pa.list_(pa.float64()))], names=names)
 
         for rows, seqs in _gathered(batches, GATHER_TOKENS):
             for part in _batched(seqs):
@@ -309,18 +310,36 @@ def _visits(m: Model, classes: int, top: int):
                     ids, visits, seen = {}, visits[:0], seen[:0]
         yield from out(None, list(ids), seen, visits)
         met = np.flatnonzero(times)
-        yield from out([*met.tolist(), *range(top, top + s + 1)], None, np.r_[times[met], np.zeros(s + 1, np.int64)], np.concatenate([common[met], moves, start[None]]))
+        yield from out(met, None, times[met], common[met])
+        k = s + 1
+        yield pa.record_batch([pa.array(np.arange(top, top + k)), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([*moves.tolist(), start.tolist()], pa.list_(pa.float64()))], names=names)
 
     return run
 
 
+def packed(visits: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The states' shares of n visits as one byte each."""
+    out = np.zeros((len(visits), 8), np.uint8)
+    out[:, : visits.shape[1]] = np.round(255 * visits / n[:, None])
+    return out.view(np.int64).reshape(-1)
+
+
+def unpacked(shares: np.ndarray, states: int) -> np.ndarray:
+    return np.ascontiguousarray(shares, np.int64).view(np.uint8).reshape(-1, 8)[:, :states] / 255
+
+
+def share(k: int) -> Column:
+    """Of state k in the column shares."""
+    return F.shiftrightunsigned("shares", 8 * k).bitwiseAND(F.lit(255).cast("long")) / 255
+
+
 def lean(n, visits, by_class, weight: float = LEAN):
     """A token's n + 1 occurrences (one for add-one) shared out to states as its visits and ``weight`` more of its class are."""
     return (n + 1) * (visits + weight * by_class) / (n + weight)
 
 
-def _scored(start: np.ndarray, moves: np.ndarray, common: np.ndarray, base: np.ndarray, size: np.ndarray, total: int):
-    """n_tokens, n_known, base_score and score of every text, of which ``found`` has counts and visits of the tokens that are not common."""
+def _scored(start: np.ndarray, moves: np.ndarray, common: np.ndarray, base: np.ndarray, by_class: np.ndarray, size: np.ndarray, total: int):
+    """n_tokens, n_known, base_score and score of every text, of which ``found`` has counts, shares and classes of the tokens that are not common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, seqs in _gathered(batches, GATHER_TOKENS):
@@ -333,7 +352,8 @@ def _scored(start: np.ndarray, moves: np.ndarray, common: np.ndarray, base: np.n
                     if found:
                         x[x < 0] = n + ~x[x < 0]
                         c = np.array([f["c"] for f in found])
-                        emit.append(np.array([f["e"] for f in found]) / size)
+                        visits = c[:, None] * unpacked(np.array([f["shares"] for f in found]), len(start))
+                        emit.append(lean(c[:, None], visits, by_class[[f["k"] for f in found]]) / size)
                         bases.append(np.log10((c + 1) / total))
                         known.append(c > 0)
                         n += len(found)
@@ -375,7 +395,7 @@ def commonest(counts: DataFrame, top: int) -> list[tuple[bytes, int]]:
 def score_texts(
     docs: DataFrame, fold: int = 7, held: int = 2, states: int = STATES, rounds: int = ROUNDS, top: int = TOP, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) for every row.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) for every row; at most 8 states.
 
     Rows whose id's crc32 modulo ``fold`` is ``held`` are not learned from.
     """
@@ -410,30 +430,42 @@ def score_texts(
 
     # The last round, by token: the commonest on the driver (at most TOP rows), the others in a table.
     tokens = len(classes.count)
-    told = written(learned.select("seq", "at", "other").mapInArrow(_visits(model, classes.size, tokens), "code long, token binary, n long, " + ", ".join(f"{c} double" for c in columns)), "visits")
-    sums = [F.sum(c).alias(c) for c in columns]
-    got = told.filter("code IS NOT NULL").groupBy("code").agg(F.sum("n").alias("n"), *sums).toArrow()
-    table, times = np.zeros((tokens + states + 1, states)), np.zeros(tokens + states + 1)
-    table[got["code"].to_numpy()] = np.stack([got[c].to_numpy() for c in columns], 1)
-    times[got["code"].to_numpy()] = got["n"].to_numpy()
-    start, moves = table[-1] + 1, table[tokens:-1] + 1
-    by_class = model.emit * (table[-1] + table[tokens:-1].sum(0) + 1)  # visits of a state are starts in it and moves to it
+    told = written(learned.select("seq", "at", "other").mapInArrow(_visits(model, classes.size, tokens), "code long, token binary, n long, shares long, sums array<double>"), "visits")
+    got = told.filter("sums IS NOT NULL").groupBy("code").agg(*[F.sum(F.col("sums")[k]).alias(c) for k, c in enumerate(columns)]).toArrow()
+    table = np.zeros((states + 1, states))
+    table[got["code"].to_numpy() - tokens] = np.stack([got[c].to_numpy() for c in columns], 1)
+    start, moves = table[-1] + 1, table[:-1] + 1
+    by_class = model.emit * (table[-1] + table[:-1].sum(0) + 1)  # visits of a state are starts in it and moves to it
     by_class /= by_class.sum(1, keepdims=True)
-    common = lean(times[:tokens, None], table[:tokens], by_class[[classes.of(t) for t in classes.count]].reshape(-1, states))
-
-    shared = docs.sparkSession.createDataFrame([(k, by_class[k].tolist()) for k in range(SHARED)], "k int, r array<double>")
-    kinds = lambda df: df.withColumn("k", shared_class(F.col("token")).cast("int")).join(F.broadcast(shared), "k")
-    rare = kinds(told.filter("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("c"), *sums))
-    rare = written(rare.select("token", "c", F.array(*[lean(F.col("c"), F.col(c), F.col("r")[k]) for k, c in enumerate(columns)]).alias("e")), "rare")
-    others = rare.agg(*[F.coalesce(F.sum(F.col("e")[k]), F.lit(0.0)) for k in range(states)]).first()
-    size = common.sum(0) + np.array(others) + by_class[:SHARED].sum(0)
+
+    by_token = told.filter("n IS NOT NULL").select("code", "token", "n", "shares").repartition("code", "token").groupBy("code", "token")
+    by_token = by_token.agg(F.sum("n").alias("c"), *[F.sum(F.col("n") * share(k)).alias(c) for k, c in enumerate(columns)])
+    byte = lambda k, c: F.shiftleft(F.round(255 * F.col(c) / F.col("c")).cast("long"), 8 * k)
+    pack = byte(0, columns[0])
+    for k, c in enumerate(columns[1:], 1):
+        pack = pack.bitwiseOR(byte(k, c))
+    by_token = written(by_token.select("code", "token", "c", pack.alias("shares")), "tokens")
+    got = by_token.filter("code IS NOT NULL").select("code", "c", "shares").toArrow()
+    times, visits = np.zeros((tokens, 1)), np.zeros((tokens, states))
+    times[got["code"].to_numpy(), 0] = got["c"].to_numpy()
+    visits[got["code"].to_numpy()] = unpacked(got["shares"].to_numpy(), states)
+    common = lean(times, times * visits, by_class[np.array([classes.of(t) for t in classes.count], np.int64)])
+
+    rare = by_token.filter("token IS NOT NULL").select("token", "c", "shares")
+    kind_of = shared_class(F.col("token")).cast("int").alias("k")
+    # The others' sum over tokens, from sums by class (at most SHARED rows).
+    parts = [F.sum((F.col("c") + 1) * F.col("c") / (F.col("c") + LEAN) * share(k)).alias(c) for k, c in enumerate(columns)]
+    others = rare.groupBy(kind_of).agg(F.sum((F.col("c") + 1) / (F.col("c") + LEAN)).alias("w"), *parts).toArrow()
+    rest = np.stack([others[c].to_numpy() for c in columns], 1).reshape(-1, states) + LEAN * others["w"].to_numpy()[:, None] * by_class[others["k"].to_numpy()]
+    size = common.sum(0) + rest.sum(0) + by_class[:SHARED].sum(0)
     drop_written(told, counts)
 
-    # Texts meet the counts and visits of their tokens beyond the commonest; a token never seen has the one place in its class.
+    # Texts meet the counts and shares of their tokens beyond the commonest; a token never seen has the one place in its class.
     asked = texts.select("row", F.posexplode("other").alias("i", "token")).join(rare, "token", "left")
-    found = kinds(asked).groupBy("row").agg(F.collect_list(F.struct("i", F.coalesce("c", F.lit(0).cast("long")).alias("c"), F.coalesce("e", "r").alias("e"))).alias("found"))
+    zero = F.lit(0).cast("long")
+    found = asked.select("row", F.struct("i", F.coalesce("c", zero).alias("c"), kind_of, F.coalesce("shares", zero).alias("shares")).alias("f")).groupBy("row").agg(F.collect_list("f").alias("found"))
     base = np.log10((np.array(list(classes.count.values()), float) + 1) / (n + v + 1))
-    task = _scored(start / start.sum(), moves / moves.sum(1, keepdims=True), common / size, base, size, n + v + 1)
+    task = _scored(start / start.sum(), moves / moves.sum(1, keepdims=True), common / size, base, by_class, size, n + v + 1)
     out = texts.select("row", "doc_id", "held_out", "at").join(found, "row", "left").drop("row")
     out = out.mapInArrow(task, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import desk, geometry, layout, lifecycle, measures, report, rules
+from ..operators import desk, geometry, layout, lifecycle, measures, palette, report, rules
 from ..sources import bridge
 from ..sources.desk import desk as table_of
-from . import catalog, oracle, oracle_desk
+from . import catalog, oracle, oracle_desk, oracle_palette
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,8 +70,9 @@ QUERIES: dict[str, Query] = {
     "campaign_status": _two(table_of("requests"), bridge.candidates, lambda r, c: desk.campaign_status(r, c, [f.name for f in catalog.FORMATS])),
     "system_problems": _over(table_of("systems"), desk.system_problems),
     "default_system": default_system,
+    **{n: _over(table_of("seeds"), getattr(palette, n)) for n in ("palette_tokens", "palette_contrasts")},
     "profile_slots": _over(table_of("profiles"), desk.profile_slots),
 }
-SQL: dict[str, str] = {**oracle.SQL, **oracle_desk.SQL}
+SQL: dict[str, str] = {**oracle.SQL, **oracle_desk.SQL, **oracle_palette.SQL}
 
 __all__ = ["QUERIES", "SQL"]

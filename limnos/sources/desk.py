@@ -27,7 +27,9 @@ SYSTEMS = """s_suppkey AS system, s_nationkey AS owner, s_suppkey % 3 = 0 AS is_
   CASE s_suppkey % 5 WHEN 0 THEN '12, 14,16' WHEN 1 THEN '12,large' WHEN 2 THEN NULL ELSE '8' END AS type_scale"""
 PROFILES = """c_custkey AS profile, CASE WHEN c_custkey % 5 = 0 THEN 'Pending verification' ELSE c_name END AS trading_name, concat('Company ', CAST(c_custkey AS STRING)) AS company_name,
   CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN concat(' Grow', chr(10), 'more') ELSE 'Not yet provided' END AS vision, CASE WHEN c_custkey % 2 = 0 THEN 'Value first' ELSE '' END AS proposition"""
-OF = {"requests": (REQUESTS, "orders"), "documents": (DOCUMENTS, "customer"), "briefs": (BRIEFS, "customer"), "approvals": (APPROVALS, "orders"), "systems": (SYSTEMS, "supplier"), "profiles": (PROFILES, "customer")}
+SEEDS = """c_custkey AS seed, CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE CAST(c_custkey * 37 % 256 AS INT) END AS primary_r, CAST(c_custkey * 91 % 256 AS INT) AS primary_g,
+  CAST(c_nationkey * 53 % 256 AS INT) AS primary_b, CAST(c_custkey * 71 % 256 AS INT) AS accent_r, CAST(c_nationkey * 29 % 256 AS INT) AS accent_g, CAST(c_custkey * 17 % 256 AS INT) AS accent_b"""
+OF = {"requests": (REQUESTS, "orders"), "documents": (DOCUMENTS, "customer"), "briefs": (BRIEFS, "customer"), "approvals": (APPROVALS, "orders"), "systems": (SYSTEMS, "supplier"), "profiles": (PROFILES, "customer"), "seeds": (SEEDS, "customer")}
 
 
 def desk(name: str):

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hmm, jaccard, latent, quality, secrets, sharding, toxicity, web_queries
+from . import bpe, digests, hmm, jaccard, latent, quality, secrets, sharding, toxicity, web_queries
 from .common import table
 
 
@@ -47,6 +47,10 @@ def op7_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latent.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hidden_markov": op1_hidden_markov,
     "op2_dated_lists": web_queries.op2_dated_lists,
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_revisits": web_queries.op8_revisits,
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op12_digest_index": op12_digest_index,
 }
 
 SQL: dict[str, Callable[[], str]] = {
@@ -65,4 +70,5 @@ SQL: dict[str, Callable[[], str]] = {
     "op8_revisits": web_queries.op8_sql,
     "op9_quality_rules": quality.oracle,
     "op10_ngram_jaccard": lambda: jaccard.oracle(size=4, percent=85),
+    "op12_digest_index": digests.oracle,
 }

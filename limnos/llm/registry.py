@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, digests, hmm, jaccard, latent, quality, secrets, sharding, toxicity, web_queries
+from . import balls, bpe, digests, hmm, jaccard, latent, quality, secrets, sharding, toxicity, web_queries
 from .common import table
 
 
@@ -47,6 +47,10 @@ def op7_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latent.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balls.clusters(*balls.ball_kmeans(table(spark, sf_dir, "embeddings")))
+
+
 def op12_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_revisits": web_queries.op8_revisits,
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_ball_kmeans": op11_ball_kmeans,
     "op12_digest_index": op12_digest_index,
 }
 
@@ -70,5 +75,6 @@ SQL: dict[str, Callable[[], str]] = {
     "op8_revisits": web_queries.op8_sql,
     "op9_quality_rules": quality.oracle,
     "op10_ngram_jaccard": lambda: jaccard.oracle(size=4, percent=85),
+    "op11_ball_kmeans": balls.oracle,
     "op12_digest_index": digests.oracle,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balls, bpe, digests, hmm, jaccard, latent, quality, secrets, sharding, toxicity, web_queries
+from . import balls, bpe, digests, hmm, jaccard, latent, merkle, quality, secrets, sharding, toxicity, web_queries
 from .common import table
 
 
@@ -55,6 +55,11 @@ def op12_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.checked(merkle.Manifest(docs, forged=merkle.seventh(docs["doc_id"])))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hidden_markov": op1_hidden_markov,
     "op2_dated_lists": web_queries.op2_dated_lists,
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_ball_kmeans": op11_ball_kmeans,
     "op12_digest_index": op12_digest_index,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 SQL: dict[str, Callable[[], str]] = {
@@ -77,4 +83,5 @@ SQL: dict[str, Callable[[], str]] = {
     "op10_ngram_jaccard": lambda: jaccard.oracle(size=4, percent=85),
     "op11_ball_kmeans": balls.oracle,
     "op12_digest_index": digests.oracle,
+    "op13_merkle_manifest": merkle.oracle,
 }

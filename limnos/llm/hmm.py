@@ -3,7 +3,8 @@
 Tokens are words with A-Z lowered, then one end. The first rounds of Baum-Welch run over classes of tokens: the ``OWN`` commonest
 tokens have one each, the others share ``SHARED`` classes by their last bytes. The last round counts the expected visits of
 each state for every token of the training texts, in a table that grows with the corpus; P(token | state) comes from these counts,
-where a token of few occurrences leans on its class (``lean``); shares of states travel as one byte each. Every shared class has one place for tokens never seen.
+where a token of few occurrences leans on its class (``lean``). Each occurrence is shared out to the states in whole parts of 1 / ``GRAIN``,
+so that sums of visits are whole numbers and depend neither on partitions nor on their order; they travel as digits of 16 bits. Every shared class has one place for tokens never seen.
 
 Counts of all training tokens are summed over the partitions; the ``TOP`` commonest (a stated bound) are known to every
 task, the others' counts and visits are joined by token. Each round of Baum-Welch is one pass over all training texts;
@@ -34,6 +35,7 @@ OWN, SHARED, TAIL = 2_000, 1_024, 3
 TOP, LONGEST = 200_000, 64
 HELD_COUNTS = 400_000  # tokens counted in a task before they are passed on
 HELD_VISITS = 100_000  # the same with visits of states
+GRAIN = 4_095  # parts that an occurrence is shared out in
 LEAN = 5.0  # occurrences that a token's class counts for in its states
 BATCH_TOKENS, GATHER_TOKENS = 600_000, 3_000_000
 END = b""
@@ -181,7 +183,7 @@ class _Side:
         return out, alpha, scale
 
     def expected(self, m: Model, classes: int, names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of starts, moves and emissions; these by class, or by the names of the places."""
+        """Expected counts of starts, moves and emissions; these by class, or by the names of the places in parts of 1 / GRAIN."""
         _, alpha, scale = self.forward(m, True)
         s = len(m.start)
         moves = np.zeros((s, s))
@@ -196,7 +198,8 @@ class _Side:
             beta = np.ones((n, s)) if n > k else np.empty((n, s))
             beta[:k] = ahead @ m.moves.T
         gamma[: self.alive[0]] *= beta
-        emit = np.stack([np.bincount(self.obs if names is None else names, gamma[:, x], classes) for x in range(s)], 1)
+        part = (lambda x: gamma[:, x]) if names is None else (lambda x: np.rint(gamma[:, x] * GRAIN))
+        emit = np.stack([np.bincount(self.obs if names is None else names, part(x), classes) for x in range(s)], 1)
         return gamma[: self.alive[0]].sum(0), moves * m.moves, emit
 
 
@@ -275,15 +278,18 @@ def _visits(m: Model, classes: int, top: int):
         start, moves, common, times = np.zeros(s), np.zeros((s, s)), np.zeros((top, s)), np.zeros(top, np.int64)
         ids: dict[bytes, int] = {}
         visits, seen = np.zeros((0, s)), np.zeros(0, np.int64)
-        names = ["code", "token", "n", "shares", "sums"]
+        names = ["code", "token", "n", "digit", "low", "high", "sums"]
 
         def out(codes: np.ndarray | None, tokens: list | None, n: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            shares = packed(rows, n)
-            for i in range(0, len(rows), 20_000):
-                size = min(20_000, len(rows) - i)
-                code = pa.array(codes[i : i + size]) if codes is not None else pa.nulls(size, pa.int64())
-                token = pa.array(tokens[i : i + size], pa.binary()) if tokens is not None else pa.nulls(size, pa.binary())
-                yield pa.record_batch([code, token, pa.array(n[i : i + size]), pa.array(shares[i : i + size]), pa.nulls(size, pa.list_(pa.float64()))], names=names)
+            for digit, at, halves in packed(rows):
+                count = n[at] if digit == 0 else np.zeros(len(at), np.int64)  # a token counts once
+                for i in range(0, len(at), 20_000):
+                    here = at[i : i + 20_000]
+                    size = len(here)
+                    code = pa.array(codes[here]) if codes is not None else pa.nulls(size, pa.int64())
+                    token = pa.array([tokens[k] for k in here], pa.binary()) if tokens is not None else pa.nulls(size, pa.binary())
+                    whole = [pa.array(count[i : i + size]), pa.array(np.full(size, digit, np.int32)), *[pa.array(h[i : i + size]) for h in halves]]
+                    yield pa.record_batch([code, token, *whole, pa.nulls(size, pa.list_(pa.float64()))], names=names)
 
         for rows, seqs in _gathered(batches, GATHER_TOKENS):
             for part in _batched(seqs):
@@ -312,25 +318,33 @@ def _visits(m: Model, classes: int, top: int):
         met = np.flatnonzero(times)
         yield from out(met, None, times[met], common[met])
         k = s + 1
-        yield pa.record_batch([pa.array(np.arange(top, top + k)), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([*moves.tolist(), start.tolist()], pa.list_(pa.float64()))], names=names)
+        yield pa.record_batch([pa.array(np.arange(top, top + k)), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([*moves.tolist(), start.tolist()], pa.list_(pa.float64()))], names=names)
 
     return run
 
 
-def packed(visits: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The states' shares of n visits as one byte each."""
-    out = np.zeros((len(visits), 8), np.uint8)
-    out[:, : visits.shape[1]] = np.round(255 * visits / n[:, None])
-    return out.view(np.int64).reshape(-1)
+def packed(visits: np.ndarray) -> Iterator[tuple[int, np.ndarray, tuple[np.ndarray, np.ndarray]]]:
+    """Digits of base 2^16 of whole numbers, the lowest first, each with the rows that have it and the states' digits, four to a long."""
+    left, at, digit = visits.astype(np.int64), np.arange(len(visits)), 0
+    while len(at) or digit == 0:
+        out = np.zeros((len(at), 8), np.uint16)
+        out[:, : left.shape[1]] = left & 0xFFFF
+        pair = out.view(np.int64)
+        yield digit, at, (np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1]))
+        left, digit = left >> 16, digit + 1
+        more = left.any(1)
+        left, at = left[more], at[more]
 
 
-def unpacked(shares: np.ndarray, states: int) -> np.ndarray:
-    return np.ascontiguousarray(shares, np.int64).view(np.uint8).reshape(-1, 8)[:, :states] / 255
+def unpacked(low: np.ndarray, high: np.ndarray, states: int) -> np.ndarray:
+    """Shares of the states from their 16 bits."""
+    pair = np.ascontiguousarray(np.stack([low, high], 1), np.int64)
+    return pair.view(np.uint16).reshape(-1, 8)[:, :states] / 65_535
 
 
-def share(k: int) -> Column:
-    """Of state k in the column shares."""
-    return F.shiftrightunsigned("shares", 8 * k).bitwiseAND(F.lit(255).cast("long")) / 255
+def part(k: int) -> Column:
+    """The 16 bits of state k in the columns low and high."""
+    return F.shiftrightunsigned("low" if k < 4 else "high", 16 * (k % 4)).bitwiseAND(F.lit(65_535).cast("long"))
 
 
 def lean(n, visits, by_class, weight: float = LEAN):
@@ -352,7 +366,7 @@ def _scored(start: np.ndarray, moves: np.ndarray, common: np.ndarray, base: np.n
                     if found:
                         x[x < 0] = n + ~x[x < 0]
                         c = np.array([f["c"] for f in found])
-                        visits = c[:, None] * unpacked(np.array([f["shares"] for f in found]), len(start))
+                        visits = c[:, None] * unpacked(*[np.array([f[h] for f in found], np.int64) for h in ("low", "high")], len(start))
                         emit.append(lean(c[:, None], visits, by_class[[f["k"] for f in found]]) / size)
                         bases.append(np.log10((c + 1) / total))
                         known.append(c > 0)
@@ -430,7 +444,7 @@ def score_texts(
 
     # The last round, by token: the commonest on the driver (at most TOP rows), the others in a table.
     tokens = len(classes.count)
-    told = written(learned.select("seq", "at", "other").mapInArrow(_visits(model, classes.size, tokens), "code long, token binary, n long, shares long, sums array<double>"), "visits")
+    told = written(learned.select("seq", "at", "other").mapInArrow(_visits(model, classes.size, tokens), "code long, token binary, n long, digit int, low long, high long, sums array<double>"), "visits")
     got = told.filter("sums IS NOT NULL").groupBy("code").agg(*[F.sum(F.col("sums")[k]).alias(c) for k, c in enumerate(columns)]).toArrow()
     table = np.zeros((states + 1, states))
     table[got["code"].to_numpy() - tokens] = np.stack([got[c].to_numpy() for c in columns], 1)
@@ -438,23 +452,26 @@ def score_texts(
     by_class = model.emit * (table[-1] + table[:-1].sum(0) + 1)  # visits of a state are starts in it and moves to it
     by_class /= by_class.sum(1, keepdims=True)
 
-    by_token = told.filter("n IS NOT NULL").select("code", "token", "n", "shares").repartition("code", "token").groupBy("code", "token")
-    by_token = by_token.agg(F.sum("n").alias("c"), *[F.sum(F.col("n") * share(k)).alias(c) for k, c in enumerate(columns)])
-    byte = lambda k, c: F.shiftleft(F.round(255 * F.col(c) / F.col("c")).cast("long"), 8 * k)
-    pack = byte(0, columns[0])
-    for k, c in enumerate(columns[1:], 1):
-        pack = pack.bitwiseOR(byte(k, c))
-    by_token = written(by_token.select("code", "token", "c", pack.alias("shares")), "tokens")
-    got = by_token.filter("code IS NOT NULL").select("code", "c", "shares").toArrow()
+    by_token = told.filter("n IS NOT NULL").drop("sums").repartition("code", "token").groupBy("code", "token")
+    whole = lambda k: F.call_function("shiftleft", part(k), F.col("digit") * 16)
+    by_token = by_token.agg(F.sum("n").alias("c"), *[F.sum(whole(k)).alias(c) for k, c in enumerate(columns)])
+    all_parts = sum((F.col(c) for c in columns[1:]), F.col(columns[0]))
+    pack = {}
+    for half, of in (("low", columns[:4]), ("high", columns[4:])):
+        pack[half] = F.lit(0).cast("long")
+        for k, c in enumerate(of):
+            pack[half] = pack[half].bitwiseOR(F.shiftleft(F.round(65_535 * F.col(c) / all_parts).cast("long"), 16 * k))
+    by_token = written(by_token.select("code", "token", "c", *[v.alias(h) for h, v in pack.items()]), "tokens")
+    got = by_token.filter("code IS NOT NULL").select("code", "c", "low", "high").toArrow()
     times, visits = np.zeros((tokens, 1)), np.zeros((tokens, states))
     times[got["code"].to_numpy(), 0] = got["c"].to_numpy()
-    visits[got["code"].to_numpy()] = unpacked(got["shares"].to_numpy(), states)
+    visits[got["code"].to_numpy()] = unpacked(got["low"].to_numpy(), got["high"].to_numpy(), states)
     common = lean(times, times * visits, by_class[np.array([classes.of(t) for t in classes.count], np.int64)])
 
-    rare = by_token.filter("token IS NOT NULL").select("token", "c", "shares")
+    rare = by_token.filter("token IS NOT NULL").select("token", "c", "low", "high")
     kind_of = shared_class(F.col("token")).cast("int").alias("k")
     # The others' sum over tokens, from sums by class (at most SHARED rows).
-    parts = [F.sum((F.col("c") + 1) * F.col("c") / (F.col("c") + LEAN) * share(k)).alias(c) for k, c in enumerate(columns)]
+    parts = [F.sum((F.col("c") + 1) * F.col("c") / (F.col("c") + LEAN) * (part(k) / 65_535)).alias(c) for k, c in enumerate(columns)]
     others = rare.groupBy(kind_of).agg(F.sum((F.col("c") + 1) / (F.col("c") + LEAN)).alias("w"), *parts).toArrow()
     rest = np.stack([others[c].to_numpy() for c in columns], 1).reshape(-1, states) + LEAN * others["w"].to_numpy()[:, None] * by_class[others["k"].to_numpy()]
     size = common.sum(0) + rest.sum(0) + by_class[:SHARED].sum(0)
@@ -463,7 +480,7 @@ def score_texts(
     # Texts meet the counts and shares of their tokens beyond the commonest; a token never seen has the one place in its class.
     asked = texts.select("row", F.posexplode("other").alias("i", "token")).join(rare, "token", "left")
     zero = F.lit(0).cast("long")
-    found = asked.select("row", F.struct("i", F.coalesce("c", zero).alias("c"), kind_of, F.coalesce("shares", zero).alias("shares")).alias("f")).groupBy("row").agg(F.collect_list("f").alias("found"))
+    found = asked.select("row", F.struct("i", F.coalesce("c", zero).alias("c"), kind_of, *[F.coalesce(h, zero).alias(h) for h in ("low", "high")]).alias("f")).groupBy("row").agg(F.collect_list("f").alias("found"))
     base = np.log10((np.array(list(classes.count.values()), float) + 1) / (n + v + 1))
     task = _scored(start / start.sum(), moves / moves.sum(1, keepdims=True), common / size, base, by_class, size, n + v + 1)
     out = texts.select("row", "doc_id", "held_out", "at").join(found, "row", "left").drop("row")

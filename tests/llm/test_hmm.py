@@ -111,3 +111,19 @@ def test_class_expression(spark):
     classes = hmm.Classes([])
     df = spark.createDataFrame([(bytearray(w.encode()),) for w in words], "t binary")
     assert [r.k for r in df.select(hmm.shared_class(hmm.F.col("t")).alias("k")).collect()] == [classes.of(w.encode()) for w in words]
+
+
+def test_scores_do_not_depend_on_partitions(make, text_of):
+    docs = make([(k, text_of(k % 70, 60) + f" seen{k % 9} once{k}") for k in range(140)])
+    runs = [{r.doc_id: r.score for r in hmm.score_texts(docs.repartition(n), rounds=2, top=40).collect()} for n in (1, 4, 16)]
+    assert len(runs[0]) == 140
+    for other in runs[1:]:
+        assert all(math.isclose(runs[0][k], v, rel_tol=1e-9, abs_tol=1e-6) for k, v in other.items())
+
+
+def test_digits_of_visits():
+    visits = np.array([[3.0, 70_000.0], [0.0, 65_535.0], [0.0, 5e9]])
+    total = np.zeros((3, 2))
+    for digit, at, (low, high) in hmm.packed(visits):
+        total[at] += np.rint(hmm.unpacked(low, high, 2) * 65_535) * 65_536**digit
+    assert (total == visits).all()

@@ -75,20 +75,28 @@ def _of_call(name: Column, args: Column) -> Column:
     return out
 
 
+# How a call and a number are written.
 CALL = r"([A-Za-z]+)\s*\(([^)]*)\)"
+NUMBER = r"([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)"
 
 
 def parse(value: Column) -> Column:
-    """Struct of the product of a transform list; the identity for a blank one, null where something in it can't be read."""
+    """Struct of the product of a transform list; the identity for a blank or absent one, null where something in it can't be read."""
+    value = F.coalesce(value, F.lit(""))
     names, inner = (F.regexp_extract_all(value, F.lit(CALL), F.lit(k)) for k in (1, 2))
-    numbers = lambda s: F.transform(F.filter(F.split(s, r"[\s,]+"), lambda x: x != ""), lambda x: x.try_cast("double"))
+    numbers = lambda s: F.transform(F.regexp_extract_all(s, F.lit(NUMBER), F.lit(1)), lambda x: x.cast("double"))
     maps = F.zip_with(names, inner, lambda n, s: _of_call(n, numbers(s)))
     rest = F.regexp_replace(F.regexp_replace(value, CALL, ""), r"[\s,]+", "")
     product = F.aggregate(maps, Matrix.of(1, 0, 0, 1, 0, 0).struct(), lambda acc, m: (Matrix.read(acc) @ Matrix.read(m)).struct())
     return F.when((rest == "") & F.forall(maps, lambda m: m.isNotNull()), product)
 
 
+def decimals(value: Column, n: int) -> Column:
+    """A number as text with at most n decimals."""
+    text = F.format_string(f"%.{n}f", value)
+    short = F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", "")
+    return F.when(short.isin("", "-"), "0").otherwise(short)
+
+
 def two_decimals(value: Column) -> Column:
-    """A number as text with at most two decimals."""
-    text = F.format_string("%.2f", value)
-    return F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", "")
+    return decimals(value, 2)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import desk, geometry, layout, lifecycle, measures, palette, report, rules
 from ..sources import bridge
 from ..sources.desk import desk as table_of
-from . import catalog, oracle, oracle_desk, oracle_palette
+from . import catalog, markup, oracle, oracle_desk, oracle_palette
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,7 +72,8 @@ QUERIES: dict[str, Query] = {
     "default_system": default_system,
     **{n: _over(table_of("seeds"), getattr(palette, n)) for n in ("palette_tokens", "palette_contrasts")},
     "profile_slots": _over(table_of("profiles"), desk.profile_slots),
+    **markup.QUERIES,
 }
-SQL: dict[str, str] = {**oracle.SQL, **oracle_desk.SQL, **oracle_palette.SQL}
+SQL: dict[str, str] = {**oracle.SQL, **oracle_desk.SQL, **oracle_palette.SQL, **markup.SQL}
 
 __all__ = ["QUERIES", "SQL"]

@@ -207,7 +207,11 @@ def _gathered(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[tuple[
     rows, seqs, n = [], [], 0
     for batch in batches:
         for i in range(0, len(batch), 500):
-            for row in batch.slice(i, 500).to_pylist():
+            some = batch.slice(i, 500)
+            found = _matched(some["found"]) if "found" in some.schema.names else None
+            for k, row in enumerate((some.drop_columns(["found"]) if found else some).to_pylist()):
+                if found:
+                    row["found"] = found[k]
                 x = np.frombuffer(row.pop("seq"), np.int16) if "seq" in row else _places(row.pop("at"))
                 rows.append(row)
                 seqs.append(x)
@@ -219,6 +223,18 @@ def _gathered(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[tuple[
         yield rows, seqs
 
 
+def _matched(lists: pa.ListArray) -> list[np.ndarray]:
+    """For each row the columns i, c, k, low, high of its structs in the order of i, as one array of five rows."""
+    ends = lists.offsets.to_numpy()
+    flat = lists.values
+    table = np.stack([flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("i", "c", "k", "low", "high")])
+    out = []
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        part = table[:, a:b]
+        out.append(part[:, np.argsort(part[0], kind="stable")])
+    return out
+
+
 def _batched(seqs: list[np.ndarray]) -> Iterator[list[int]]:
     """Places of sequences of like length, in batches of bounded size (or one very long sequence)."""
     part, n = [], 0
@@ -362,15 +378,14 @@ def _scored(start: np.ndarray, moves: np.ndarray, common: np.ndarray, base: np.n
                 n = len(base)
                 for k in part:
                     x = seqs[k].copy()
-                    found = sorted(rows[k]["found"] or [], key=lambda f: f["i"])
-                    if found:
+                    _, c, kind, low, high = rows[k]["found"]
+                    if len(c):
                         x[x < 0] = n + ~x[x < 0]
-                        c = np.array([f["c"] for f in found])
-                        visits = c[:, None] * unpacked(*[np.array([f[h] for f in found], np.int64) for h in ("low", "high")], len(start))
-                        emit.append(lean(c[:, None], visits, by_class[[f["k"] for f in found]]) / size)
+                        visits = c[:, None] * unpacked(low, high, len(start))
+                        emit.append(lean(c[:, None], visits, by_class[kind]) / size)
                         bases.append(np.log10((c + 1) / total))
                         known.append(c > 0)
-                        n += len(found)
+                        n += len(c)
                     at.append(x)
                 every, is_known = np.concatenate(bases), np.concatenate(known)
                 log = _Side(at).forward(Model(start, moves, np.concatenate(emit)), False)[0] / np.log(10)

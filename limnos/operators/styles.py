@@ -33,7 +33,7 @@ def declarations(body: Column, lowered: bool) -> Column:
     name = lambda p: F.trim(F.regexp_replace(F.substring_index(p, ":", 1), r"[\t\n\r\f]", " "))
     value = lambda p: F.trim(F.regexp_replace(F.substring(p, F.instr(p, ":") + 1, F.length(p)), r"[\t\n\r\f]", " "))
     pairs = F.transform(parts, lambda p: F.struct((F.lower(name(p)) if lowered else name(p)).alias("name"), value(p).alias("value")))
-    return F.filter(pairs, lambda d: (d.name != "") & (d.value != "")) if lowered else pairs
+    return F.filter(pairs, lambda d: (d["name"] != "") & (d["value"] != "")) if lowered else pairs
 
 
 def style_rules(nodes: DataFrame) -> DataFrame:

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import desk, geometry, layout, lifecycle, measures, palette, report, rules
+from ..operators import comply, desk, geometry, layout, lifecycle, measures, palette, report, rules
 from ..sources import bridge
 from ..sources.desk import desk as table_of
-from . import catalog, markup, oracle, oracle_desk, oracle_palette
+from . import catalog, markup, oracle, oracle_comply, oracle_desk, oracle_palette, paths, rounds
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,19 @@ def report_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.scores(_orders(spark, sf_dir).select(F.col("o_orderkey").alias("doc_id")), report.findings(bridge.shapes(spark, sf_dir)))
 
 
+def comply_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comply.comply(_orders(spark, sf_dir).select(F.col("o_orderkey").alias("doc_id")), bridge.shapes(spark, sf_dir))
+
+
+def text_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comply.text_moves(comply.repaired(bridge.shapes(spark, sf_dir)).filter("NOT removed"))
+
+
+def complied_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done, _ = comply.complied(bridge.shapes(spark, sf_dir))
+    return done.select("doc_id", "shape_index", "tag", "x", "y", rules._named(F.col("f2")).alias("fill"), "font_family", "font_size", "stroke_width")
+
+
 def campaign_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = lambda c, m: (F.col(c) % m).cast("double") + 400.0
     masters = _orders(spark, sf_dir).select(F.col("o_orderkey").alias("master"), size("o_orderkey", 1300).alias("master_w"), size("o_custkey", 1700).alias("master_h"))
@@ -72,8 +85,10 @@ QUERIES: dict[str, Query] = {
     "default_system": default_system,
     **{n: _over(table_of("seeds"), getattr(palette, n)) for n in ("palette_tokens", "palette_contrasts")},
     "profile_slots": _over(table_of("profiles"), desk.profile_slots),
-    **markup.QUERIES,
+    "audit_documents": _over(bridge.shapes, comply.audit),
+    **{f.__name__: f for f in (comply_documents, text_moves, complied_shapes)},
+    **markup.QUERIES, **paths.QUERIES, **rounds.QUERIES,
 }
-SQL: dict[str, str] = {**oracle.SQL, **oracle_desk.SQL, **oracle_palette.SQL, **markup.SQL}
+SQL: dict[str, str] = {**oracle.SQL, **oracle_desk.SQL, **oracle_palette.SQL, **oracle_comply.SQL, **markup.SQL, **paths.SQL, **rounds.SQL}
 
 __all__ = ["QUERIES", "SQL"]

@@ -140,9 +140,9 @@ walk(doc_id, shape_index, k, y, y0, y1, met, moves, errors, warnings) AS (
   SELECT doc_id, shape_index, k + 1, CASE WHEN fits THEN target ELSE y END, y0, y1, met, moves + CAST(fits AS INT), errors + CAST(NOT fits AND share > 0.25 AS INT), warnings + CAST(NOT fits AND share <= 0.25 AS INT)
   FROM (SELECT *, target + (y1 - y) <= {CANVAS}e0 AS fits FROM (SELECT *, met[k + 1].share AS share, {snap("met[k + 1].oy1 + (y1 - y0) * 0.15e0 + (y - y0)")} AS target FROM walk WHERE k < len(met)))),
 moves AS (SELECT doc_id, shape_index, y AS new_y, moves, errors, warnings FROM walk WHERE k = len(met)),
-placed AS (SELECT s.* EXCLUDE (x0, y0, x1, y1, area) REPLACE (coalesce(new_y, s.y) AS y, CASE WHEN recolored THEN f3 ELSE f2 END AS f2) FROM stage s LEFT JOIN poor USING (doc_id, shape_index) LEFT JOIN moves USING (doc_id, shape_index)),
+placed AS (SELECT s.* EXCLUDE (x0, y0, x1, y1, area, y, f2), coalesce(new_y, s.y) AS y, CASE WHEN recolored THEN f3 ELSE f2 END AS f2 FROM stage s LEFT JOIN poor USING (doc_id, shape_index) LEFT JOIN moves USING (doc_id, shape_index)),
 boxed AS (SELECT *, {BOX} FROM placed), {edges("boxed", "2")},
-done AS (SELECT * EXCLUDE (x0, y0, x1, y1, area), {BOX} FROM (SELECT b.* EXCLUDE (x0, y0, x1, y1, area) REPLACE (b.x + coalesce(shift, 0e0) AS x) FROM ebox2 b LEFT JOIN edge2 USING (doc_id, shape_index))), {advice("done", "2")},
+done AS (SELECT *, {BOX} FROM (SELECT b.* EXCLUDE (x0, y0, x1, y1, area, x), b.x + coalesce(shift, 0e0) AS x FROM ebox2 b LEFT JOIN edge2 USING (doc_id, shape_index))), {advice("done", "2")},
 told AS (
   SELECT doc_id, 'none' AS severity, 0 AS open, sum(snaps) AS fixed FROM painted GROUP BY doc_id
   UNION ALL SELECT doc_id, 'none', 0, n FROM singles

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import comply, desk, geometry, layout, lifecycle, measures, palette, report, rules
 from ..sources import bridge
 from ..sources.desk import desk as table_of
+from ..sources.storage import kept
 from . import catalog, markup, oracle, oracle_comply, oracle_desk, oracle_palette, paths, rounds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +33,7 @@ def comply_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comply.text_moves(comply.repaired(bridge.shapes(spark, sf_dir)).filter("NOT removed"))
+    return comply.text_moves(kept(comply.repaired(bridge.shapes(spark, sf_dir)), "repaired").filter("NOT removed"))
 
 
 def complied_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,8 +54,8 @@ _SIDES = """sides AS (
   LEFT JOIN pixels b ON b.doc_id = a.doc_id AND b.x = a.x + dx AND b.y = a.y + dy WHERE b.label IS NULL OR b.label <> a.label),
 chain AS (SELECT a.doc_id, a.e, arg_min(b.e, CASE (b.way - a.way + 4) % 4 WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END) AS nxt
   FROM sides a JOIN sides b ON b.doc_id = a.doc_id AND b.label = a.label AND b.x0 = a.x1 AND b.y0 = a.y1 GROUP BY a.doc_id, a.e),
-walk(doc_id, e, at) AS (SELECT doc_id, e, nxt FROM chain UNION SELECT w.doc_id, w.e, c.nxt FROM walk w JOIN chain c ON c.doc_id = w.doc_id AND c.e = w.at),
-loops AS (SELECT doc_id, e, min(at) AS loop FROM walk GROUP BY doc_id, e)"""
+walk(doc_id, e, v) AS (SELECT doc_id, e, nxt FROM chain UNION SELECT w.doc_id, w.e, c.nxt FROM walk w JOIN chain c ON c.doc_id = w.doc_id AND c.e = w.v),
+loops AS (SELECT doc_id, e, min(v) AS loop FROM walk GROUP BY doc_id, e)"""
 _RING = f"""{SHAPES_SQL}, k AS (SELECT doc_id, shape_index, x, y, row_number() OVER (PARTITION BY doc_id ORDER BY shape_index) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n, avg(x) OVER (PARTITION BY doc_id) AS mx, avg(y) OVER (PARTITION BY doc_id) AS my FROM shapes),
 s AS (SELECT *, arg_min(k, (-round(pow(x - mx, 2) + pow(y - my, 2), 6), k)) OVER (PARTITION BY doc_id) AS sk FROM k),
 r AS (SELECT *, (k - sk + n) % n AS r, max(CASE WHEN k = sk THEN x END) OVER (PARTITION BY doc_id) AS sx, max(CASE WHEN k = sk THEN y END) OVER (PARTITION BY doc_id) AS sy FROM s),

@@ -1,5 +1,3 @@
-import pytest
-
 from limnos.operators import drawing, styles
 from limnos.sources import markup
 
@@ -88,20 +86,21 @@ def test_uses(spark):
     assert said(spark, loop) == {(0, "use too deep", "use")}
 
 
-@pytest.mark.parametrize(
-    ("inner", "want", "baked"),
-    [
-        ('<g transform="translate(10 10)"><rect x="0" y="0" width="10" height="10" stroke-width="1" transform="scale(2)"/></g>', {"x": "10", "y": "10", "width": "20", "height": "20", "stroke-width": "2"}, True),
-        ('<rect x="5" y="5" width="30" height="10" transform="rotate(30)"/>', {"width": "30", "x": "5"}, False),
-        ('<circle cx="1" cy="2" r="3" transform="scale(2 3)"/>', {"r": "3"}, False), ('<ellipse cx="1" cy="2" rx="3" ry="4" transform="scale(2 3)"/>', {"cx": "2", "cy": "6", "rx": "6", "ry": "12"}, True),
-        ('<line x1="1" x2="2" y2="1" transform="rotate(90)"/>', {"x1": "0", "y1": "1", "x2": "-1", "y2": "2"}, True), ('<polygon points="0,0 1,0 1,1" transform="matrix(0 1 -1 0 5 0)"/>', {"points": "5,0 5,1 4,1"}, True),
-        ('<text x="1" y="2" font-size="10" transform="translate(10-5)">t</text>', {"x": "11", "y": "-3", "font-size": "10"}, True), ('<rect x="1" width="2" height="2" transform="spin(3)"/>', {"x": "1"}, None),
-    ],
-)
-def test_transforms(spark, inner, want, baked):
-    r = drawn(spark, f"<svg>{inner}</svg>")[0, 0]
-    assert {k: r.attrs[k] for k in want} == want and r.baked is baked
-    assert (r.matrix is None) == (baked is not False)
+TRANSFORMS = [
+    ('<g transform="translate(10 10)"><rect x="0" y="0" width="10" height="10" stroke-width="1" transform="scale(2)"/></g>', {"x": "10", "y": "10", "width": "20", "height": "20", "stroke-width": "2"}, True),
+    ('<rect x="5" y="5" width="30" height="10" transform="rotate(30)"/>', {"width": "30", "x": "5"}, False),
+    ('<circle cx="1" cy="2" r="3" transform="scale(2 3)"/>', {"r": "3"}, False), ('<ellipse cx="1" cy="2" rx="3" ry="4" transform="scale(2 3)"/>', {"cx": "2", "cy": "6", "rx": "6", "ry": "12"}, True),
+    ('<line x1="1" x2="2" y2="1" transform="rotate(90)"/>', {"x1": "0", "y1": "1", "x2": "-1", "y2": "2"}, True), ('<polygon points="0,0 1,0 1,1" transform="matrix(0 1 -1 0 5 0)"/>', {"points": "5,0 5,1 4,1"}, True),
+    ('<text x="1" y="2" font-size="10" transform="translate(10-5)">t</text>', {"x": "11", "y": "-3", "font-size": "10"}, True), ('<rect x="1" width="2" height="2" transform="spin(3)"/>', {"x": "1"}, None),
+]
+
+
+def test_transforms(spark):
+    got = drawn(spark, *[f"<svg>{inner}</svg>" for inner, _, _ in TRANSFORMS])
+    for k, (_, want, baked) in enumerate(TRANSFORMS):
+        r = got[k, 0]
+        assert {n: r.attrs[n] for n in want} == want and r.baked is baked
+        assert (r.matrix is None) == (baked is not False)
 
 
 def test_defs_dielines_and_gradients(spark):

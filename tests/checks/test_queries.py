@@ -1,10 +1,10 @@
 import duckdb
 import pytest
 
-from limnos.plans import oracle_desk, oracle_palette, queries
+from limnos.plans import markup, oracle_comply, oracle_desk, oracle_palette, paths, queries, rounds
 
 SF = "/root/testdata/sf0.001"
-TABLES = "orders lineitem events part customer supplier".split()
+TABLES = "orders lineitem events part customer supplier pages embeddings".split()
 
 
 def rows(columns, data):
@@ -14,7 +14,7 @@ def rows(columns, data):
     return sorted(tuple(shown(r[c]) for c in sorted(columns)) for r in data)
 
 
-@pytest.mark.parametrize("name", ["oklab_roundtrip", "ring_area", "palette_report", "box_coverage", "palette_snap_roles", "color_parse", "grid_snap", "safe_margin", "max_colors", "layout_alignment", "layout_balance", "text_collisions", "contrast_audit", "report_score", "best_attempt", "status_violations", "grid_flow", "report_rollup_by_rule", *oracle_desk.SQL, *oracle_palette.SQL])
+@pytest.mark.parametrize("name", ["oklab_roundtrip", "ring_area", "palette_report", "box_coverage", "palette_snap_roles", "color_parse", "grid_snap", "safe_margin", "max_colors", "layout_alignment", "layout_balance", "text_collisions", "contrast_audit", "report_score", "best_attempt", "status_violations", "grid_flow", "report_rollup_by_rule", *oracle_desk.SQL, *oracle_palette.SQL, *oracle_comply.SQL, *markup.SQL, *paths.SQL, *rounds.SQL])
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:

@@ -21,7 +21,7 @@ def op1_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.findings(table(spark, sf_dir, "documents"), secrets.Forest.train(secrets.labelled_findings(spark)))
+    return secrets.findings(table(spark, sf_dir, "documents"), secrets.Forest.standard(spark))
 
 
 def op4_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the text; every document stays."""
-    return secrets.redact(docs, secrets.Forest.train(secrets.labelled_findings(spark)))
+    return secrets.redact(docs, secrets.Forest.standard(spark))
 
 
 def byte_pairs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -174,7 +174,9 @@ FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.k = a.k % a.n + 1 GROUP BY a.doc_
     "raw_retention": f"WITH {LIFECYCLE_SQL} SELECT request, count(*) AS expired FROM lifecycle WHERE ts < (SELECT max(ts) FROM lifecycle) - INTERVAL 10 DAY GROUP BY request",
     "status_violations": f"""WITH {LIFECYCLE_SQL}, s AS (SELECT *, lag(status) OVER (PARTITION BY request ORDER BY ts, event_id) AS before FROM lifecycle)
 SELECT before, status AS after, count(*) AS steps FROM s WHERE before <> status AND (before, status) NOT IN ({", ".join(str(e) for e in K.EDGES)}) GROUP BY before, status""",
-    "formats_catalog": f"WITH {FORMATS} SELECT * FROM formats",
+    "formats_catalog": f"""WITH {FORMATS}, m AS (SELECT 400e0 + o_orderkey % 1300 AS mw, 400e0 + o_custkey % 1700 AS mh FROM orders)
+SELECT f.*, count(*) FILTER (fits) AS derived, count(*) FILTER (NOT fits) AS regenerated
+FROM (SELECT name, 1e0 - (mw * least(width / mw, height / mh) * mh * least(width / mw, height / mh)) / (width * height) <= 0.35e0 AS fits FROM m CROSS JOIN formats) x JOIN formats f USING (name) GROUP BY ALL""",
     "campaign_plan": f"""WITH {FORMATS}, m AS (SELECT o_orderkey AS master, 400e0 + o_orderkey % 1300 AS mw, 400e0 + o_custkey % 1700 AS mh FROM orders),
 w AS (SELECT master, name AS format, 1e0 - (mw * least(width / mw, height / mh) * mh * least(width / mw, height / mh)) / (width * height) AS waste FROM m CROSS JOIN formats)
 SELECT master, format, floor(waste * 10000e0 + 0.5e0) / 10000e0 AS waste, CASE WHEN waste <= 0.35e0 THEN 'derive' ELSE 'regenerate' END AS action FROM w""",

@@ -47,6 +47,12 @@ def campaign_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.campaign_plan(masters, catalog.formats(spark))
 
 
+def formats_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every format with how many of the masters can be derived for it and how many must be made anew."""
+    used = campaign_plan(spark, sf_dir).groupBy(F.col("format").alias("name")).agg(F.count_if(F.col("action") == "derive").alias("derived"), F.count_if(F.col("action") == "regenerate").alias("regenerated"))
+    return catalog.formats(spark).drop("bleed").join(used, "name")
+
+
 def grid_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.grid_flow(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("unit"), F.col("p_size").cast("int").alias("n")))
 
@@ -72,7 +78,7 @@ QUERIES: dict[str, Query] = {
     **{n: _over(bridge.lifecycle, getattr(lifecycle, n)) for n in ("status_violations",)},
     "raw_retention": _over(bridge.lifecycle, lambda x: lifecycle.raw_retention(x, days=10)),
     "background_color": _over(bridge.shapes, lambda s: layout.background_color(s, canvas=1e4)),
-    "formats_catalog": lambda spark, _: catalog.formats(spark).drop("bleed"),
+    "formats_catalog": formats_catalog,
     "campaign_plan": campaign_plan,
     "grid_flow": grid_flow,
     **{n: _over(bridge.shapes, getattr(geometry, n)) for n in "transform_parse transform_measures curve_bounds ring_turns ring_hits text_fit lch_values paint_operators font_names comply_shapes".split()},

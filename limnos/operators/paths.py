@@ -28,6 +28,11 @@ CURVE, ARCS = 8, 2  # vertices of a curve; those of an arc, in curves
 KEYS = ("doc_id", "shape_index")
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _pick(name: Column, of: dict[str, Column]) -> Column:
     out = F.lit(None)
     for k, v in of.items():
@@ -48,19 +53,23 @@ def parsed(d: Column) -> Column:
         arc = F.when(blank(F.regexp_replace(rest, ARC, "")), F.flatten(F.transform(F.arrays_zip(*[g.alias(f"g{k}") for k, g in enumerate(groups)]), lambda z: F.array(*[z[f"g{k}"] for k in range(7)]))))
         return F.transform(F.when(F.upper(name) == "A", arc).otherwise(plain), lambda x: x.cast("double"))
 
-    def each(name: Column, rest: Column) -> Column:
-        n, v = count(name), values(name, rest)
+    def chunks(name: Column, n: Column, v: Column) -> Column:
         many = F.when(n == 0, F.when(F.size(v) == 0, 1)).when((F.size(v) > 0) & (F.size(v) % n == 0), F.size(v) / n)
         later = F.when(name == "M", "L").when(name == "m", "l").otherwise(name)
-        steps = F.transform(F.sequence(F.lit(0), many.cast("int") - 1), lambda i: F.struct(F.when(i == 0, name).otherwise(later).alias("name"), F.slice(v, i * n + 1, n).alias("p")))
-        return F.when(many.isNotNull(), steps)
+        steps = lambda k: F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(F.when(i == 0, name).otherwise(later).alias("name"), F.slice(v, i * n + 1, n).alias("p")))
+        return _let(many.cast("int"), lambda k: F.when(k.isNotNull(), steps(k)))
 
-    parts = F.zip_with(names, rests, each)
-    fault = (
-        F.when(F.coalesce(blank(d), F.lit(True)), "empty").when(~F.regexp_extract(d, f"^([^{LETTERS}]*)", 1).rlike(f"^{GAP}$"), "no command first")
-        .when(F.exists(parts, lambda x: x.isNull()), "values do not fit")
-    )
-    return F.struct(F.when(fault.isNull(), F.flatten(parts)).alias("commands"), fault.alias("fault"))
+    def each(name: Column, rest: Column) -> Column:
+        return _let(F.struct(count(name).alias("n"), values(name, rest).alias("v")), lambda c: chunks(name, c.n, c.v))
+
+    def told(parts: Column) -> Column:
+        fault = (
+            F.when(F.coalesce(blank(d), F.lit(True)), "empty").when(~F.regexp_extract(d, f"^([^{LETTERS}]*)", 1).rlike(f"^{GAP}$"), "no command first")
+            .when(F.exists(parts, lambda x: x.isNull()), "values do not fit")
+        )
+        return _let(fault, lambda f: F.struct(F.when(f.isNull(), F.flatten(parts)).alias("commands"), f.alias("fault")))
+
+    return _let(F.zip_with(names, rests, each), told)
 
 
 def commands(paths: DataFrame) -> DataFrame:
@@ -118,7 +127,6 @@ def segments(paths: DataFrame) -> DataFrame:
 def _arc(n: int) -> Column:
     """Vertices of an arc by centre, radii and angles; a line where a radius is 0 or it ends where it begins."""
     c, v = F.col, lambda i: F.get("p", F.lit(i))
-    let = lambda value, use: F.get(F.transform(F.array(value), use), 0)
     tilt = F.radians(v(2))
     cos, sin = F.cos(tilt), F.sin(tilt)
     hx, hy = (c("ax") - c("x")) / 2, (c("ay") - c("y")) / 2
@@ -135,7 +143,7 @@ def _arc(n: int) -> Column:
         swept = turn - begin
         swept = F.when((v(4) == 0) & (swept > 0), swept - 2 * math.pi).when((v(4) != 0) & (swept < 0), swept + 2 * math.pi).otherwise(swept)
         ox, oy = (c("ax") + c("x")) / 2, (c("ay") + c("y")) / 2
-        return let(F.struct(begin.alias("t"), swept.alias("d"), rx.alias("rx"), ry.alias("ry"), (ox + cos * mx * rx - sin * my * ry).alias("ox"), (oy + sin * mx * rx + cos * my * ry).alias("oy")), points)
+        return _let(F.struct(begin.alias("t"), swept.alias("d"), rx.alias("rx"), ry.alias("ry"), (ox + cos * mx * rx - sin * my * ry).alias("ox"), (oy + sin * mx * rx + cos * my * ry).alias("oy")), points)
 
     def points(e):
         def one(i):
@@ -148,7 +156,7 @@ def _arc(n: int) -> Column:
 
     long = F.sqrt((ux / v(0)) * (ux / v(0)) + (uy / v(1)) * (uy / v(1)))
     flat = (v(0) == 0) | (v(1) == 0) | ((c("ax") == c("x")) & (c("ay") == c("y")))
-    return F.when(flat, F.array(F.struct("x", "y"))).otherwise(let(F.greatest(F.lit(1.0), long), drawn))
+    return F.when(flat, F.array(F.struct("x", "y"))).otherwise(_let(F.greatest(F.lit(1.0), long), drawn))
 
 
 def vertices(paths: DataFrame, curve: int = CURVE) -> DataFrame:

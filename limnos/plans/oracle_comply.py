@@ -155,7 +155,12 @@ told AS (
   UNION ALL SELECT doc_id, 'info', 1, 0 FROM advice2)"""
 
 WEIGHT = "CASE severity WHEN 'error' THEN 5e0 WHEN 'warning' THEN 2e0 WHEN 'info' THEN 0.5e0 ELSE 0e0 END"
+RULES = "color.palette color.max layout.min-size stroke.width layout.grid type.font type.scale a11y.contrast layout.collision layout.alignment layout.rhythm layout.balance layout.whitespace type.hierarchy".split()
+COLORS = ", ".join("#" + "".join(f"{v:02x}" for v in t[1:4]) for t in K.TOKENS)
 SQL = {
+    "feedback_top5": f"""WITH {AUDIT}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY list_position({RULES}, rule), list_position(['error', 'warning', 'info'], severity)) AS k FROM audit),
+f AS (SELECT doc_id, sum({WEIGHT} * findings) AS lost, string_agg(rule, '; ' ORDER BY k) FILTER (k <= 5) AS told FROM k GROUP BY doc_id)
+SELECT o_orderkey AS doc_id, concat_ws('. ', 'Previous attempt scored ' || greatest(0e0, round_even(100e0 - coalesce(lost, 0e0), 1)) || '/100', told, 'Use ONLY these colors: {COLORS}') AS feedback FROM orders LEFT JOIN f ON f.doc_id = o_orderkey""",
     "audit_documents": f"WITH {AUDIT} SELECT * FROM audit",
     "text_moves": f"WITH RECURSIVE {COMPLY} SELECT doc_id, shape_index, new_y, moves, errors, warnings FROM moves",
     "complied_shapes": f"WITH RECURSIVE {COMPLY} SELECT doc_id, shape_index, tag, x, y, name AS fill, font_family, font_size, stroke_width FROM done JOIN tokens ON i = f2",

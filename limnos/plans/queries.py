@@ -32,6 +32,10 @@ def comply_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comply.comply(_orders(spark, sf_dir).select(F.col("o_orderkey").alias("doc_id")), bridge.shapes(spark, sf_dir))
 
 
+def feedback_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.feedback(_orders(spark, sf_dir).select(F.col("o_orderkey").alias("doc_id")), comply.audit(bridge.shapes(spark, sf_dir)))
+
+
 def text_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comply.text_moves(kept(comply.repaired(bridge.shapes(spark, sf_dir)), "repaired").filter("NOT removed"))
 
@@ -93,7 +97,7 @@ QUERIES: dict[str, Query] = {
     **{n: _over(table_of("seeds"), getattr(palette, n)) for n in ("palette_tokens", "palette_contrasts")},
     "profile_slots": _over(table_of("profiles"), desk.profile_slots),
     "audit_documents": _over(bridge.shapes, comply.audit),
-    **{f.__name__: f for f in (comply_documents, text_moves, complied_shapes)},
+    **{f.__name__: f for f in (comply_documents, feedback_top5, text_moves, complied_shapes)},
     **markup.QUERIES, **paths.QUERIES, **rounds.QUERIES,
 }
 SQL: dict[str, str] = {**oracle.SQL, **oracle_desk.SQL, **oracle_palette.SQL, **oracle_comply.SQL, **markup.SQL, **paths.SQL, **rounds.SQL}

@@ -38,5 +38,17 @@ def clean_name(value: Column) -> Column:
     return F.regexp_replace(F.lower(value), "[^a-z0-9]", "")
 
 
+# Families that any face may stand for.
+GENERIC = ("sansserif", "serif", "monospace", "cursive", "fantasy")
+
+
+def families_match(requested: Column, matched: Column) -> Column:
+    """Whether one of the families in a list is the one asked for: equal without marks, or one name within the other; generic ones always are."""
+    asked = clean_name(F.coalesce(requested, F.lit("")))
+    one = lambda name: (name != "") & (F.contains(name, asked) | F.contains(asked, name))
+    listed = F.exists(F.split(F.coalesce(matched, F.lit("")), ","), lambda x: one(clean_name(x)))
+    return (asked != "") & (listed | asked.isin(*GENERIC))
+
+
 def format_mm(value: Column, dpi: Column) -> Column:
     return F.bround(value * dpi / F.lit(25.4), 1)

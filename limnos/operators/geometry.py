@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color as C
 from ..functions import matrix as M
-from ..functions.scalars import family, format_mm, nearest, snap
+from ..functions.scalars import families_match, family, format_mm, nearest, snap
 from ..plans import catalog as K
 from ..sources.bridge import ADVANCE, ASCENT, CANVAS, DESCENT
 from . import rules
@@ -125,6 +125,16 @@ def font_names(shapes: DataFrame) -> DataFrame:
     return rows.select(*KEYS, "family", F.regexp_replace(F.lower("family"), "[^a-z0-9]", "").alias("plain"), F.col("family").isin(*K.FONTS).alias("known"))
 
 
+def font_matches(shapes: DataFrame) -> DataFrame:
+    """Families asked for in five ways, the faces found for them, and whether these are the same."""
+    c = F.col
+    way = (c("doc_id") + c("shape_index")) % 5
+    asked = F.when(way == 0, c("font_family")).when(way == 1, F.concat(F.upper("font_family"), F.lit("!"))).when(way == 2, "Sans-Serif").when(way == 3, "--").otherwise("Inter Tight")
+    found = F.when(c("shape_index") % 2 == 0, "DejaVu Sans, Comic Sans MS Bold").otherwise(" Inter ,,Arial")
+    rows = shapes.filter("tag = 'text'").select(*KEYS, asked.alias("asked"), found.alias("found"))
+    return rows.withColumn("same", families_match(c("asked"), c("found")))
+
+
 def comply_shapes(shapes: DataFrame, grid: float = K.GRID) -> DataFrame:
     """Every shape after the repairs that need no other shape: token, stroke, grid, family and type scale, and how many changed it."""
     c = F.col

@@ -115,6 +115,9 @@ SELECT doc_id, shape_index, coalesce(best, 12e0) AS fitted, best IS NULL AS over
 SELECT fill_r, fill_g, fill_b, round(ll, 5) AS lightness, round(sqrt(la * la + lb * lb), 5) AS chroma, format('#{{:02x}}{{:02x}}{{:02x}}', fill_r, fill_g, fill_b) AS hex FROM l""",
     "paint_operators": PAGE + """, u AS (SELECT DISTINCT fill_r, fill_g, fill_b FROM shapes), p AS (SELECT *, printf('%.4f %.4f %.4f', fill_r / 255e0, fill_g / 255e0, fill_b / 255e0) AS rgb FROM u)
 SELECT fill_r, fill_g, fill_b, rgb || ' rg' AS fill, rgb || ' RG' AS stroke, 37.8e0 AS slug FROM p""",
+    "font_matches": PAGE + """, a AS (SELECT doc_id, shape_index, CASE (doc_id + shape_index) % 5 WHEN 0 THEN font_family WHEN 1 THEN upper(font_family) || '!' WHEN 2 THEN 'Sans-Serif' WHEN 3 THEN '--' ELSE 'Inter Tight' END AS asked,
+  CASE WHEN shape_index % 2 = 0 THEN 'DejaVu Sans, Comic Sans MS Bold' ELSE ' Inter ,,Arial' END AS found FROM shapes WHERE tag = 'text')
+SELECT *, CASE asked WHEN '--' THEN false WHEN 'Sans-Serif' THEN true WHEN 'Inter Tight' THEN found LIKE '%Inter%' ELSE found LIKE '%' || CASE WHEN lower(asked) LIKE 'inter%' THEN 'Inter' ELSE 'Comic Sans MS' END || '%' END AS same FROM a""",
     "font_names": PAGE + f"SELECT doc_id, shape_index, font_family AS family, replace(lower(font_family), ' ', '') AS plain, font_family IN ({FONTS}) AS known FROM shapes WHERE tag = 'text'",
     "comply_shapes": f"""WITH {LABS}, own AS (SELECT doc_id, shape_index, arg_min(name, (d, i)) AS token FROM near GROUP BY ALL),
 r AS (SELECT *, {nearest("stroke_width", K.STROKES)} AS new_stroke, round_even(x / 8e0, 0) * 8e0 AS new_x, round_even(y / 8e0, 0) * 8e0 AS new_y,

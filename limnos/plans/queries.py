@@ -85,7 +85,7 @@ QUERIES: dict[str, Query] = {
     "formats_catalog": formats_catalog,
     "campaign_plan": campaign_plan,
     "grid_flow": grid_flow,
-    **{n: _over(bridge.shapes, getattr(geometry, n)) for n in "transform_parse transform_measures curve_bounds ring_turns ring_hits text_fit lch_values paint_operators font_names comply_shapes".split()},
+    **{n: _over(bridge.shapes, getattr(geometry, n)) for n in "transform_parse transform_measures curve_bounds ring_turns ring_hits text_fit lch_values paint_operators font_names font_matches comply_shapes".split()},
     **{n: _over(table_of("requests"), getattr(desk, n)) for n in "request_validation latest_requests".split()},
     **{n: _over(table_of("documents"), getattr(desk, n)) for n in "document_validation document_outputs".split()},
     **{n: _over(table_of("briefs"), getattr(desk, n)) for n in "brief_plan brief_skips".split()},

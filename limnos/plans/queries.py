@@ -11,7 +11,7 @@ from ..operators import comply, desk, geometry, layout, lifecycle, measures, pal
 from ..sources import bridge
 from ..sources.desk import desk as table_of
 from ..sources.storage import kept
-from . import catalog, markup, oracle, oracle_comply, oracle_desk, oracle_palette, paths, rounds, settings
+from . import catalog, gradients, markup, oracle, oracle_comply, oracle_desk, oracle_palette, paths, rounds, settings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -98,8 +98,8 @@ QUERIES: dict[str, Query] = {
     "profile_slots": _over(table_of("profiles"), desk.profile_slots),
     "audit_documents": _over(bridge.shapes, comply.audit),
     **{f.__name__: f for f in (comply_documents, feedback_top5, text_moves, complied_shapes)},
-    **markup.QUERIES, **paths.QUERIES, **rounds.QUERIES, **settings.QUERIES,
+    **markup.QUERIES, **paths.QUERIES, **rounds.QUERIES, **settings.QUERIES, **gradients.QUERIES,
 }
-SQL: dict[str, str] = {**oracle.SQL, **oracle_desk.SQL, **oracle_palette.SQL, **oracle_comply.SQL, **markup.SQL, **paths.SQL, **rounds.SQL, **settings.SQL}
+SQL: dict[str, str] = {**oracle.SQL, **oracle_desk.SQL, **oracle_palette.SQL, **oracle_comply.SQL, **markup.SQL, **paths.SQL, **rounds.SQL, **settings.SQL, **gradients.SQL}
 
 __all__ = ["QUERIES", "SQL"]

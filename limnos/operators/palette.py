@@ -1,4 +1,6 @@
-"""Brand palettes derived from seed colours, one row for a pair of seeds. Everything is row-local: no exchange, no Python.
+"""Brand palettes derived from seed colours, one row for a pair of seeds. Every seed is for itself: rows are dealt out once, then all is row-local.
+
+The search for a lightness goes through its steps in numpy, over all rows of an Arrow batch that still search, and ends with the last of them.
 
 Tones keep the hue of the first seed at fixed lightness; those that carry text are moved in lightness until they reach the contrast asked.
 A null seed channel gives null colours; repeated rows are derived one by one; other columns are not read.
@@ -6,6 +8,8 @@ A null seed channel gives null colours; repeated rows are derived one by one; ot
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,25 +56,71 @@ def _tones(at: Column) -> Column:
     return F.transform(light, lambda x: _packed(C.encoded(v) for v in read(x)))
 
 
+def _dots(matrix, values) -> list[np.ndarray]:
+    return [sum((v * k for k, v in zip(row[1:], values[1:], strict=True)), values[0] * row[0]) for row in matrix]
+
+
+_BYTE = np.arange(256) / 255.0
+_LINEAR = np.where(_BYTE <= 0.04045, _BYTE / 12.92, ((_BYTE + 0.055) / 1.055) ** 2.4)
+
+
+def _light(rgb: list[np.ndarray]) -> np.ndarray:
+    return _dots([C.LUMA], [_LINEAR[v] for v in rgb])[0]
+
+
+def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (np.maximum(a, b) + 0.05) / (np.minimum(a, b) + 0.05)
+
+
+def _bytes(light: np.ndarray) -> np.ndarray:
+    u = np.clip(light, 0.0, 1.0)
+    return np.rint(np.where(u <= 0.0031308, u * 12.92, 1.055 * u ** (1 / 2.4) - 0.055) * 255).astype(np.int64)
+
+
+def contrasting(front: np.ndarray, back: np.ndarray, minimum: float) -> np.ndarray:
+    """The colours ``front``, those without ``minimum`` of contrast to ``back`` moved in lightness by whole steps until they have it; rows that have are left out of the later steps."""
+    split = lambda v: [v >> k & 255 for k in (16, 8, 0)]
+    rgb, behind = split(front), _light(split(back))
+    out = front.copy()
+    at = np.flatnonzero(_ratio(_light(rgb), behind) < minimum)
+    lab = _dots(C.TO_LAB, [np.where(v > 0, np.abs(v) ** (1 / 3), 0.0) for v in _dots(C.TO_LMS, [_LINEAR[v[at]] for v in rgb])])
+    light, chroma, hue, behind = lab[0], np.hypot(lab[1], lab[2]), np.arctan2(lab[2], lab[1]), behind[at]
+    darken = _ratio(np.zeros(len(at)), behind) >= _ratio(np.ones(len(at)), behind)
+    out[at] = np.where(darken, 0, 0xFFFFFF)
+    todo = np.arange(len(at))
+    for part in (1.0, 0.5, 0.0):
+        here = todo
+        for k in range(STEPS):
+            if not len(here):
+                break
+            level, c = light[here] + np.where(darken[here], -0.01, 0.01) * k, chroma[here] * part
+            cubes = [v * v * v for v in _dots(C.FROM_LAB, (level, c * np.cos(hue[here]), c * np.sin(hue[here])))]
+            new = [_bytes(v) for v in _dots(C.FROM_LMS, cubes)]
+            inside = (level >= 0.0) & (level <= 1.0)
+            found = inside & (_ratio(_light(new), behind[here]) >= minimum)
+            out[at[here[found]]] = (new[0] * 65_536 + new[1] * 256 + new[2])[found]
+            here = here[~found]
+        todo = here
+    return out
+
+
 def ensure_contrast(rows: DataFrame, front: str, back: str, out: str, minimum: float = K.CONTRAST_TEXT) -> DataFrame:
-    """``out``: the colour ``front``, moved in lightness (at its chroma, half of it, then none) until it has ``minimum`` of contrast to ``back``."""
-    c = F.col
-    rows = _with_lch(rows, _rgb(c(f"`{front}`"))).withColumns({"_front": C.luminance(_rgb(c(f"`{front}`"))), "_back": C.luminance(_rgb(c(f"`{back}`")))})
-    darken = C.contrast(F.lit(0.0), c("_back")) >= C.contrast(F.lit(1.0), c("_back"))
-    step = F.when(darken, -0.01).otherwise(0.01)
-    part = lambda k: F.when(k < STEPS, 1.0).when(k < 2 * STEPS, 0.5).otherwise(0.0)
-    tried = F.transform(F.sequence(F.lit(0), F.lit(3 * STEPS - 1)), lambda k: F.struct((c("_l") + step * (k % STEPS)).alias("l"), (c("_c") * part(k)).alias("c")))
-    tried = _tones(F.filter(tried, lambda x: x["l"].between(0.0, 1.0)))
-    found = F.get(F.filter(tried, lambda x: C.contrast(C.luminance(_rgb(x)), c("_back")) >= minimum), F.lit(0))
-    last = F.when(darken, _packed(C.RGB.lit((0, 0, 0)))).otherwise(_packed(C.RGB.lit((255, 255, 255))))
-    kept = F.when(C.contrast(c("_front"), c("_back")) >= minimum, c(f"`{front}`")).otherwise(F.coalesce(found, last))
-    return rows.withColumn(out, kept).drop("_l", "_a", "_b", "_c", "_h", "_front", "_back")
+    """``out``: the colour ``front``, moved in lightness (at its chroma, half of it, then none) until it has ``minimum`` of contrast to ``back``; null where either is."""
+
+    @F.arrow_udf("int")
+    def moved(a: pa.Array, b: pa.Array) -> pa.Array:
+        none = np.asarray(a.is_null()) | np.asarray(b.is_null())
+        values = [np.asarray(x.fill_null(0)).astype(np.int64) for x in (a, b)]
+        return pa.array(contrasting(*values, minimum), pa.int32(), mask=none)
+
+    return rows.withColumn(out, moved(F.col(f"`{front}`"), F.col(f"`{back}`")))
 
 
 def derived(seeds: DataFrame) -> DataFrame:
     """seed and a colour for each token, red in its high byte, of rows with seed, primary_r/g/b and accent_r/g/b."""
     given = seeds.dropna(subset=[f"{s}_{k}" for s in ("primary", "accent") for k in "rgb"])
-    given = given.select("seed", _packed(C.RGB.of("primary_")).alias("primary"), _packed(C.RGB.of("accent_")).alias("accent"))
+    # A file of few row groups is dealt out anew, for the search costs more than reading.
+    given = given.select("seed", _packed(C.RGB.of("primary_")).alias("primary"), _packed(C.RGB.of("accent_")).alias("accent")).repartition("seed")
     rows = _with_lch(given, _rgb(F.col("primary")))
     chroma = lambda most, part: F.lit(most) if part is None else F.least(F.col("_c") * part, F.lit(most))
     at = F.array(*[F.struct(F.lit(light).alias("l"), chroma(most, part).alias("c")) for light, most, part in TONES.values()])

@@ -63,12 +63,18 @@ def campaign_plan(masters: DataFrame, formats: DataFrame, threshold: float = 0.3
 
 
 def grid_flow(units: DataFrame, width: float = 1000.0, height: float = 700.0, least: float = 60.0, gutter: float = 12.0) -> DataFrame:
-    """Columns and rows for n square cells: the largest cells, then those that fill their slots best, then the fewest columns."""
+    """Columns and rows for n square cells: the largest cells, then those that fill their slots best, then the fewest columns; none for less than one cell."""
     c = F.col
-    tried = units.select("unit", "n", F.explode(F.sequence(F.lit(1), F.least(c("n"), F.lit(int((width + gutter) // (least + gutter))))).cast("array<int>")).alias("cols"))
-    tried = tried.withColumn("rows", F.ceil(c("n") / c("cols")).cast("int"))
-    cell_w, cell_h = (F.lit(width + gutter) / c("cols")) - gutter, (F.lit(height + gutter) / c("rows")) - gutter
-    side = F.least(cell_w, cell_h)
-    scored = tried.select("unit", "n", F.struct(F.bround(side, 1).alias("side"), F.bround(side * side / F.greatest(F.lit(1e-6), cell_w * cell_h), 3).alias("fill"), (-c("cols")).alias("k"), c("rows").alias("rows")).alias("s"))
-    best = scored.groupBy("unit", "n").agg(F.max("s").alias("s"))
-    return best.select("unit", "n", (-c("s.k")).alias("cols"), "s.rows", F.col("s.side").alias("cell"), (c("s.side") >= least).alias("fits"))
+
+    def tried(cols: int):
+        rows = F.ceil(c("n") / cols).cast("int")
+        cell_w, cell_h = F.lit((width + gutter) / cols - gutter), (F.lit(height + gutter) / rows) - gutter
+        side = F.least(cell_w, cell_h)
+        fill = F.bround(side * side / F.greatest(F.lit(1e-6), cell_w * cell_h), 3)
+        return F.when(c("n") >= cols, F.struct(F.bround(side, 1).alias("side"), fill.alias("fill"), F.lit(-cols).alias("k"), rows.alias("rows")))
+
+    # The columns that fit are few and fixed: the best is taken within the row, not by an aggregate over a row for each. Rows are dealt out first, so that
+    # equal ones meet in small tasks however few row groups the file has.
+    most = int((width + gutter) // (least + gutter))
+    best = units.select("unit", "n").repartition("unit").select("unit", "n", F.inline(F.array_compact(F.array(F.greatest(*map(tried, range(1, most + 1)))))))
+    return best.select("unit", "n", (-c("k")).alias("cols"), "rows", c("side").alias("cell"), (c("side") >= least).alias("fits")).distinct()

@@ -70,7 +70,9 @@ def own_styles(nodes: DataFrame) -> DataFrame:
     inline = elements.filter(F.coalesce(attr("style"), F.lit("")) != "").select(*KEYS, F.posexplode(declarations(attr("style"), False)).alias("at", "d"))
     inline = inline.select(*KEYS, "d.name", "d.value", F.lit(STYLE).alias("level"), F.struct(zero.alias("specificity"), zero.alias("node"), zero.alias("rule"), zero.alias("part"), "at").alias("rank"))
     best = F.max_by(F.struct("value", "level"), F.struct("level", "rank")).alias("b")
-    return sheet.unionByName(plain).unionByName(inline).groupBy(*KEYS, "name").agg(best).select(*KEYS, "name", "b.value", "b.level")
+    # Dealt by element alone, so that those who join by element need no exchange of their own.
+    every = sheet.unionByName(plain).unionByName(inline).repartition(*KEYS)
+    return every.groupBy(*KEYS, "name").agg(best).select(*KEYS, "name", "b.value", "b.level")
 
 
 def resolved(instances: DataFrame, own: DataFrame, by: tuple[str, ...] = KEYS, chain: str = "chain") -> DataFrame:
@@ -78,7 +80,7 @@ def resolved(instances: DataFrame, own: DataFrame, by: tuple[str, ...] = KEYS, c
     links = instances.select("doc_id", *[c for c in by if c != "doc_id"], F.size(chain).alias("_size"), F.posexplode(chain).alias("_at", "_link"))
     met = links.join(own.select("doc_id", F.col("node").alias("_link"), "name", "value", "level"), ["doc_id", "_link"])
     level = F.when(F.col("_at") + 1 == F.col("_size"), F.col("level")).otherwise(INHERITED)
-    return met.groupBy(*by, "name").agg(F.max_by(F.struct("value", level.alias("level")), "_at").alias("b")).select(*by, "name", "b.value", "b.level")
+    return met.repartition(*by).groupBy(*by, "name").agg(F.max_by(F.struct("value", level.alias("level")), "_at").alias("b")).select(*by, "name", "b.value", "b.level")
 
 
 def safe(name: Column, value: Column) -> Column:

@@ -96,15 +96,15 @@ def shapes(nodes: DataFrame) -> DataFrame:
     runs = nodes.filter("tag = '#text'").select("doc_id", "text", "node", F.explode("chain").alias("top")).filter("top <> node")
     inner = nodes.filter("tag = 'text'").select("doc_id", F.col("node").alias("top")).join(runs, ["doc_id", "top"])
     said = inner.groupBy("doc_id", F.col("top").alias("node")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "text"))), lambda r: r.text), "").alias("said"))
-    # What is found apart is brought to the instances over narrow rows: those with attributes are exchanged once.
+    # The text is brought to the instances over narrow rows, so that those with attributes are not exchanged by node too.
     said = drawn.filter("tag = 'text'").select(*KEYS, "inst").join(said, list(KEYS)).select(*by, "said")
-    place = drawn.select(*by).select(*by, (F.row_number().over(Window.partitionBy("doc_id").orderBy("inst")) - 1).cast("long").alias("shape_index"))
-    out = drawn.join(place, by).join(styles, by, "left").join(steps, by, "left").join(marked, by, "left").join(said, by, "left")
+    out = drawn.join(styles, by, "left").join(steps, by, "left").join(marked, by, "left").join(said, by, "left")
     own = F.map_filter("attrs", lambda k, v: ~k.isin("style", "transform", "class") & safe(k, v))
     style = F.map_filter(F.coalesce("style", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda k, v: ~F.map_contains_key(own, k))
+    index = (F.row_number().over(Window.partitionBy("doc_id").orderBy("inst")) - 1).cast("long")
     matrix = F.when(~M.Matrix.read(F.col("m")).is_identity(), F.col("m"))
     text = F.trim(F.regexp_replace(F.coalesce("said", F.lit("")), r"\s+", " "))
-    return out.select("doc_id", "shape_index", "inst", "node", "tag", F.map_concat(own, style).alias("attrs"), text.alias("text"), matrix.alias("matrix"), F.coalesce("dieline", F.lit(False)).alias("dieline"))
+    return out.select("doc_id", index.alias("shape_index"), "inst", "node", "tag", F.map_concat(own, style).alias("attrs"), text.alias("text"), matrix.alias("matrix"), F.coalesce("dieline", F.lit(False)).alias("dieline"))
 
 
 def gradients(nodes: DataFrame) -> DataFrame:

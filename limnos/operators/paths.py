@@ -1,9 +1,10 @@
-"""The path language of drawings: commands, current points, vertices, areas, bounds, maps. Built-in functions only.
+"""The path language of drawings: commands, current points, vertices, areas, bounds, maps.
 
-A path is read into commands by patterns, then exploded into one row for each. What a drawing program keeps in variables while it goes through them
-is a running sum here: an absolute coordinate starts the sum anew, a relative one adds to it, a move or close goes back to the subpath's start,
-which is such a sum itself over the moves. Reflected control points are lags, in chains of ``T`` alternating sums. So a path costs one
-exchange by its key and some sorts, whatever its length.
+A path is read into commands by patterns of built-in functions. Its vertices, area and bounds are one numpy pass over the commands of an Arrow batch of paths:
+no exchange, no sort, no join, so that the time grows with the paths. ``segments`` has the commands in rows with their points instead, built-in functions only: what a
+drawing program keeps in variables is a running sum there: an absolute coordinate starts the sum anew, a relative one adds to it, a move or close goes back
+to the subpath's start, which is such a sum itself over the moves. Reflected control points are lags, in chains of ``T`` alternating sums. That costs one
+exchange by key and some sorts.
 
 Defined cases: a null, empty or malformed path has a fault and no commands, vertices or area; values after a move are lines; flags of arcs are single
 characters, also run together; a path that does not begin with a move starts at 0 0; subpaths of fewer than two vertices are left out.
@@ -12,7 +13,11 @@ characters, also run together; a path that does not begin with a move starts at
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +30,7 @@ GAP = r"[ \t\n\r,]*"
 LETTERS = "MmLlHhVvCcSsQqTtAaZz"
 ARC = GAP + GAP.join(f"({p})" for p in (NUMBER, NUMBER, NUMBER, "[01]", "[01]", NUMBER, NUMBER))
 CURVE, ARCS = 8, 2  # vertices of a curve; those of an arc, in curves
+COUNTED, COUNTS = "".join(VALUES).lower(), [len(v) for v in VALUES.values()]
 KEYS = ("doc_id", "shape_index")
 
 
@@ -42,39 +48,45 @@ def _pick(name: Column, of: dict[str, Column]) -> Column:
 
 def parsed(d: Column) -> Column:
     """Struct of commands (array of name, p) and fault (null if all was read)."""
-    names, rests = (F.regexp_extract_all(d, F.lit(f"([{LETTERS}])([^{LETTERS}]*)"), F.lit(k)) for k in (1, 2))
-    blank = lambda text: text.rlike(f"^{GAP}$")
-    count = lambda name: _pick(F.upper(name), {k: F.lit(len(v)) for k, v in VALUES.items()})
-
-    def values(name: Column, rest: Column) -> Column:
-        """The numbers of a command, or null where something else is among them."""
-        plain = F.when(blank(F.regexp_replace(rest, NUMBER, "")), F.regexp_extract_all(rest, F.lit(f"({NUMBER})"), F.lit(1)))
-        groups = [F.regexp_extract_all(rest, F.lit(ARC), F.lit(k)) for k in range(1, 8)]
-        arc = F.when(blank(F.regexp_replace(rest, ARC, "")), F.flatten(F.transform(F.arrays_zip(*[g.alias(f"g{k}") for k, g in enumerate(groups)]), lambda z: F.array(*[z[f"g{k}"] for k in range(7)]))))
-        return F.transform(F.when(F.upper(name) == "A", arc).otherwise(plain), lambda x: x.cast("double"))
-
-    def chunks(name: Column, n: Column, v: Column) -> Column:
-        many = F.when(n == 0, F.when(F.size(v) == 0, 1)).when((F.size(v) > 0) & (F.size(v) % n == 0), F.size(v) / n)
+    # Read bottom up, everything once: these expressions run interpreted, for every command of every path.
+    parts = F.regexp_extract_all(d, F.lit(f"[{LETTERS}][^{LETTERS}]*"), F.lit(0))
+    blank = lambda text: F.btrim(text, F.lit(" \t\n\r,")) == ""
+    numbers = lambda v: F.transform(v, lambda x: x.cast("double"))
+
+    def plain(rest: Column) -> Column:
+        return F.when(blank(F.regexp_replace(rest, NUMBER, "")), numbers(F.regexp_extract_all(rest, F.lit(NUMBER), F.lit(0))))
+
+    def arc(rest: Column) -> Column:
+        """Arcs one by one, then the values of each: flags may run together."""
+        one = lambda text: numbers(F.array(*[F.regexp_extract(text, ARC, k) for k in range(1, 8)]))
+        return F.when(blank(F.regexp_replace(rest, ARC, "")), F.flatten(F.transform(F.regexp_extract_all(rest, F.lit(ARC), F.lit(0)), one)))
+
+    def steps(name: Column, n: Column, v: Column) -> Column:
+        """A command for each n values; after a move the others are lines. Null where the values don't fit."""
+        one = lambda name, p: F.struct(name.alias("name"), p.alias("p"))
         later = F.when(name == "M", "L").when(name == "m", "l").otherwise(name)
-        steps = lambda k: F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(F.when(i == 0, name).otherwise(later).alias("name"), F.slice(v, i * n + 1, n).alias("p")))
-        return _let(many.cast("int"), lambda k: F.when(k.isNotNull(), steps(k)))
+        many = F.transform(F.sequence(F.lit(0), (F.size(v) / n).cast("int") - 1), lambda i: one(F.when(i == 0, name).otherwise(later), F.slice(v, i * n + 1, n)))
+        return F.when(F.size(v) == n, F.array(one(name, v))).when((n > 0) & (F.size(v) > 0) & (F.size(v) % n == 0), many)
 
-    def each(name: Column, rest: Column) -> Column:
-        return _let(F.struct(count(name).alias("n"), values(name, rest).alias("v")), lambda c: chunks(name, c.n, c.v))
+    def each(part: Column) -> Column:
+        kind = F.lower(F.substring(part, 1, 1))
+        cut = F.struct(F.substring(part, 1, 1).alias("name"), F.instr(F.lit(COUNTED), kind).alias("at"), F.substring(part, F.lit(2), F.length(part)).alias("rest"))
+        read = lambda c: F.struct(c["name"].alias("name"), F.element_at(F.lit(COUNTS), c["at"]).alias("n"), F.when(kind == "a", arc(c.rest)).otherwise(plain(c.rest)).alias("v"))
+        return _let(_let(cut, read), lambda c: steps(c["name"], c.n, c.v))
 
-    def told(parts: Column) -> Column:
+    def told(found: Column) -> Column:
         fault = (
-            F.when(F.coalesce(blank(d), F.lit(True)), "empty").when(~F.regexp_extract(d, f"^([^{LETTERS}]*)", 1).rlike(f"^{GAP}$"), "no command first")
-            .when(F.exists(parts, lambda x: x.isNull()), "values do not fit")
+            F.when(F.coalesce(blank(d), F.lit(True)), "empty").when(~blank(F.regexp_extract(d, f"^([^{LETTERS}]*)", 1)), "no command first")
+            .when(F.exists(found, lambda x: x.isNull()), "values do not fit")
         )
-        return _let(fault, lambda f: F.struct(F.when(f.isNull(), F.flatten(parts)).alias("commands"), f.alias("fault")))
+        return _let(fault, lambda f: F.struct(F.when(f.isNull(), F.flatten(found)).alias("commands"), f.alias("fault")))
 
-    return _let(F.zip_with(names, rests, each), told)
+    return _let(F.transform(parts, each), told)
 
 
-def commands(paths: DataFrame) -> DataFrame:
-    """doc_id, shape_index, fault and commands of paths (doc_id, shape_index, d)."""
-    return paths.select(*KEYS, parsed(F.col("d")).alias("r")).select(*KEYS, "r.commands", "r.fault")
+def commands(paths: DataFrame, *more: str) -> DataFrame:
+    """doc_id, shape_index, fault and commands of paths (doc_id, shape_index, d), and more of their columns."""
+    return paths.select(*KEYS, *more, parsed(F.col("d")).alias("r")).select(*KEYS, *more, "r.commands", "r.fault")
 
 
 def segments(paths: DataFrame) -> DataFrame:
@@ -124,108 +136,205 @@ def segments(paths: DataFrame) -> DataFrame:
     return one.select(*KEYS, "k", "sub", c("u").alias("name"), "sx", "sy", "ax", "ay", "bx", "by", "cx", "cy", "x", "y", "p")
 
 
-def _arc(n: int) -> Column:
-    """Vertices of an arc by centre, radii and angles; a line where a radius is 0 or it ends where it begins."""
-    c, v = F.col, lambda i: F.get("p", F.lit(i))
-    tilt = F.radians(v(2))
-    cos, sin = F.cos(tilt), F.sin(tilt)
-    hx, hy = (c("ax") - c("x")) / 2, (c("ay") - c("y")) / 2
-    ux, uy = cos * hx + sin * hy, cos * hy - sin * hx
-
-    def drawn(g):
-        # Radii too small to reach are grown.
-        rx, ry = F.abs(v(0)) * g, F.abs(v(1)) * g
-        sx, sy = ux / rx, uy / ry  # the half chord where the ellipse is a circle of radius 1
-        q = sx * sx + sy * sy
-        aside = F.sqrt(F.greatest(F.lit(0.0), (1 - q) / q)) * F.when(v(3) == v(4), -1.0).otherwise(1.0)
-        mx, my = aside * sy, -aside * sx
-        begin, turn = F.atan2(sy - my, sx - mx), F.atan2(-sy - my, -sx - mx)
-        swept = turn - begin
-        swept = F.when((v(4) == 0) & (swept > 0), swept - 2 * math.pi).when((v(4) != 0) & (swept < 0), swept + 2 * math.pi).otherwise(swept)
-        ox, oy = (c("ax") + c("x")) / 2, (c("ay") + c("y")) / 2
-        return _let(F.struct(begin.alias("t"), swept.alias("d"), rx.alias("rx"), ry.alias("ry"), (ox + cos * mx * rx - sin * my * ry).alias("ox"), (oy + sin * mx * rx + cos * my * ry).alias("oy")), points)
-
-    def points(e):
-        def one(i):
-            t = e.t + e.d * i / n
-            px, py = e.rx * F.cos(t), e.ry * F.sin(t)
-            there = i == n
-            return F.struct(F.when(there, c("x")).otherwise(e.ox + cos * px - sin * py).alias("x"), F.when(there, c("y")).otherwise(e.oy + sin * px + cos * py).alias("y"))
-
-        return F.transform(F.sequence(F.lit(1), F.lit(n)), one)
-
-    long = F.sqrt((ux / v(0)) * (ux / v(0)) + (uy / v(1)) * (uy / v(1)))
-    flat = (v(0) == 0) | (v(1) == 0) | ((c("ax") == c("x")) & (c("ay") == c("y")))
-    return F.when(flat, F.array(F.struct("x", "y"))).otherwise(_let(F.greatest(F.lit(1.0), long), drawn))
+class _Flat:
+    """The commands of a batch of paths, one after the other: path, k, name (a capital's code), sub, ring (number of the subpath in the batch), points as in ``segments``."""
+
+    def __init__(self, batch: pa.Array):
+        size = pc.fill_null(pc.list_value_length(batch), 0).to_numpy()
+        flat = batch.flatten()
+        code, given = pc.struct_field(flat, "name").to_numpy(zero_copy_only=False).astype("S1").view(np.uint8), pc.struct_field(flat, "p")
+        self.paths, n = len(batch), len(code)
+        self.path, first = np.repeat(np.arange(self.paths), size), np.cumsum(size) - size
+        self.k = np.arange(n) - first[self.path]
+        self.rel, self.name = code >= ord("a"), code & 0xDF
+        move = self.is_("M")
+        self.ring = np.cumsum(move | (self.k == 0)) - 1
+        moves = np.cumsum(move)
+        self.sub = moves - (moves - move)[first[self.path]] if n else moves
+        held = given.value_lengths().to_numpy()
+        self.p = np.full((n, 7), np.nan)
+        self.p[np.repeat(np.arange(n), held), np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)] = given.flatten().to_numpy()
+        self._walk(size, first)
+
+    def is_(self, names: str) -> np.ndarray:
+        return np.isin(self.name, np.frombuffer(names.encode(), np.uint8))
+
+    def _given(self, axis: str) -> np.ndarray:
+        """The coordinate that a command ends at, as written; NaN where it has none."""
+        out = np.full(len(self.path), np.nan)
+        for name, kinds in VALUES.items():
+            if axis in kinds:
+                at = self.name == ord(name)
+                out[at] = self.p[at, len(kinds) - 1 - kinds[::-1].index(axis)]
+        return out
+
+    def _walk(self, size: np.ndarray, first: np.ndarray) -> None:
+        """Current points, k by k over all paths that are so long."""
+        n, (move, close) = len(self.path), (self.is_("M"), self.is_("Z"))
+        longest = np.argsort(-size, kind="stable")
+        first, size = first[longest], size[longest]
+        for axis in "xy":
+            given = self._given(axis)
+            some, step = ~np.isnan(given), np.nan_to_num(given)
+            # Where the point was set anew (at the subpath's start, if home), and what was added since.
+            home, base, off, start = np.ones(self.paths, bool), np.zeros(self.paths), np.zeros(self.paths), np.zeros(self.paths)
+            came, ends, starts = np.zeros(n), np.zeros(n), np.zeros(n)
+            for k in range(size[0] if self.paths else 0):
+                m = np.searchsorted(-size, -k)  # paths with more than k commands
+                i = first[:m] + k
+                h, b, o, s = home[:m], base[:m], off[:m], start[:m]
+                came[i] = np.where(h, s, b) + o
+                r, g, mv, anew = self.rel[i], step[i], move[i], some[i] & ~self.rel[i]
+                s = np.where(mv, np.where(r, np.where(h, s, b) + o, 0.0) + g, s)
+                h = mv | close[i] | (h & ~anew)
+                b, o = np.where(anew, g, b), np.where(mv | close[i] | anew, 0.0, np.where(r, o + g, o))
+                home[:m], base[:m], off[:m], start[:m] = h, b, o, s
+                ends[i], starts[i] = np.where(h, s, b) + o, s
+            setattr(self, f"a{axis}", came), setattr(self, axis, ends), setattr(self, f"s{axis}", starts)
+            self._controls(axis, first, size)
+
+    def _controls(self, axis: str, first: np.ndarray, size: np.ndarray) -> None:
+        here, second = getattr(self, f"a{axis}"), int(axis == "y")
+        origin = np.where(self.rel, here, 0.0)
+        cubic, smooth, quad = self.is_("C"), self.is_("S"), self.is_("QT")
+        c = origin + np.where(cubic, self.p[:, 2 + second], self.p[:, second])
+        b, before = origin + self.p[:, second], np.arange(len(here)) - 1
+        after = lambda names: (self.k > 0) & self.is_(names)[before]
+        b = np.where(smooth, np.where(after("CS"), 2 * here - c[before], here), b)
+        on, alone = self.is_("T") & after("QT"), self.is_("T")
+        b = np.where(alone, here, b)
+        for k in np.unique(self.k[on]):  # each reflects the one before, which is decided by then
+            i = np.flatnonzero(on & (self.k == k)) if len(first) < 64 else (first[: np.searchsorted(-size, -k)] + k)
+            i = i[on[i]]
+            b[i] = 2 * here[i] - b[i - 1]
+        setattr(self, f"b{axis}", np.where(cubic | smooth | quad, b, np.nan)), setattr(self, f"c{axis}", c)
+
+    def drawn(self, curve: int) -> _Drawn:
+        """Vertices: curves as ``curve`` chords, arcs as twice as many; lines where a radius is 0 or an arc ends where it begins."""
+        cubic, quad, arc, close = self.is_("CS"), self.is_("QT"), self.is_("A"), self.is_("Z")
+        arc &= (self.p[:, 0] != 0) & (self.p[:, 1] != 0) & ((self.ax != self.x) | (self.ay != self.y))
+        n = np.where(cubic | quad, curve, np.where(arc, curve * ARCS, 1))
+        n[close & ~(((self.ax != self.sx) | (self.ay != self.sy)) & (self.k > 0))] = 0
+        rings = self.ring[-1] + 1 if len(self.ring) else 0
+        n[np.bincount(self.ring, n, rings)[self.ring] < 2] = 0
+        at = np.repeat(np.arange(len(n)), n)
+        i = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + 1
+        xy = {a: getattr(self, a)[at] for a in "xy"}
+        for kind, weights in ((cubic, CUBIC), (quad, QUAD)):
+            on = kind[at]
+            t, s = i[on] / curve, at[on]
+            for a in "xy":
+                xy[a][on] = sum(w(t) * getattr(self, k + a)[s] for k, w in weights.items())
+        self._arcs(xy, arc[at] & (i < n[at]), at, i / (curve * ARCS))
+        return _Drawn(self, at, xy["x"], xy["y"])
+
+    def _arcs(self, xy: dict[str, np.ndarray], on: np.ndarray, at: np.ndarray, share: np.ndarray) -> None:
+        """Vertices of arcs by centre, radii and angles."""
+        s, t = at[on], share[on]
+        v, ax, ay, x, y = self.p[s].T, self.ax[s], self.ay[s], self.x[s], self.y[s]
+        cos, sin = np.cos(np.radians(v[2])), np.sin(np.radians(v[2]))
+        hx, hy = (ax - x) / 2, (ay - y) / 2
+        ux, uy = cos * hx + sin * hy, cos * hy - sin * hx
+        grown = np.maximum(1.0, np.sqrt((ux / v[0]) ** 2 + (uy / v[1]) ** 2))  # radii too small to reach are grown
+        rx, ry = np.abs(v[0]) * grown, np.abs(v[1]) * grown
+        px, py = ux / rx, uy / ry  # the half chord where the ellipse is a circle of radius 1
+        q = px * px + py * py
+        aside = np.sqrt(np.maximum(0.0, (1 - q) / q)) * np.where(v[3] == v[4], -1.0, 1.0)
+        mx, my = aside * py, -aside * px
+        begin = np.arctan2(py - my, px - mx)
+        swept = np.arctan2(-py - my, -px - mx) - begin
+        swept = np.where((v[4] == 0) & (swept > 0), swept - 2 * math.pi, np.where((v[4] != 0) & (swept < 0), swept + 2 * math.pi, swept))
+        turn = begin + swept * t
+        ex, ey = rx * (mx + np.cos(turn)), ry * (my + np.sin(turn))
+        xy["x"][on], xy["y"][on] = (ax + x) / 2 + cos * ex - sin * ey, (ay + y) / 2 + sin * ex + cos * ey
+
+
+class _Drawn:
+    """Vertices of a batch, in order: path, sub, ring, v (from 0 in its subpath), x, y."""
+
+    def __init__(self, flat: _Flat, at: np.ndarray, x: np.ndarray, y: np.ndarray):
+        self.paths, self.path, self.sub, self.ring, self.x, self.y = flat.paths, flat.path[at], flat.sub[at], flat.ring[at], x, y
+        self.begins = np.flatnonzero(np.diff(self.ring, prepend=-1))
+        self.of = np.repeat(self.begins, np.diff(self.begins, append=len(at)))  # the first vertex of each one's subpath
+        self.v = np.arange(len(at)) - self.of
+
+    def rows(self, readable: np.ndarray) -> tuple[np.ndarray, dict]:
+        return self.path, {"sub": self.sub, "v": self.v.astype(np.int32), "x": self.x, "y": self.y}
+
+    def areas(self, readable: np.ndarray) -> tuple[np.ndarray, dict]:
+        ahead = np.arange(1, len(self.x) + 1)
+        ahead[np.append(self.begins[1:], len(self.x))[: len(self.begins)] - 1] = self.begins
+        cross = self.x * self.y[ahead] - self.x[ahead] * self.y
+        each = {"subpaths": np.bincount(self.path[self.begins], minlength=self.paths), "vertices": np.bincount(self.path, minlength=self.paths), "area": np.abs(np.bincount(self.path, cross, self.paths) / 2)}
+        return readable, {k: v[readable] for k, v in each.items()}
+
+    def bounds(self, readable: np.ndarray) -> tuple[np.ndarray, dict]:
+        first = np.flatnonzero(np.diff(self.path, prepend=-1))
+        sides = {"x0": (np.minimum, self.x), "y0": (np.minimum, self.y), "x1": (np.maximum, self.x), "y1": (np.maximum, self.y)}
+        return self.path[first], {k: far.reduceat(v, first) if len(first) else v for k, (far, v) in sides.items()}
+
+
+CUBIC = {"": lambda t: t**3, "a": lambda t: (1 - t) ** 3, "b": lambda t: 3 * (1 - t) ** 2 * t, "c": lambda t: 3 * (1 - t) * t**2}
+QUAD = {"": lambda t: t**2, "a": lambda t: (1 - t) ** 2, "b": lambda t: 2 * (1 - t) * t}
+
+
+def _by_path(paths: DataFrame, curve: int, use, shape: str) -> DataFrame:
+    """doc_id, shape_index and what ``use`` makes of the vertices, batch by batch."""
+    read = commands(paths)
+    types = {f.name: f.dataType for f in read.schema if f.name in KEYS}
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            with np.errstate(all="ignore"):
+                at, columns = use(_Flat(batch["commands"]).drawn(curve), np.flatnonzero(pc.is_valid(batch["commands"]).to_numpy(zero_copy_only=False)))
+            yield pa.record_batch([*[batch[k].take(pa.array(at)) for k in KEYS], *[pa.array(v) for v in columns.values()]], names=[*KEYS, *columns])
+
+    return read.mapInArrow(drawn, ", ".join(f"{k} {types[k].simpleString()}" for k in KEYS) + ", " + shape)
 
 
 def vertices(paths: DataFrame, curve: int = CURVE) -> DataFrame:
     """doc_id, shape_index, sub, v (from 0 in its subpath), x, y: curves as ``curve`` chords, arcs as twice as many."""
-    c = F.col
-    share = F.sequence(F.lit(1), F.lit(curve))
-
-    def sampled(weights: dict[str, object]) -> Column:
-        mix = lambda t, axis: sum((f(t) * c(k + axis) for k, f in weights.items() if k), weights[""](t) * c(axis))
-        return F.transform(share, lambda i: F.struct(mix(i / curve, "x").alias("x"), mix(i / curve, "y").alias("y")))
-
-    cubic = sampled({"a": lambda t: (1 - t) ** 3, "b": lambda t: 3 * (1 - t) ** 2 * t, "c": lambda t: 3 * (1 - t) * t**2, "": lambda t: t**3})
-    quad = sampled({"a": lambda t: (1 - t) ** 2, "b": lambda t: 2 * (1 - t) * t, "": lambda t: t**2})
-    here = F.array(F.struct("x", "y"))
-    moved = (c("ax") != c("sx")) | (c("ay") != c("sy"))
-    points = (
-        F.when(c("name").isin("C", "S"), cubic).when(c("name").isin("Q", "T"), quad).when(c("name") == "A", _arc(curve * ARCS))
-        .when(c("name") == "Z", F.when(moved & (c("k") > 0), here)).otherwise(here)
-    )
-    rows = segments(paths).select(*KEYS, "sub", "k", F.posexplode(points).alias("i", "q")).select(*KEYS, "sub", "k", "i", "q.x", "q.y")
-    part = Window.partitionBy(*KEYS, "sub")
-    rows = rows.withColumns({"v": F.row_number().over(part.orderBy("k", "i")) - 1, "n": F.count(F.lit(1)).over(part)})
-    return rows.filter("n >= 2").select(*KEYS, "sub", "v", "x", "y")
+    return _by_path(paths, curve, _Drawn.rows, "sub long, v int, x double, y double")
 
 
 def areas(paths: DataFrame, curve: int = CURVE) -> DataFrame:
     """doc_id, shape_index, subpaths, vertices, area of every path that can be read: subpaths of opposite turn are holes."""
-    w = Window.partitionBy(*KEYS, "sub").orderBy("v")
-    first = {a: F.first(a).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for a in "xy"}
-    ring = vertices(paths, curve).select(*KEYS, "sub", "x", "y", *[F.coalesce(F.lead(a).over(w), first[a]).alias(f"n{a}") for a in "xy"])
-    got = ring.groupBy(*KEYS).agg(F.count_distinct("sub").alias("subpaths"), F.count(F.lit(1)).alias("vertices"), F.abs(F.sum(F.col("x") * F.col("ny") - F.col("nx") * F.col("y")) / 2).alias("area"))
-    read = commands(paths).filter("fault IS NULL").select(*KEYS)
-    zero = F.lit(0).cast("long")
-    return read.join(got, list(KEYS), "left").select(*KEYS, F.coalesce("subpaths", zero).alias("subpaths"), F.coalesce("vertices", zero).alias("vertices"), F.coalesce("area", F.lit(0.0)).alias("area"))
+    return _by_path(paths, curve, _Drawn.areas, "subpaths long, vertices long, area double")
 
 
 def bounds(paths: DataFrame, curve: int = 4) -> DataFrame:
     """doc_id, shape_index, x0, y0, x1, y1 of every path with vertices."""
-    return vertices(paths, curve).groupBy(*KEYS).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    return _by_path(paths, curve, _Drawn.bounds, "x0 double, y0 double, x1 double, y1 double")
 
 
 def written(commands: Column) -> Column:
-    """Commands as text, numbers with two decimals at most, flags as digits."""
-    number = lambda q: lambda v, i: F.when((F.upper(q["name"]) == "A") & i.isin(3, 4), v.cast("int").cast("string")).otherwise(M.two_decimals(v))
-    return F.array_join(F.transform(commands, lambda q: F.concat_ws(" ", q["name"], F.transform(q.p, number(q)))), " ")
+    """Commands as text, numbers with two decimals at most (flags are 0 or 1 anyway)."""
+    number = lambda v: F.when(F.abs(v) < math.inf, F.call_function("format_number", v, F.lit("0.##"))).otherwise(v.cast("string"))
+    plain = lambda t: F.when(t == "-0", "0").otherwise(t)
+    return F.array_join(F.transform(commands, lambda q: F.concat_ws(" ", q["name"], F.transform(F.transform(q.p, number), plain))), " ")
 
 
-def moved(paths: DataFrame, scale: float, dx: float, dy: float) -> DataFrame:
-    """doc_id, shape_index, d with every path scaled, then moved; null where it can't be read."""
+def moved_text(scale: float, dx: float, dy: float) -> Column:
+    """The path scaled, then moved; null where it can't be read."""
 
     def each(q):
-        kinds = _pick(F.upper(q["name"]), {k: F.lit(v) for k, v in VALUES.items()})
-        stay = q["name"] != F.upper(q["name"])
+        up, get = F.upper(q["name"]), lambda i: F.get(q.p, F.lit(i))
+        stay = q["name"] != up
+        x, y = (lambda v, by=by: v * scale + F.when(stay, 0.0).otherwise(by) for by in (dx, dy))
+        arc = F.array(get(0) * scale, get(1) * scale, get(2), get(3), get(4), x(get(5)), y(get(6)))
+        pairs = F.transform(q.p, lambda v, i: F.when((i % 2 == 0) & (up != "V"), x(v)).otherwise(y(v)))
+        return F.struct(q["name"].alias("name"), F.when(up == "A", arc).when(stay, F.transform(q.p, lambda v: v * scale)).otherwise(pairs).alias("p"))
 
-        def value(v, i):
-            kind = F.substring(kinds, i + 1, F.lit(1))
-            shift = F.when(stay, 0.0).when(kind == "x", dx).when(kind == "y", dy).otherwise(0.0)
-            return F.when(kind.isin("r", "f"), v).otherwise(v * scale + shift)
+    return F.when(F.col("fault").isNull(), written(F.transform("commands", each)))
 
-        return F.struct(q["name"].alias("name"), F.transform(q.p, value).alias("p"))
-
-    return commands(paths).select(*KEYS, F.when(F.col("fault").isNull(), written(F.transform("commands", each))).alias("d"))
 
+def moved(paths: DataFrame, scale: float, dx: float, dy: float) -> DataFrame:
+    """doc_id, shape_index, d with every path scaled, then moved; null where it can't be read."""
+    return commands(paths).select(*KEYS, moved_text(scale, dx, dy).alias("d"))
 
-def mapped(paths: DataFrame) -> DataFrame:
-    """doc_id, shape_index, d, exact: every path (with its ``matrix``) under an affine map.
 
-    Not exact, and null: arcs under a map that is no uniform scale along the axes, level and upright lines under one that turns them.
-    """
+def mapped_text() -> tuple[Column, Column]:
+    """The path under its ``matrix``, and whether that is exact: see ``mapped``."""
     m = M.Matrix.read(F.col("matrix"))
     axis, even, factor = m.is_axis_aligned(), m.is_axis_aligned() & m.is_uniform_scale(), m.scale_factor()
 
@@ -238,7 +347,15 @@ def mapped(paths: DataFrame) -> DataFrame:
         pairs = F.transform(q.p, lambda v, i: F.when(i % 2 == 0, image(v, get(i + 1))[0]).otherwise(image(get(i - 1), v)[1]))
         return F.struct(q["name"].alias("name"), F.when(up == "H", level).when(up == "V", upright).when(up == "A", arc).otherwise(pairs).alias("p"))
 
-    got = commands(paths).join(paths.select(*KEYS, "matrix"), list(KEYS))
     bent = F.exists("commands", lambda q: (F.upper(q["name"]) == "A") & ~even | F.upper(q["name"]).isin("H", "V") & ~axis)
     exact = F.col("fault").isNull() & ~F.coalesce(bent, F.lit(False))
-    return got.select(*KEYS, F.when(exact, written(F.transform("commands", each))).alias("d"), exact.alias("exact"))
+    return F.when(exact, written(F.transform("commands", each))), exact
+
+
+def mapped(paths: DataFrame) -> DataFrame:
+    """doc_id, shape_index, d, exact: every path (with its ``matrix``) under an affine map.
+
+    Not exact, and null: arcs under a map that is no uniform scale along the axes, level and upright lines under one that turns them.
+    """
+    d, exact = mapped_text()
+    return commands(paths, "matrix").select(*KEYS, d.alias("d"), exact.alias("exact"))

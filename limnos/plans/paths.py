@@ -20,8 +20,11 @@ def path_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         t("M", x, " ", y, "q", w, " ", h, " ", w * 2, " 0t", w * 2, " ", h), t("M", x - r, " ", y, "a", r, " ", r, " 0 11", r * 2, " 0 ", r, " ", r, " 0 11-", r * 2, " 0z"),
         t("M", x, " ", y, "L", w), t(x, " ", y, " M 3 4"),
     ]
-    way = ((F.col("shape_index") + F.col("doc_id")) % 8 + 1).cast("int")
-    return shapes(spark, sf_dir).select("doc_id", "shape_index", F.element_at(F.array(*ways), way).alias("d"), M.Matrix.of(2, 0, 0, 2, 3, 4).struct().alias("matrix"))
+    way = (F.col("shape_index") + F.col("doc_id")) % 8
+    d = F.when(way == 0, ways[0])  # a case, not an array: only the row's own way is written
+    for k, text in enumerate(ways[1:], 1):
+        d = d.when(way == k, text)
+    return shapes(spark, sf_dir).select("doc_id", "shape_index", d.alias("d"), M.Matrix.of(2, 0, 0, 2, 3, 4).struct().alias("matrix"))
 
 
 def _six(df: DataFrame, *names: str) -> DataFrame:
@@ -46,8 +49,9 @@ def path_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def path_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths scaled and moved, and by the matrix that does the same."""
-    texts = path_texts(spark, sf_dir)
-    return P.moved(texts, 2.0, 3.0, 4.0).join(P.mapped(texts).select(*P.KEYS, F.col("d").alias("by_matrix"), "exact"), list(P.KEYS))
+    by_matrix, exact = P.mapped_text()
+    read = P.commands(path_texts(spark, sf_dir), "matrix")
+    return read.select(*P.KEYS, P.moved_text(2.0, 3.0, 4.0).alias("d"), by_matrix.alias("by_matrix"), exact.alias("exact"))
 
 
 QUERIES = {f.__name__: f for f in (path_commands, path_flatten, path_area, path_bounds, path_transform)}

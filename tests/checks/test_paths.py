@@ -1,10 +1,13 @@
 import math
+import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from limnos.functions import matrix as M
 from limnos.operators import paths as P
+from limnos.plans import queries
 
 
 def table(spark, *texts):
@@ -86,3 +89,48 @@ def test_moved_and_mapped(spark):
 def test_one_exchange(spark):
     plan = P.segments(table(spark, "M0 0L1 1").select(*P.KEYS, F.col("d")))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan
+
+
+def test_vertices_and_texts_take_no_exchange(spark):
+    """They sorted by path for every running sum, joined the paths with themselves and read them up to three times."""
+    df = table(spark, "M0 0L1 1").withColumn("matrix", M.Matrix.of(1, 0, 0, 1, 0, 0).struct())
+    for out in (P.vertices(df), P.areas(df), P.bounds(df), P.moved(df, 1.0, 0.0, 0.0), P.mapped(df)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not any(word in plan for word in ("Exchange", "Join", "Sort", "Window"))
+    for name in ("path_area", "path_transform"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and plan.count("regexp_extract_all(") <= 4
+
+
+def test_vertices_end_where_segments_do(spark):
+    """The numpy pass against the running sums, on paths of all commands, some of them long."""
+    r, texts = random.Random(3), ["", "zzM1 1", "m", "M1 1z", *["M0 0" + f"{c}1 2" * 400 for c in "tTlm"]]
+    for _ in range(150):
+        text = ""
+        for _ in range(r.choice((1, 3, 12))):
+            name = r.choice("MmLlHhVvCcSsQqTtAaZz")
+            values = [f"{r.randrange(2)}" if kind == "f" else f"{r.randrange(-20, 20) / 4}" for kind in P.VALUES[name.upper()]]
+            text += name + " ".join(values)
+        texts.append(text)
+    df = table(spark, *texts)
+    ends, rings = {}, {}
+    for s in P.segments(df).orderBy("shape_index", "k").collect():
+        stays = s.name == "Z" and (s.k == 0 or (s.ax, s.ay) == (s.sx, s.sy))
+        n = 0 if stays else 4 if s.name in "CSQT" else 8 if s.name == "A" and s.p[0] and s.p[1] and (s.ax, s.ay) != (s.x, s.y) else 1
+        key = (s.shape_index, s.sub)
+        rings[key] = rings.get(key, 0) + n
+        ends.setdefault(key, {}).update({rings[key] - 1: (s.x, s.y)} if n else {})
+        if n == 4 and s.name in "CSQT":  # the second of four chords: half way
+            half = lambda a, b, c, d: (a + 3 * b + 3 * c + d) / 8 if s.name in "CS" else (a + 2 * b + d) / 4  # noqa: B023, E731
+            ends[key][rings[key] - 3] = (half(s.ax, s.bx, s.cx, s.x), half(s.ay, s.by, s.cy, s.y))
+    got = {}
+    for v in P.vertices(df, 4).collect():
+        got.setdefault((v.shape_index, v.sub), {})[v.v] = (v.x, v.y)
+    assert {k: len(v) for k, v in got.items()} == {k: n for k, n in rings.items() if n >= 2}
+    assert all(got[key][at] == pytest.approx(xy) for key in got for at, xy in ends[key].items())
+
+
+def test_halves_of_a_hundredth_as_the_sql_writes_them(spark):
+    con = duckdb.connect()
+    want = " ".join(con.execute(f"SELECT rtrim(rtrim(format('{{:.2f}}', {v}), '0'), '.')").fetchone()[0] for v in ("0.125e0", "2.675e0"))
+    assert [r.d for r in P.moved(table(spark, "M.125 2.675", "M-.001 1200"), 1.0, 0.0, 0.0).orderBy("shape_index").collect()] == [f"M {want}", "M 0 1200"]

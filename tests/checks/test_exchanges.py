@@ -2,7 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from limnos.operators import drawing, layout
+from limnos.operators import comply, drawing, layout
 from limnos.sources import bridge, drawings
 from limnos.sources.markup import nodes
 
@@ -25,3 +25,14 @@ def test_text_of_a_drawn_shape(spark):
     table = nodes(spark.createDataFrame([(1, '<svg><text x="1">a</text><g fill="red"><rect/></g></svg>')], "doc_id long, markup string"))
     out = drawing.shapes(table)
     assert [(r.shape_index, r.tag, r.text, r.attrs.get("fill")) for r in out.orderBy("shape_index").collect()] == [(0, "text", "a", None), (1, "rect", "", "red")]
+
+
+def test_audit_exchanges_nothing_by_shape(spark):
+    """Places under texts were exchanged by shape and place twice, colours by colour."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = exchanges(comply.audit(bridge.shapes(spark, SF)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum("," in keys for keys in found) == 1  # the counts of findings, at the end

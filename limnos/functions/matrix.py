@@ -59,7 +59,7 @@ class Matrix(NamedTuple):
 
 
 def _of_call(name: Column, args: Column) -> Column:
-    """Struct of one transform function; null where it is unknown or has the wrong number of arguments."""
+    """Struct of one transform function by its name in lower case; null where it is unknown or has the wrong number of arguments."""
     n, at = F.size(args), lambda k: F.get(args, F.lit(k))
     turn = F.radians(at(0))
     rotate = Matrix.of(F.cos(turn), F.sin(turn), -F.sin(turn), F.cos(turn), 0, 0)
@@ -71,7 +71,7 @@ def _of_call(name: Column, args: Column) -> Column:
     ]
     out = F.lit(None).cast(TYPE)
     for word, sizes, m in known:
-        out = F.when((F.lower(name) == word) & n.isin(*sizes), m.struct()).otherwise(out)
+        out = F.when((name == word) & n.isin(*sizes), m.struct()).otherwise(out)
     return out
 
 
@@ -85,10 +85,12 @@ def parse(value: Column) -> Column:
     value = F.coalesce(value, F.lit(""))
     names, inner = (F.regexp_extract_all(value, F.lit(CALL), F.lit(k)) for k in (1, 2))
     numbers = lambda s: F.transform(F.regexp_extract_all(s, F.lit(NUMBER), F.lit(1)), lambda x: x.cast("double"))
-    maps = F.zip_with(names, inner, lambda n, s: _of_call(n, numbers(s)))
+    # Numbers are read here once: written into the maps themselves, they would be read again for each use of an argument.
+    calls = F.zip_with(names, inner, lambda n, s: F.struct(F.lower(n).alias("name"), numbers(s).alias("args")))
+    maps = F.transform(calls, lambda c: _of_call(c["name"], c["args"]))
     rest = F.regexp_replace(F.regexp_replace(value, CALL, ""), r"[\s,]+", "")
-    product = F.aggregate(maps, Matrix.of(1, 0, 0, 1, 0, 0).struct(), lambda acc, m: (Matrix.read(acc) @ Matrix.read(m)).struct())
-    return F.when((rest == "") & F.forall(maps, lambda m: m.isNotNull()), product)
+    product = F.aggregate(maps, Matrix.of(1, 0, 0, 1, 0, 0).struct(), lambda acc, m: F.when(acc.isNotNull() & m.isNotNull(), (Matrix.read(acc) @ Matrix.read(m)).struct()))
+    return F.when(rest == "", product)
 
 
 def decimals(value: Column, n: int) -> Column:

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions import matrix as M
 from ..sources.markup import attr
-from .styles import KEYS, own_styles, resolved, safe, sanitized, style_rules
+from ..sources.storage import kept
+from .styles import KEYS, own_styles, resolved, safe, style_rules
 
 # What is walked, drawn, kept unread in defs, or ignored; how deep references may go.
 WALKED = ("g", "svg", "a")
@@ -44,40 +45,44 @@ def canvas(nodes: DataFrame) -> DataFrame:
     return nodes.filter("node = 0").select("doc_id", side(2, "width"), side(3, "height"))
 
 
-def _reference() -> Column:
-    return F.when(attr("href").startswith("#"), F.substring(attr("href"), 2, 1_000_000))
+def _reference(href: Column) -> Column:
+    return F.when(href.startswith("#"), F.substring(href, 2, 1_000_000))
 
 
-def instances(nodes: DataFrame, most: int = MAX_USES) -> tuple[DataFrame, DataFrame]:
-    """doc_id, node, tag, attrs, inst (the chain) of all that is reached, uses included; and the uses that were too deep."""
-    columns = [*KEYS, "tag", "attrs", "inst"]
-    elements = nodes.filter("tag <> '#text'")
+def instances(nodes: DataFrame, most: int = MAX_USES, carried: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """doc_id, node, tag, href, inst (the chain) and what is carried of all that is reached, uses included; and the uses that were too deep.
+
+    Carried columns are computed from the element's own row. A level of uses is written once: whether it is empty, the next level and every reader need it.
+    """
+    carried = {"attrs": F.col("attrs")} if carried is None else carried
+    columns = [*KEYS, "tag", "href", *carried, "inst"]
+    elements = nodes.filter("tag <> '#text'").withColumns({"href": attr("href"), **carried})
     reached = elements.filter(F.col("path").rlike(WALK)).withColumn("inst", F.col("chain")).select(*columns)
     targets = elements.filter(attr("id").isNotNull()).groupBy("doc_id", attr("id").alias("ref")).agg(F.min_by(F.struct("node", "tag", "path", "chain"), "node").alias("t"))
-    below = elements.select("doc_id", F.explode("chain").alias("top"), "node", "tag", "attrs", "path", "chain")
+    below = elements.select("doc_id", F.explode("named").alias("top"), "node", "tag", "href", *carried, "path", "chain")
     found, level = [reached], reached.filter("tag = 'use'")
     for _ in range(most):
         if level.isEmpty():
             break
-        asked = level.select("doc_id", "inst", _reference().alias("ref")).filter("ref IS NOT NULL").join(targets, ["doc_id", "ref"])
+        asked = level.select("doc_id", "inst", _reference(F.col("href")).alias("ref")).filter("ref IS NOT NULL").join(targets, ["doc_id", "ref"])
         group = F.col("t.tag").isin("symbol", "g")
         # Of a group or symbol only the content is drawn, without the style and transform of the group itself.
         start = F.size("t.chain") + group.cast("int")
         asked = asked.select("doc_id", F.col("inst").alias("via"), F.col("t.node").alias("top"), start.alias("start"), (F.length("t.path") - F.length("t.tag")).alias("cut"), F.when(group, F.length("t.tag") + 1).otherwise(0).alias("more"))
         met = asked.join(below, ["doc_id", "top"]).filter((F.size("chain") >= F.col("start")) & F.substring("path", F.col("cut") + F.col("more") + 1, F.length("path")).rlike(WALK))
-        new = met.select("doc_id", "node", "tag", "attrs", F.concat("via", F.slice("chain", F.col("start"), F.size("chain"))).alias("inst"))
+        new = kept(met.select("doc_id", "node", "tag", "href", *carried, F.concat("via", F.slice("chain", F.col("start"), F.size("chain"))).alias("inst")), "used")
         found.append(new)
         level = new.filter("tag = 'use'")
     return reduce(DataFrame.unionByName, found), level
 
 
 def _maps(nodes: DataFrame) -> DataFrame:
-    """doc_id, _link, own (six numbers) of every element that has a transform or, as a use, a place; own is null where it can't be read."""
+    """doc_id, _link, own (six numbers) of every element that has a transform or, as a use, a place; a transform that can't be read moves nothing."""
     moved = F.when(F.col("tag") == "use", M.Matrix.of(1, 0, 0, 1, number(attr("x"), 0.0), number(attr("y"), 0.0)).struct()).otherwise(M.Matrix.of(1, 0, 0, 1, 0, 0).struct())
     given = nodes.filter("tag <> '#text'").filter(attr("transform").isNotNull() | (F.col("tag") == "use"))
     one = given.select("doc_id", F.col("node").alias("_link"), M.parse(attr("transform")).alias("m"), moved.alias("u"))
     read = F.coalesce("m", M.Matrix.of(1, 0, 0, 1, 0, 0).struct())
-    return one.select("doc_id", "_link", "m", read.alias("r"), "u").select("doc_id", "_link", F.col("m").isNull().alias("unread"), (M.Matrix.read(F.col("r")) @ M.Matrix.read(F.col("u"))).struct().alias("own"))
+    return one.select("doc_id", "_link", read.alias("r"), "u").select("doc_id", "_link", (M.Matrix.read(F.col("r")) @ M.Matrix.read(F.col("u"))).struct().alias("own"))
 
 
 def shapes(nodes: DataFrame) -> DataFrame:
@@ -131,23 +136,36 @@ def paints(drawn: DataFrame, defs: DataFrame) -> DataFrame:
     return named.join(first, ["doc_id", "id"]).select("doc_id", "shape_index", "property", "id", "g.kind", "g.stops")
 
 
+def _remarks(known: tuple[str, ...]) -> Column:
+    """Array of (kind, detail): what an element's own row tells once it is reached."""
+    tag, none = F.col("tag"), F.array().cast("array<struct<kind:string,detail:string>>")
+    say = lambda kind, detail: F.struct(F.lit(kind).alias("kind"), detail.alias("detail"))
+    one = F.when(tag == "script", say("script", tag)).when(tag == "foreignObject", say("foreign", tag)).when(~tag.isin(*known), say("unknown", tag))
+    one = one.when((tag == "use") & _reference(attr("href")).isNull(), say("use without reference", tag))
+    bad = F.map_keys(F.map_filter("attrs", lambda k, v: ~safe(k, v) & ~k.isin("style", "transform", "class")))
+    unsafe = F.when(tag.isin(*SHAPES), F.transform(bad, lambda k: say("unsafe attribute", k)))
+    unread = F.when(attr("transform").isNotNull(), F.when(M.parse(attr("transform")).isNull(), F.array(say("transform", tag))))
+    return F.concat(F.array_compact(F.array(one)), F.coalesce(unsafe, none), F.coalesce(unread, none))
+
+
 def warnings(nodes: DataFrame) -> DataFrame:
-    """doc_id, kind, detail of all that was dropped, simplified or not understood; each once for a document."""
-    every, deep = instances(nodes)
+    """doc_id, kind, detail of all that was dropped, simplified or not understood; each once for a document.
+
+    What an element's own row tells is told by it and carried along, so that only references and spans are joins.
+    """
+    known = (*WALKED, *SHAPES, *KEPT, *GRADIENTS, *IGNORED, "defs", "style", "script", "use")
+    every, deep = instances(nodes, carried={"remarks": _remarks(known)})
     say = lambda df, kind, detail: df.select("doc_id", F.lit(kind).alias("kind"), detail.alias("detail"))
     tag = F.col("tag")
-    known = (*WALKED, *SHAPES, *KEPT, *GRADIENTS, *IGNORED, "defs", "style", "script", "use")
-    uses, in_defs = every.filter("tag = 'use'"), nodes.filter(F.col("path").rlike("^(?:(?:" + "|".join(WALKED) + ")/)*defs/[^/]+$") & (tag != "#text"))
+    in_defs = nodes.filter(F.col("path").rlike("^(?:(?:" + "|".join(WALKED) + ")/)*defs/[^/]+$") & (tag != "#text"))
+    in_defs = in_defs.select("doc_id", F.when(tag.isin(*KEPT), "kept").when(~tag.isin(*GRADIENTS, *PROTOTYPES), "dropped").alias("kind"), tag.alias("detail"))
     ids = nodes.filter(attr("id").isNotNull()).select("doc_id", attr("id").alias("ref")).distinct()
-    unread = _maps(nodes).filter("unread").select("doc_id", F.col("_link").alias("node"))
+    asked = every.filter("tag = 'use'").select("doc_id", "href", _reference(F.col("href")).alias("ref")).filter("ref IS NOT NULL").distinct()
     spans = nodes.filter("tag = 'tspan'").select("doc_id", F.col("parent").alias("node"))
     found = [
-        say(every.filter("tag = 'script'"), "script", tag), say(every.filter("tag = 'foreignObject'"), "foreign", tag), say(every.filter(~tag.isin(*known)), "unknown", tag),
-        say(in_defs.filter(tag.isin(*KEPT)), "kept", tag), say(in_defs.filter(~tag.isin(*KEPT, *GRADIENTS, *PROTOTYPES)), "dropped", tag),
-        say(uses.filter(_reference().isNull()), "use without reference", tag), say(uses.withColumn("ref", _reference()).filter("ref IS NOT NULL").join(ids, ["doc_id", "ref"], "left_anti"), "use of missing id", attr("href")),
-        say(deep, "use too deep", tag), say(style_rules(nodes).filter("kind IS NULL"), "selector", F.col("selector")),
-        say(every.filter(tag.isin(*SHAPES)).select(*KEYS).distinct().join(sanitized(nodes).filter("NOT safe AND name NOT IN ('style', 'transform', 'class')"), list(KEYS)), "unsafe attribute", F.col("name")),
-        say(every.filter("tag = 'text'").select(*KEYS).distinct().join(spans, list(KEYS), "left_semi"), "spans", F.lit("text")), say(every.select(*KEYS, "tag").distinct().join(unread, list(KEYS)), "transform", tag),
+        every.filter(F.size("remarks") > 0).select("doc_id", F.explode("remarks").alias("r")).select("doc_id", "r.*"), in_defs.filter("kind IS NOT NULL"),
+        say(asked.join(ids, ["doc_id", "ref"], "left_anti"), "use of missing id", F.col("href")), say(deep, "use too deep", tag),
+        say(style_rules(nodes).filter("kind IS NULL"), "selector", F.col("selector")), say(every.filter("tag = 'text'").select(*KEYS).join(spans, list(KEYS), "left_semi"), "spans", F.lit("text")),
     ]
     return reduce(DataFrame.unionByName, found).distinct()
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Named colours.
@@ -56,16 +56,40 @@ def encoded(c: Column) -> Column:
     return F.bround(v * 255).cast("int")
 
 
+def _root(cone: Column) -> Column:
+    return F.when(cone > 0, F.pow(cone, F.lit(1 / 3))).otherwise(F.lit(0.0))
+
+
 def oklab(rgb: RGB) -> tuple[Column, Column, Column]:
     light = [linear(c) for c in rgb]
-    cones = [_dot(row, light) for row in TO_LMS]
-    roots = [F.when(v > 0, F.pow(v, F.lit(1 / 3))).otherwise(F.lit(0.0)) for v in cones]
+    roots = [_root(_dot(row, light)) for row in TO_LMS]
     return tuple(_dot(row, roots) for row in TO_LAB)
 
 
+def with_oklab(df: DataFrame, rgb: RGB, names: tuple[str, str, str] = ("L", "A", "B")) -> DataFrame:
+    """df with the OKLab of a colour in three columns.
+
+    As one expression each, a channel's light would be computed up to 18 times for one row, in a method too long for the JVM to compile; so each step is a
+    projection of its own.
+    """
+    light, cones, roots = ([f"_{k}{n}" for n in names] for k in ("light", "cone", "root"))
+    c = F.col
+    out = df.withColumns({n: linear(v) for n, v in zip(light, rgb, strict=True)})
+    out = out.withColumns({n: _dot(row, [c(k) for k in light]) for n, row in zip(cones, TO_LMS, strict=True)})
+    out = out.withColumns({n: _root(c(k)) for n, k in zip(roots, cones, strict=True)})
+    return out.withColumns({n: _dot(row, [c(k) for k in roots]) for n, row in zip(names, TO_LAB, strict=True)}).drop(*light, *cones, *roots)
+
+
+def cubes(lab: tuple[Column, Column, Column]) -> tuple[Column, Column, Column]:
+    return tuple(v * v * v for v in (_dot(row, lab) for row in FROM_LAB))
+
+
+def from_cubes(values: tuple[Column, Column, Column]) -> RGB:
+    return RGB(*(encoded(_dot(row, values)) for row in FROM_LMS))
+
+
 def from_oklab(lab: tuple[Column, Column, Column]) -> RGB:
-    cubes = [v * v * v for v in (_dot(row, lab) for row in FROM_LAB)]
-    return RGB(*(encoded(_dot(row, cubes)) for row in FROM_LMS))
+    return from_cubes(cubes(lab))
 
 
 def distance(a, b) -> Column:

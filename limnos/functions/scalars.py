@@ -15,10 +15,19 @@ def snap(value: Column, grid: float) -> Column:
     return F.bround(value / F.lit(grid)) * F.lit(grid)
 
 
+def first_least(values: list[Column]) -> Column:
+    """Struct (d, i) of the least number and its place, the first of equals; nulls are passed over, of nulls alone the first counts.
+
+    One array of plain numbers: an object for each place would make the row's method too long for the JVM to compile.
+    """
+    every = F.array(*values)
+    least = F.array_min(every)
+    return F.struct(least.alias("d"), F.coalesce(F.array_position(every, least).cast("int") - 1, F.lit(0)).alias("i"))
+
+
 def nearest(value: Column, scale: tuple[float, ...]) -> Column:
     """The nearest step of a scale, the first of equals."""
-    steps = F.array(*[F.struct(F.abs(value - F.lit(s)).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s")) for i, s in enumerate(scale)])
-    return F.array_min(steps)["s"]
+    return F.get(F.array(*map(F.lit, scale)), first_least([F.abs(value - F.lit(s)) for s in scale])["i"])
 
 
 def least_at_least(floor: float, scale: tuple[float, ...]) -> float:

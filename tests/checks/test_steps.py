@@ -4,7 +4,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from limnos.functions import matrix as M
-from limnos.operators import drawing
+from limnos.functions.scalars import nearest
+from limnos.operators import drawing, gradients
 from limnos.sources import markup
 
 
@@ -35,3 +36,14 @@ def test_warnings_exchange_no_instance(spark):
     out = drawing.warnings(table)
     assert {(r.kind, r.detail) for r in out.collect()} == {("unsafe attribute", "onclick"), ("transform", "rect"), ("spans", "text")}
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 4
+
+
+def test_a_step_of_a_scale_is_no_object(spark):
+    """Each step and token was an object of its own, and each channel's light was computed up to 18 times for one row."""
+    one = spark.createDataFrame([(1.0,), (3.0,), (40.0,), (None,), (float("nan"),)], "v double")
+    df = one.select(nearest(F.col("v"), (1.0, 2.0, 4.0, 8.0)).alias("s"))
+    assert plan(df).count("struct(") <= 2
+    assert [r.s for r in df.collect()] == [1.0, 2.0, 8.0, 1.0, 1.0]
+    stops = spark.createDataFrame([(0, 0, 26, 86, 219), (0, 1, None, None, None)], "doc_id long, k long, r int, g int, b int")
+    assert plan(gradients.flattened(stops)).count("POWER(") <= 16
+    assert [tuple(r) for r in gradients.flattened(stops).collect()] == [(0, "#1a56db", "primary")]

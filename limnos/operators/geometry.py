@@ -138,7 +138,7 @@ def font_matches(shapes: DataFrame) -> DataFrame:
 def comply_shapes(shapes: DataFrame, grid: float = K.GRID) -> DataFrame:
     """Every shape after the repairs that need no other shape: token, stroke, grid, family and type scale, and how many changed it."""
     c = F.col
-    fixed = shapes.select(*KEYS, "tag", "x", "y", "stroke_width", "font_size", "font_family", *rules.FILL, *[v.alias(k) for k, v in zip(("L", "A", "B"), C.oklab(C.RGB.of("fill_")), strict=True)])
+    fixed = C.with_oklab(shapes.select(*KEYS, "tag", "x", "y", "stroke_width", "font_size", "font_family", *rules.FILL), C.RGB.of("fill_"))
     fixed = fixed.withColumn("token", rules._named(rules._token_structs((c("L"), c("A"), c("B")))["i"]))
     text = c("tag") == "text"
     new = {"new_stroke": nearest(c("stroke_width"), K.STROKES), "new_x": snap(c("x"), grid), "new_y": snap(c("y"), grid), "new_family": F.when(text, F.when(c("font_family").isin(*K.FONTS), c("font_family")).otherwise(K.FONTS[0])), "new_size": F.when(text, nearest(c("font_size"), K.TYPE_SCALE))}

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from limnos.functions import matrix as M
 from limnos.functions.scalars import nearest
-from limnos.operators import drawing, gradients
-from limnos.sources import markup
+from limnos.operators import drawing, gradients, rules
+from limnos.sources import bridge, markup
 
 
 def plan(df):
@@ -47,3 +47,10 @@ def test_a_step_of_a_scale_is_no_object(spark):
     stops = spark.createDataFrame([(0, 0, 26, 86, 219), (0, 1, None, None, None)], "doc_id long, k long, r int, g int, b int")
     assert plan(gradients.flattened(stops)).count("POWER(") <= 16
     assert [tuple(r) for r in gradients.flattened(stops).collect()] == [(0, "#1a56db", "primary")]
+
+
+def test_checks_of_single_shapes_hold_no_lambda(spark):
+    """The list of severities was filtered by a lambda, which keeps all of them out of compiled code."""
+    found = rules.local_findings(bridge.shapes(spark, "/root/testdata/sf0.001"))
+    assert "lambdafunction" not in plan(found)
+    assert found.filter("severity IS NULL").isEmpty() and not found.isEmpty()

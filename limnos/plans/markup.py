@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import drawing, styles
+from ..operators import drawing, drawn, styles
 from ..sources import drawings as D
 from ..sources.markup import PAGE_NODES_SQL, nodes, page_nodes
 from ..sources.storage import kept
@@ -41,15 +41,15 @@ def sanitize_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def svg_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drawing.baked(drawing.shapes(_drawn(spark, sf_dir)))
+    out = drawing.baked(drawn.shapes(drawn.read(D.drawings(spark, sf_dir))))
     n = lambda *names: F.coalesce(*[drawing.number(F.col("attrs")[k]) for k in names])
     sizes = [n(k).alias(k.replace("-", "_")) for k in ("width", "height", "r", "font-size")]
     return out.select("doc_id", "shape_index", "tag", n("x", "cx").alias("x"), n("y", "cy").alias("y"), *sizes, F.col("attrs")["fill"].alias("fill"), "text", "baked")
 
 
 def svg_paints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = _drawn(spark, sf_dir)
-    out = drawing.paints(drawing.shapes(table), drawing.gradients(table))
+    table = kept(drawn.read(D.drawings(spark, sf_dir), also=(*drawing.GRADIENTS, "stop"), wanted=("fill", "stroke")), "svg-paints")
+    out = drawing.paints(table.filter("shape_index IS NOT NULL"), drawing.gradients(table.filter("shape_index IS NULL")))
     last = F.element_at("stops", -1)
     return out.select("doc_id", "shape_index", "property", "kind", F.size("stops").alias("stops"), last["offset"].alias("last_offset"), F.get("stops", F.lit(0))["color"].alias("first_color"), last["color"].alias("last_color"))
 
@@ -59,7 +59,7 @@ def svg_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def svg_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drawing.written_shapes(drawing.baked(drawing.shapes(_drawn(spark, sf_dir))))
+    return drawing.written_shapes(drawing.baked(drawn.shapes(drawn.read(D.drawings(spark, sf_dir)))))
 
 
 QUERIES = {f.__name__: f for f in (markup_tree, html_style_scan, css_cascade, sanitize_attrs, svg_shapes, svg_paints, svg_warnings, svg_markup)}

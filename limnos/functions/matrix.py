@@ -94,10 +94,16 @@ def parse(value: Column) -> Column:
 
 
 def decimals(value: Column, n: int) -> Column:
-    """A number as text with at most n decimals."""
+    """A number as text with at most n decimals.
+
+    One that is written without an exponent is rounded and cast: a formatter and its patterns cost many times as much.
+    """
+    near = F.round(value, n).cast("string")
+    plain = F.when(near.endswith(".0"), F.substring_index(near, ".", 1)).otherwise(near)
     text = F.format_string(f"%.{n}f", value)
     short = F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", "")
-    return F.when(short.isin("", "-"), "0").otherwise(short)
+    exact = F.when(short.isin("", "-"), "0").otherwise(short)
+    return F.when((F.abs(value) >= max(1e-3, 10.0**-n)) & (F.abs(value) < 9_999_999.0), plain).otherwise(exact)
 
 
 def two_decimals(value: Column) -> Column:

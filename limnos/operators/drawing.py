@@ -34,8 +34,8 @@ WALK = "^(?:(?:" + "|".join(WALKED) + ")/)*[^/]+$"
 
 def number(value: Column, default: float | None = None) -> Column:
     """The number that a length starts with."""
-    found = F.regexp_extract(value, NUMBER, 1)
-    return F.coalesce(F.when(found != "", found.cast("double")), F.lit(default).cast("double"))
+    found = F.regexp_extract(value, NUMBER, 1).try_cast("double")  # no number where nothing is found
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
 def canvas(nodes: DataFrame) -> DataFrame:
@@ -170,15 +170,22 @@ def warnings(nodes: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found).distinct()
 
 
+#: Lengths that a shape's matrix may change, each read once.
+LENGTHS = ("x", "y", "width", "height", "cx", "cy", "r", "rx", "ry", "x1", "y1", "x2", "y2", "stroke-width", "font-size")
+
+
 def baked(drawn: DataFrame) -> DataFrame:
-    """shapes with the matrix put into the geometry where that is exact (then null), and baked: whether that was so; null without a matrix."""
-    m = M.Matrix.read(F.col("matrix"))
-    num, zero = lambda k: number(attr(k)), lambda k: number(attr(k), 0.0)
+    """shapes with the matrix put into the geometry where that is exact (then null), and baked: whether that was so; null without a matrix.
+
+    Numbers are read, moved and written in steps: in one, each would be read again wherever it is used, and the row's method would be too long for the JVM to compile.
+    """
+    m, tag, moved = M.Matrix.read(F.col("matrix")), F.col("tag"), F.col("matrix").isNotNull()
+    lengths = F.transform_values(F.map_filter("attrs", lambda k, v: k.isin(*LENGTHS)), lambda k, v: number(v))
+    out = drawn.withColumn("_n", F.when(moved, lengths))
+    num, zero = lambda k: F.col("_n")[k], lambda k: F.coalesce(F.col("_n")[k], F.lit(0.0))
     axis, uniform, factor = m.is_axis_aligned(), m.is_uniform_scale(), m.scale_factor()
-    two = M.two_decimals
-    entry = lambda k, v: F.struct(F.lit(k).alias("key"), two(v).alias("value"))
-    lengths = [F.when(uniform & num(k).isNotNull(), entry(k, num(k) * factor)) for k in ("stroke-width", "font-size")]
-    tag = F.col("tag")
+    entry = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    scaled = lambda *keys: [F.when(num(k).isNotNull(), entry(k, num(k) * factor)) for k in keys]
 
     def place(x: str, y: str) -> list[Column]:
         px, py = m.apply(zero(x), zero(y))
@@ -186,26 +193,30 @@ def baked(drawn: DataFrame) -> DataFrame:
 
     ax, ay = m.apply(zero("x"), zero("y"))
     bx, by = m.apply(zero("x") + num("width"), zero("y") + num("height"))
-    rect = [entry("x", F.least(ax, bx)), entry("y", F.least(ay, by)), entry("width", F.abs(bx - ax)), entry("height", F.abs(by - ay)), *[F.when(num(k).isNotNull(), entry(k, num(k) * factor)) for k in ("rx", "ry")]]
-    pairs = F.regexp_extract_all(attr("points"), F.lit(r"(-?\d+(?:\.\d+)?(?:[eE]-?\d+)?)"), F.lit(1))
-    corner = lambda i: m.apply(F.get(pairs, 2 * i).cast("double"), F.get(pairs, 2 * i + 1).cast("double"))
-    half = F.floor(F.size(pairs) / 2).cast("int")
-    points = F.when(half > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(half, F.lit(1)) - 1), lambda i: F.concat(two(corner(i)[0]), F.lit(","), two(corner(i)[1]))), " ")).otherwise("")
+    rect = [entry("x", F.least(ax, bx)), entry("y", F.least(ay, by)), entry("width", F.abs(bx - ax)), entry("height", F.abs(by - ay)), *scaled("rx", "ry")]
     cases = [
         (tag.isin("rect", "image") & axis & num("width").isNotNull() & num("height").isNotNull(), rect), ((tag == "circle") & axis & uniform & num("r").isNotNull(), [*place("cx", "cy"), entry("r", num("r") * factor)]),
         ((tag == "ellipse") & axis & num("rx").isNotNull() & num("ry").isNotNull(), [*place("cx", "cy"), entry("rx", num("rx") * F.abs(m.a)), entry("ry", num("ry") * F.abs(m.d))]),
-        ((tag == "text") & axis & uniform, place("x", "y")), (tag == "line", [*place("x1", "y1"), *place("x2", "y2")]),
-        (tag.isin("polygon", "polyline"), [F.struct(F.lit("points").alias("key"), points.alias("value"))]),
+        ((tag == "text") & axis & uniform, place("x", "y")), (tag == "line", [*place("x1", "y1"), *place("x2", "y2")]), (tag.isin("polygon", "polyline"), []),
     ]
-    new = F.lit(None).cast("array<struct<key:string,value:string>>")
+    sized = [F.when(uniform, e) for e in scaled("stroke-width", "font-size")]
+    new = F.lit(None).cast("array<struct<key:string,value:double>>")
     for when, entries in cases:
-        new = F.when(when, F.array_compact(F.array(*entries, *lengths))).otherwise(new)
-    out = drawn.withColumn("_new", F.when(F.col("matrix").isNotNull(), new))
-    over = F.map_filter("attrs", lambda k, v: ~F.array_contains(F.transform("_new", lambda e: e.key), k))
+        new = F.when(when, F.array_compact(F.array(*entries, *sized))).otherwise(new)
+    out = out.withColumn("_values", F.when(moved, new))
+    pairs = F.regexp_extract_all(attr("points"), F.lit(r"(-?\d+(?:\.\d+)?(?:[eE]-?\d+)?)"), F.lit(1))
+    corner = lambda i: m.apply(F.get(pairs, 2 * i).cast("double"), F.get(pairs, 2 * i + 1).cast("double"))
+    half = F.floor(F.size(pairs) / 2).cast("int")
+    point = lambda i: F.concat(M.two_decimals(corner(i)[0]), F.lit(","), M.two_decimals(corner(i)[1]))
+    points = F.when(half > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(half, F.lit(1)) - 1), point), " ")).otherwise("")
+    texts = F.transform("_values", lambda e: F.struct(e.key.alias("key"), M.two_decimals(e.value).alias("value")))
+    texts = F.when(tag.isin("polygon", "polyline"), F.concat(texts, F.array(entry("points", points)))).otherwise(texts)
+    out = out.withColumn("_new", F.when(F.col("_values").isNotNull(), F.map_from_entries(texts)))
     ok = F.col("_new").isNotNull()
+    over = F.map_filter("attrs", lambda k, v: ~F.map_contains_key("_new", k))
     return out.select(
-        *[c for c in drawn.columns if c not in ("attrs", "matrix")], F.when(ok, F.map_concat(over, F.map_from_entries("_new"))).otherwise(F.col("attrs")).alias("attrs"),
-        F.when(~ok, F.col("matrix")).alias("matrix"), F.when(F.col("matrix").isNotNull(), ok).alias("baked"),
+        *[c for c in drawn.columns if c not in ("attrs", "matrix")], F.when(ok, F.map_concat(over, "_new")).otherwise(F.col("attrs")).alias("attrs"),
+        F.when(~ok, F.col("matrix")).alias("matrix"), F.when(moved, ok).alias("baked"),
     )
 
 

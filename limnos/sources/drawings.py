@@ -23,13 +23,15 @@ def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shapes(spark, sf_dir).withColumn("ink", F.concat(F.lit("#"), hexa("fill_r"), hexa("fill_g"), hexa("fill_b")))
     paint = F.when(way == 0, _put(' fill="', "$ink", '"')).when(way == 1, _put(' class="c', "$shape_index", '"')).when(way == 3, _put(' id="p', "$shape_index", '" style="fill:', "$ink", '"')).otherwise("")
     trap = F.when(F.col("doc_id") % 4 == 0, ' onclick="go()"').otherwise("")
-    rect = _put('<rect x="', "$x", '" y="', "$y", '" width="', "$width", '" height="', "$height", '" stroke="url(#g)"', paint, trap, "/>")
-    circle = _put('<circle cx="', "$x", '" cy="', "$y", '" r="', "$radius", '"', paint, trap, "/>")
-    text = _put('<text x="', "$x", '" y="', "$y", '" font-size="', "$font_size", '"', paint, trap, ">No &lt;", "$shape_index", "&gt;\n  here</text>")
-    body = F.when(F.col("tag") == "rect", rect).when(F.col("tag") == "circle", circle).otherwise(text)
-    drawn = F.when(way == 2, _put('<g fill="', "$ink", '" transform="translate(10 20)">', body, "</g>")).when(way == 3, _put('<use href="#p', "$shape_index", '" x="5" y="7"/>')).otherwise(body)
+    rect = _put('<rect x="', "$x", '" y="', "$y", '" width="', "$width", '" height="', "$height", '" stroke="url(#g)"', "$paint", "/>")
+    circle = _put('<circle cx="', "$x", '" cy="', "$y", '" r="', "$radius", '"', "$paint", "/>")
+    text = _put('<text x="', "$x", '" y="', "$y", '" font-size="', "$font_size", '"', "$paint", ">No &lt;", "$shape_index", "&gt;\n  here</text>")
+    # Each is a column of its own before it is used: written out in every use, the row's method would be too long for the JVM to compile.
+    rows = rows.withColumn("paint", F.concat(paint, trap))
+    rows = rows.withColumn("body", F.when(F.col("tag") == "rect", rect).when(F.col("tag") == "circle", circle).otherwise(text))
+    drawn = F.when(way == 2, _put('<g fill="', "$ink", '" transform="translate(10 20)">', "$body", "</g>")).when(way == 3, _put('<use href="#p', "$shape_index", '" x="5" y="7"/>')).otherwise(F.col("body"))
     rule = F.when(way == 1, _put(".c", "$shape_index", "{fill:", "$ink", "}")).otherwise("")
-    one = rows.select("doc_id", "shape_index", drawn.alias("drawn"), F.when(way == 3, body).otherwise("").alias("proto"), rule.alias("rule"), "ink")
+    one = rows.select("doc_id", "shape_index", drawn.alias("drawn"), F.when(way == 3, F.col("body")).otherwise("").alias("proto"), rule.alias("rule"), "ink")
     docs = one.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("shape_index", "drawn", "proto", "rule", "ink"))).alias("s"))
     every = lambda k: F.array_join(F.transform("s", lambda x: x[k]), "")
     bad = lambda n, what: F.when(F.col("doc_id") % n == 0, what).otherwise("")

@@ -1,9 +1,11 @@
 """Drawn shapes in one pass over a document, held against the joins over the table of nodes."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from limnos.functions import matrix as M
 from limnos.operators import drawing, drawn
 from limnos.plans import markup as queries
 from limnos.sources import markup
@@ -60,3 +62,28 @@ def test_markup_of_shapes_is_exchanged_once_by_document(spark):
     """Elements were exchanged by element and by instance for styles, transforms, marks and texts: about fifteen exchanges."""
     plan = queries.svg_markup(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(") == 1 and "Join" not in plan
+
+
+def longest_method(df):
+    """Bytes of the longest method generated for a plan; the JVM never compiles one of more than 8,000."""
+    spark = df.sparkSession
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    return max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", text)))
+
+
+def test_methods_of_drawings_and_shapes_are_short_enough_to_compile(spark):
+    """Rows of drawings took a method of 10,747 bytes, so that every query over drawings ran it uncompiled."""
+    assert longest_method(queries.svg_shapes(spark, "/root/testdata/sf0.001")) <= 8000
+
+
+def test_decimals_are_those_of_a_formatter(spark):
+    df = spark.createDataFrame([(v,) for v in (0.0, -0.0, 1.005, -2.675, 0.015, 0.004, -0.001, 10.0, 100.5, 9_999_999.0, 12345678.905, 1e20, float("nan"), float("inf"), None)], "v double")
+    for n in (2, 6):
+        short = F.regexp_replace(F.regexp_replace(F.format_string(f"%.{n}f", "v"), r"0+$", ""), r"\.$", "")
+        rows = df.select(M.decimals(F.col("v"), n).alias("got"), F.when(short.isin("", "-"), "0").otherwise(short).alias("want")).collect()
+        assert [r.got for r in rows] == [r.want for r in rows]

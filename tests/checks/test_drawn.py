@@ -81,6 +81,12 @@ def test_methods_of_drawings_and_shapes_are_short_enough_to_compile(spark):
     assert longest_method(queries.svg_shapes(spark, "/root/testdata/sf0.001")) <= 8000
 
 
+def test_paints_join_no_instances(spark):
+    """Paints were read from all shapes with all their styles; only references to gradients and the gradients themselves are exchanged."""
+    plan = queries.svg_paints(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 2
+
+
 def test_decimals_are_those_of_a_formatter(spark):
     df = spark.createDataFrame([(v,) for v in (0.0, -0.0, 1.005, -2.675, 0.015, 0.004, -0.001, 10.0, 100.5, 9_999_999.0, 12345678.905, 1e20, float("nan"), float("inf"), None)], "v double")
     for n in (2, 6):

@@ -1,11 +1,14 @@
 """What a row costs: work that was done again and again within one row, or for one document."""
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from limnos.functions import matrix as M
 from limnos.functions.scalars import nearest
-from limnos.operators import drawing, gradients, rules
+from limnos.operators import comply, drawing, gradients, rules
+from limnos.plans import catalog as K
 from limnos.sources import bridge, markup
 
 
@@ -54,3 +57,27 @@ def test_checks_of_single_shapes_hold_no_lambda(spark):
     found = rules.local_findings(bridge.shapes(spark, "/root/testdata/sf0.001"))
     assert "lambdafunction" not in plan(found)
     assert found.filter("severity IS NULL").isEmpty() and not found.isEmpty()
+
+
+def test_rows_of_repairs_are_compiled(spark):
+    """Both paints of a shape, their exact and their nearest tokens were one method of 16,691 bytes; the JVM never compiles one of more than 8,000."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        codegen = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+        for df in (comply.repaired(bridge.shapes(spark, "/root/testdata/sf0.001")), comply.snapped_paints(bridge.shapes(spark, "/root/testdata/sf0.001"))):
+            assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", df._jdf.queryExecution().explainString(codegen)))) <= 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_tokens_of_odd_paints(spark):
+    """Exact tokens, the nearest of a text's roles, no colour and no stroke."""
+    one = [("rect", 26, 86, 219, 1.0, None, None, None), ("text", None, None, None, 1.0, 26, 86, 219), ("text", 254, 254, 254, 0.0, 0, 0, 0), ("rect", 254, 254, 254, None, 1, 2, 3)]
+    df = spark.createDataFrame(one, "tag string, fill_r int, fill_g int, fill_b int, stroke_width double, stroke_r int, stroke_g int, stroke_b int").withColumn("area", F.lit(10.0))
+    role = lambda i: None if i is None else K.TOKENS[i]
+    got = [(role(r.f), r.f_severity, role(r.s), r.s_severity) for r in comply.snapped_paints(df).collect()]
+    assert got[0][:2] == (next(t for t in K.TOKENS if t[1:4] == (26, 86, 219)), None) and got[0][2:] == (None, None)
+    assert got[1][:2] == (None, None) and got[1][2][1:4] == (26, 86, 219) and got[1][3] is None
+    assert got[2][0][4] in K.TEXT_ROLES + K.ACCENT_ROLES and got[2][1] == "error" and got[2][2:] == (None, None)
+    assert got[3][1] == "warning" and got[3][2:] == (None, None)
